@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import patterns as P
 
@@ -28,10 +29,20 @@ _PII_RE2 = P.re2_candidates([p for _, p in P.PII_PATTERNS])
 _INJECTION_JAVA = P.java_any([p for _, p in P.INJECTION_PATTERNS])
 _JAILBREAK_JAVA = P.java_any([p for _, p in P.JAILBREAK_PATTERNS])
 
-SPAN_TYPE = "array<struct<pii_type string, start bigint, end bigint, matched string>>"
+SPANS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("pii_type", T.StringType()),
+            T.StructField("start", T.LongType()),
+            T.StructField("end", T.LongType()),
+            T.StructField("matched", T.StringType()),
+        ]
+    )
+)
+REDACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("replaced", T.IntegerType())])
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def scan_mask(text: pa.Array) -> pa.Array:
     """Bits: injection (exact), jailbreak (exact), personal data (candidate).  NULL stays NULL."""
 
@@ -86,16 +97,17 @@ def has_pii(types: Column) -> Column:
     return F.exists(types, lambda t: t != "ip-address")
 
 
-def rule_hits(text: Column, rules: list[P.Rule]) -> Column:
-    """Every rule a text matches, as array<struct<pattern_id, category>>."""
-    hits = [
-        F.when(
-            text.rlike(r.regex),
-            F.struct(F.lit(r.pattern_id).alias("pattern_id"), F.lit(r.category).alias("category")),
-        )
-        for r in rules
-    ]
-    return F.array_compact(F.array(*hits))
+HITS = "array<struct<family string, pattern_id int, category string>>"
+
+
+def rule_hits(text: Column, family: str, rules: list[P.Rule]) -> Column:
+    """Every rule of a family that a text matches, as array<struct<family, pattern_id, category>>."""
+
+    def entry(r: P.Rule) -> Column:
+        named = {"family": family, "pattern_id": r.pattern_id, "category": r.category}
+        return F.when(text.rlike(r.regex), F.struct(*[F.lit(v).alias(k) for k, v in named.items()]))
+
+    return F.array_compact(F.array(*[entry(r) for r in rules])).cast(HITS)
 
 
 _LOCAL_EDGE = re.compile(rf"(?<!{P.EMAIL_LOCAL})")
@@ -130,7 +142,7 @@ def _byte_offsets(text: str, positions: list[int]) -> dict[int, int]:
     return offsets
 
 
-@F.arrow_udf(SPAN_TYPE)
+@F.arrow_udf(SPANS)
 def pii_spans(text: pa.Array) -> pa.Array:
     """Matches of every detector with byte offsets, sorted by start, ties in type order."""
     out = []
@@ -149,7 +161,7 @@ def pii_spans(text: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(span))
 
 
-@F.arrow_udf("struct<text string, replaced int>")
+@F.arrow_udf(REDACTED)
 def redacted(text: pa.Array) -> pa.Array:
     """Text with each match replaced by its label, and how many were.
 

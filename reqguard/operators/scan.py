@@ -43,18 +43,11 @@ def pattern_hits(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     source = F.col(text)
     marked = df.select(*keys, source.alias("_text"), D.scan_mask(source).alias("_mask"))
     marked = marked.where(F.col("_mask").bitwiseAND(F.lit(D.INJECTION_BIT | D.JAILBREAK_BIT)) != 0)
-    hit_type = "array<struct<family string, pattern_id int, category string>>"
-    per_family = []
-    for family, bit, rules in families:
-        named = F.transform(
-            D.rule_hits(F.col("_text"), rules),
-            lambda h, family=family: F.struct(
-                F.lit(family).alias("family"), h["pattern_id"].alias("pattern_id"), h["category"].alias("category")
-            ),
-        ).cast(hit_type)
-        per_family.append(
-            F.when(D.has_bit(F.col("_mask"), bit), named).otherwise(F.array().cast(hit_type))
-        )
+    none = F.array().cast(D.HITS)
+    per_family = [
+        F.when(D.has_bit(F.col("_mask"), bit), D.rule_hits(F.col("_text"), family, rules)).otherwise(none)
+        for family, bit, rules in families
+    ]
     hits = marked.select(*keys, F.concat(*per_family).alias("_hits"))
     return hits.select(*keys, F.explode("_hits").alias("_h")).select(*keys, "_h.*")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session (once per application)."""
+    context = spark.sparkContext
+    if getattr(context, "_reqguard_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="reqguard-package-")) / "reqguard"
+    archive = shutil.make_archive(str(target), "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._reqguard_shipped = True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once, so that several readers share one pass.
 
@@ -43,5 +57,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="reqguard-checkpoint-"))
     return df.checkpoint(eager=True)
