@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import providers as PV
+from ..functions.columns import pinned
 
 _FIELDS = "struct<model variant, messages variant, max_tokens variant, prompt variant, system variant>"
 _MESSAGES = "array<struct<role variant, content variant>>"
@@ -87,9 +88,13 @@ def parse_requests(requests: DataFrame, body: str = "body", uri: str = "uri", ke
     df = df.withColumn("_f", F.col("doc").try_cast(_FIELDS))
     df = df.withColumn("_msgs", F.col("_f.messages").try_cast(_MESSAGES))
     df = df.withColumn("_req", _request(F.col("provider"), F.col("_f"), F.col("_msgs")))
-    df = df.withColumn("req", F.when(F.size("_req.messages") > 0, F.col("_req")))
-    df = df.drop("_f", "_msgs", "_req")
-    return df if keep_doc else df.drop("doc")
+    df = df.select(
+        *requests.columns,
+        "provider",
+        *(["doc"] if keep_doc else []),
+        F.when(F.size("_req.messages") > 0, F.col("_req")).alias("_req"),
+    )
+    return pinned(df, {"req": F.col("_req")}).drop("_req")
 
 
 def normalize_requests(requests: DataFrame, body: str = "body", uri: str = "uri") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schema_rules as R
+from ..functions.columns import pinned
 from ..functions.providers import detect_provider, string_value
 from .normalize import with_document
 
@@ -35,7 +36,7 @@ def violations(provider: Column, doc: Column) -> Column:
 
 def with_validation(df: DataFrame) -> DataFrame:
     """Add ``errors`` and ``schema_valid`` to rows that carry ``provider`` and ``doc``."""
-    out = df.withColumn("errors", violations(F.col("provider"), F.col("doc")))
+    out = pinned(df, {"errors": violations(F.col("provider"), F.col("doc"))})
     return out.withColumn("schema_valid", F.size("errors") == 0)
 
 
@@ -54,7 +55,7 @@ def validate_requests(requests: DataFrame, *keys: str, body: str = "body", uri:
     """The violations table: keys, provider, path, keyword, message; valid requests give no row."""
     df = with_document(requests.select(*keys, uri, body), body)
     df = df.withColumn("provider", detect_provider(F.col(uri)))
-    df = df.select(*keys, "provider", violations(F.col("provider"), F.col("doc")).alias("_errors"))
+    df = pinned(df, {"_errors": violations(F.col("provider"), F.col("doc"))})
     return df.select(*keys, "provider", F.explode("_errors").alias("_e")).select(*keys, "provider", "_e.*")
 
 
