@@ -123,11 +123,31 @@ def _email_matches(text: str) -> Iterator[re.Match[str]]:
         pos = m.end()
 
 
+def _bounded_matches(text: str, regex: re.Pattern[str]) -> Iterator[re.Match[str]]:
+    """Matches between word boundaries, left to right.
+
+    Each of these patterns matches at most one way from a given start, so testing the boundaries
+    after the match finds what the pattern with its boundaries would.
+    """
+
+    def boundary(at: int) -> bool:
+        before = at > 0 and P.is_word(text[at - 1])
+        return before != (at < len(text) and P.is_word(text[at]))
+
+    pos = 0
+    while m := regex.search(text, pos):
+        if boundary(m.start()) and boundary(m.end()):
+            yield m
+            pos = m.end()
+        else:
+            pos = m.start() + 1
+
+
 def _text_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(character start, end, type, matched), by start and then by type order."""
     spans = []
-    for name, regex in P.python_pii_regexes().items():
-        for m in _email_matches(text) if name == "email" else regex.finditer(text):
+    for name, regex in P.PYTHON_PII.items():
+        for m in _email_matches(text) if name == "email" else _bounded_matches(text, regex):
             if name != "ip-address" or not m.group().startswith(P.SKIPPED_IP_PREFIXES):
                 spans.append((m.start(), m.end(), name, m.group()))
     return sorted(spans, key=lambda s: s[0])

@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
 
 
 @dataclass(frozen=True)
@@ -215,34 +214,21 @@ def re2_candidates(patterns: list[str]) -> str:
     return "|".join(spelled)
 
 
-@lru_cache(maxsize=1)
-def _python_word_members() -> str:
-    """Word characters as Python class members, derived from the general categories."""
-    word = bytearray(0x110000 + 1)
-    for cp in range(0x110000):
-        cat = unicodedata.category(chr(cp))
-        word[cp] = cat[0] in "LM" or cat in ("Nl", "Nd", "Pc")
-    for a, b in ((0x200C, 0x200D), *_ALPHABETIC_SYMBOLS):
-        word[a : b + 1] = b"\x01" * (b + 1 - a)
-    members, start = [], None
-    for cp, is_word in enumerate(word):
-        if is_word and start is None:
-            start = cp
-        elif not is_word and start is not None:
-            members.append(f"\\U{start:08x}-\\U{cp - 1:08x}")
-            start = None
-    return "".join(members)
-
-
-@lru_cache(maxsize=None)
-def python_pii_regexes() -> dict[str, re.Pattern[str]]:
-    """The personal-data patterns for Python ``re``, by type."""
-    word = _python_word_members()
-    boundary = f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))"
-    spelled = {}
-    for name, p in PII_PATTERNS:
-        spelled[name] = re.compile(_class_member(p, r"\s", _PY_SPACE).replace(r"\b", boundary))
-    return spelled
+def is_word(ch: str) -> bool:
+    """Whether a character counts as a word character at a boundary."""
+    category = unicodedata.category(ch)
+    return (
+        category[0] in "LM"
+        or category in ("Nl", "Nd", "Pc")
+        or ch in "\u200c\u200d"
+        or any(a <= ord(ch) <= b for a, b in _ALPHABETIC_SYMBOLS)
+    )
+
+
+# The personal-data patterns for Python ``re``, without their outer word boundaries.
+PYTHON_PII: dict[str, re.Pattern[str]] = {
+    name: re.compile(_class_member(p, r"\s", _PY_SPACE).replace(r"\b", "")) for name, p in PII_PATTERNS
+}
 
 
 def rules(patterns: tuple[tuple[str, str], ...]) -> list[Rule]:

@@ -141,7 +141,7 @@ def _block_openings(window: int):
     return run
 
 
-class _Counter:
+class WindowCounter:
     """Budget of the current window of one client."""
 
     __slots__ = ("request_limit", "token_limit", "window", "start", "requests", "tokens")
@@ -194,7 +194,7 @@ def _count_windows(request_limit: int, token_limit: int, window: int, keep: list
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(request_limit, token_limit, window)
+        counter = WindowCounter(request_limit, token_limit, window)
         key: tuple | None = None
         opening: int | None = None  # None: no window can open in this group
         for batch in batches:
