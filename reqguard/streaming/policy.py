@@ -41,9 +41,15 @@ def evaluate_policy_stream(
     return decide(rated.drop("asked"), config, *keep)
 
 
-def metrics_stream(verdicts: DataFrame, ts: str = "ts", watermark: str = "1 minute") -> DataFrame:
-    """Counters per minute; a minute is emitted once the watermark has passed it."""
-    return traffic_metrics_per_minute(verdicts.withWatermark(ts, watermark), ts)
+def metrics_stream(verdicts: DataFrame, ts: str = "ts", watermark: str | None = None) -> DataFrame:
+    """Counters per minute; a minute is emitted once the watermark has passed it.
+
+    Verdicts of a watermarked request stream keep its watermark; verdicts read back from the sink
+    need one here.
+    """
+    if watermark is not None:
+        verdicts = verdicts.withWatermark(ts, watermark)
+    return traffic_metrics_per_minute(verdicts, ts)
 
 
 def verdict_writer(verdicts: DataFrame, path: str, checkpoint: str, ts: str = "ts") -> DataStreamWriter:
