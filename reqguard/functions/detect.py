@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -97,17 +98,36 @@ def has_pii(types: Column) -> Column:
     return F.exists(types, lambda t: t != "ip-address")
 
 
-HITS = "array<struct<family string, pattern_id int, category string>>"
-
-
-def rule_hits(text: Column, family: str, rules: list[P.Rule]) -> Column:
-    """Every rule of a family that a text matches, as array<struct<family, pattern_id, category>>."""
-
-    def entry(r: P.Rule) -> Column:
-        named = {"family": family, "pattern_id": r.pattern_id, "category": r.category}
-        return F.when(text.rlike(r.regex), F.struct(*[F.lit(v).alias(k) for k, v in named.items()]))
+_RULE_RE2 = (
+    (INJECTION_BIT, [P.re2_any([p]) for _, p in P.INJECTION_PATTERNS]),
+    (JAILBREAK_BIT, [P.re2_any([p]) for _, p in P.JAILBREAK_PATTERNS]),
+)
 
-    return F.array_compact(F.array(*[entry(r) for r in rules])).cast(HITS)
+# All rules in one list: families in order, then patterns in order.
+RULES: list[tuple[str, int, str]] = [
+    (family, i, category)
+    for family, patterns in ((P.INJECTION, P.INJECTION_PATTERNS), (P.JAILBREAK, P.JAILBREAK_PATTERNS))
+    for i, (category, _) in enumerate(patterns)
+]
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def rule_numbers(text: pa.Array, mask: pa.Array) -> pa.Array:
+    """Positions in ``RULES`` of the rules each text matches, for the families its mask marks."""
+    rows, numbers, first = [], [], 0
+    for bit, regexes in _RULE_RE2:
+        marked = pc.not_equal(pc.bit_wise_and(mask, pa.scalar(bit, pa.int32())), 0)
+        at = pc.indices_nonzero(pc.fill_null(marked, False))
+        part = text.take(at)
+        for i, regex in enumerate(regexes):
+            hits = pc.indices_nonzero(pc.match_substring_regex(part, regex))
+            rows.append(at.take(hits).to_numpy().astype(np.int64))
+            numbers.append(np.full(len(hits), first + i, np.int32))
+        first += len(regexes)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    offsets = np.searchsorted(row[order], np.arange(len(text) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(numbers)[order]))
 
 
 _LOCAL_EDGE = re.compile(rf"(?<!{P.EMAIL_LOCAL})")

@@ -12,16 +12,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
-
-
-@dataclass(frozen=True)
-class Rule:
-    """One named detection pattern."""
-
-    pattern_id: int
-    category: str
-    regex: str
 
 
 # --- Fixed values: prompt-injection patterns (case-insensitive) -------------------------------
@@ -231,14 +221,6 @@ PYTHON_PII: dict[str, re.Pattern[str]] = {
 }
 
 
-def rules(patterns: tuple[tuple[str, str], ...]) -> list[Rule]:
-    """Numbered rules (ids from 0, in list order), each as a stand-alone Java regex."""
-    return [Rule(i, cat, "(?U)" + fold_case(p)) for i, (cat, p) in enumerate(patterns)]
-
-
-INJECTION_RULES = rules(INJECTION_PATTERNS)
-JAILBREAK_RULES = rules(JAILBREAK_PATTERNS)
-
 # The run of characters before the "@" of an address.  Bounding where a run may start keeps the
 # search linear on long runs without an "@"; \G allows the rest of a run after a previous match.
 EMAIL_LOCAL = "[a-zA-Z0-9._%+-]"

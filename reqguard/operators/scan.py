@@ -34,22 +34,20 @@ def with_flags(df: DataFrame, text: str = "text", engine: str = "arrow") -> Data
 def pattern_hits(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """One row per text and matching rule: keys, family, pattern_id, category.
 
-    The single-rule regexes run only on texts that the family flag marks.
+    Single rules are tried only on texts that the family flag marks.
     """
-    families = (
-        (P.INJECTION, D.INJECTION_BIT, P.INJECTION_RULES),
-        (P.JAILBREAK, D.JAILBREAK_BIT, P.JAILBREAK_RULES),
-    )
     source = F.col(text)
+    any_family = F.lit(D.INJECTION_BIT | D.JAILBREAK_BIT)
     marked = df.select(*keys, source.alias("_text"), D.scan_mask(source).alias("_mask"))
-    marked = marked.where(F.col("_mask").bitwiseAND(F.lit(D.INJECTION_BIT | D.JAILBREAK_BIT)) != 0)
-    none = F.array().cast(D.HITS)
-    per_family = [
-        F.when(D.has_bit(F.col("_mask"), bit), D.rule_hits(F.col("_text"), family, rules)).otherwise(none)
-        for family, bit, rules in families
-    ]
-    hits = marked.select(*keys, F.concat(*per_family).alias("_hits"))
-    return hits.select(*keys, F.explode("_hits").alias("_h")).select(*keys, "_h.*")
+    marked = marked.where(F.col("_mask").bitwiseAND(any_family) != 0)
+    rules = F.array(
+        *[
+            F.struct(F.lit(f).alias("family"), F.lit(i).alias("pattern_id"), F.lit(c).alias("category"))
+            for f, i, c in D.RULES
+        ]
+    )
+    numbers = marked.select(*keys, F.explode(D.rule_numbers("_text", "_mask")).alias("_n"))
+    return numbers.select(*keys, F.get(rules, F.col("_n")).alias("_r")).select(*keys, "_r.*")
 
 
 def pii_findings(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:

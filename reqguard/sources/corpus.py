@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import read_spread
+
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 SECONDS_PER_KEY = 2
 CLIENTS = 5
@@ -80,14 +82,21 @@ def _object(members: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
 
 
+def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text."""
+    return read_spread(spark, f"{sf_dir}/documents.parquet", ["doc_id", "text"], ["doc_id"])
+
+
 def _keyed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+    conversations = read_spread(
+        spark, f"{sf_dir}/conversations.parquet", ["conv_id", "turn", "role", "text"], ["conv_id", "turn"]
+    ).select(
         F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("request_id"),
         (F.col("conv_id") * 31 + F.col("turn")).alias("k"),
         "role",
         "text",
     )
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    documents = read_documents(spark, sf_dir).select(
         F.concat(F.lit("d"), "doc_id").alias("request_id"),
         F.col("doc_id").alias("k"),
         F.lit("user").alias("role"),
@@ -195,7 +204,7 @@ def body_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     unpadded piece that is skipped; 4 follows a stray piece; 5 ends in a byte that is not UTF-8;
     6 is sent twice in a row; 7 is followed by a stray piece.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    docs = read_documents(spark, sf_dir).select(
         "doc_id", F.col("text").cast("binary").alias("_bytes"), (F.col("doc_id") % 19).alias("m")
     )
     pieces = F.greatest(F.ceil(F.octet_length("_bytes") / F.lit(PIECE_BYTES)), F.lit(1))
