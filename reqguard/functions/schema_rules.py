@@ -1,74 +1,90 @@
-"""Request-schema rules as column expressions over VARIANT values.
+"""Request-schema rules over VARIANT values.
 
 Every rule yields an array of violations, struct<path, keyword, message>, that is empty when the
 value conforms.  ``path`` is a JSON pointer, empty for the document root.
+
+A schema has some hundred small conditions.  They are put together as one SQL expression and
+handed to Spark once, which is much quicker than a call per operator.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+VIOLATIONS = "array<struct<path string, keyword string, message string>>"
+NOTHING = f"cast(array() AS {VIOLATIONS})"
+
+Test = Callable[[str], str]  # SQL of a value -> SQL condition, never NULL
+Rule = Callable[[str, str], str]  # SQL of a value, SQL of its path -> SQL of its violations
 
-from .providers import is_string, json_kind, string_value
+_names = itertools.count()
 
-VIOLATIONS = "array<struct<path string, keyword string, message string>>"
-Rule = Callable[[Column, Column], Column]  # (value, path) -> violations
 
+def _fresh(stem: str) -> str:
+    """A lambda variable name that no enclosing lambda uses."""
+    return f"{stem}_{next(_names)}"
 
-def nothing() -> Column:
-    return F.array().cast(VIOLATIONS)
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def violation(path: Column, keyword: str, message: Column | str) -> Column:
-    text = F.lit(message) if isinstance(message, str) else message
-    one = F.struct(path.alias("path"), F.lit(keyword).alias("keyword"), text.alias("message"))
-    return F.array(one).cast(VIOLATIONS)
 
+def violation(path: str, keyword: str, message: str) -> str:
+    return f"cast(array(struct({path}, {quoted(keyword)}, {quoted(message)})) AS {VIOLATIONS})"
 
-def fails(condition: Column, path: Column, keyword: str, message: Column | str) -> Column:
-    return F.when(condition, violation(path, keyword, message)).otherwise(nothing())
 
+def fails(condition: str, path: str, keyword: str, message: str) -> str:
+    return f"CASE WHEN {condition} THEN {violation(path, keyword, message)} ELSE {NOTHING} END"
 
-def together(*parts: Column) -> Column:
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+def together(*parts: str) -> str:
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
 
 # --- type tests (a JSON value that is absent is a NULL column) --------------------------------
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(json_kind(v).startswith("OBJECT"), F.lit(False))
+def _kind(v: str) -> str:
+    return f"schema_of_variant({v})"
+
+
+def is_string(v: str) -> str:
+    return f"coalesce({_kind(v)} = 'STRING', false)"
+
 
+def is_object(v: str) -> str:
+    """Only an object can be read as a struct, whichever fields it has."""
+    return f"(try_cast({v} AS struct<type variant>) IS NOT NULL)"
 
-def is_array(v: Column) -> Column:
-    return F.coalesce(json_kind(v).startswith("ARRAY"), F.lit(False))
 
+def is_array(v: str) -> str:
+    return f"(try_cast({v} AS array<variant>) IS NOT NULL)"
 
-def is_boolean(v: Column) -> Column:
-    return F.coalesce(json_kind(v) == "BOOLEAN", F.lit(False))
 
+def is_boolean(v: str) -> str:
+    return f"coalesce({_kind(v)} = 'BOOLEAN', false)"
 
-def is_null(v: Column) -> Column:
-    return F.coalesce(json_kind(v) == "VOID", F.lit(False))
 
+def is_null(v: str) -> str:
+    return f"coalesce({_kind(v)} = 'VOID', false)"
 
-def is_number(v: Column) -> Column:
-    kind = json_kind(v)
-    return F.coalesce((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.lit(False))
 
+def is_number(v: str) -> str:
+    kind = _kind(v)
+    return f"coalesce({kind} IN ('BIGINT', 'DOUBLE') OR startswith({kind}, 'DECIMAL'), false)"
 
-def number(v: Column) -> Column:
-    return F.when(is_number(v), v.try_cast("double"))
 
+def number(v: str) -> str:
+    return f"CASE WHEN {is_number(v)} THEN try_cast({v} AS double) END"
 
-def is_integer(v: Column) -> Column:
+
+def is_integer(v: str) -> str:
     """Numbers without a fractional part; ``1.0`` and ``1e2`` count."""
-    return F.coalesce(number(v) == F.floor(number(v)), F.lit(False))
+    return f"coalesce({number(v)} = floor({number(v)}), false)"
 
 
-TYPE_TESTS: dict[str, Callable[[Column], Column]] = {
+TYPE_TESTS: dict[str, Test] = {
     "string": is_string,
     "object": is_object,
     "array": is_array,
@@ -83,59 +99,51 @@ TYPE_TESTS: dict[str, Callable[[Column], Column]] = {
 
 
 def has_type(name: str) -> Rule:
-    return lambda v, path: fails(~TYPE_TESTS[name](v), path, "type", f'value is not of type "{name}"')
+    return lambda v, path: fails(f"NOT {TYPE_TESTS[name](v)}", path, "type", f'value is not of type "{name}"')
 
 
 def in_range(low: float | None = None, high: float | None = None) -> Rule:
     """Bounds apply to numbers only."""
 
-    def rule(v: Column, path: Column) -> Column:
+    def rule(v: str, path: str) -> str:
         parts = []
         if low is not None:
-            parts.append(fails(number(v) < low, path, "minimum", f"value is less than the minimum of {low:g}"))
+            message = f"value is less than the minimum of {low}"
+            parts.append(fails(f"{number(v)} < {low}", path, "minimum", message))
         if high is not None:
-            parts.append(
-                fails(number(v) > high, path, "maximum", f"value is greater than the maximum of {high:g}")
-            )
+            message = f"value is greater than the maximum of {high}"
+            parts.append(fails(f"{number(v)} > {high}", path, "maximum", message))
         return together(*parts)
 
     return rule
 
 
 def non_empty_string() -> Rule:
-    return lambda v, path: fails(string_value(v) == "", path, "minLength", "value is shorter than 1 character")
+    message = "value is shorter than 1 character"
+    return lambda v, path: fails(f"{is_string(v)} AND try_cast({v} AS string) = ''", path, "minLength", message)
 
 
 def one_of_values(*values: str) -> Rule:
-    listed = ", ".join(f'"{x}"' for x in values)
+    listed = ", ".join(quoted(x) for x in values)
+    message = "value is not one of [" + ", ".join(f'"{x}"' for x in values) + "]"
 
-    def rule(v: Column, path: Column) -> Column:
-        known = F.coalesce(string_value(v).isin(*values), F.lit(False))
-        return fails(~known, path, "enum", f"value is not one of [{listed}]")
+    def rule(v: str, path: str) -> str:
+        known = f"coalesce({is_string(v)} AND try_cast({v} AS string) IN ({listed}), false)"
+        return fails(f"NOT {known}", path, "enum", message)
 
     return rule
 
 
-def one_of_shapes(*tests: Callable[[Column], Column]) -> Rule:
+def one_of_shapes(*tests: Test) -> Rule:
     """The shapes exclude each other, so "exactly one" is "any"."""
-
-    def rule(v: Column, path: Column) -> Column:
-        fits = F.lit(False)
-        for test in tests:
-            fits = fits | test(v)
-        return fails(~fits, path, "oneOf", "value is not valid under any of the given schemas")
-
-    return rule
+    message = "value is not valid under any of the given schemas"
+    return lambda v, path: fails(f"NOT ({' OR '.join(t(v) for t in tests)})", path, "oneOf", message)
 
 
 def all_rules(*rules: Rule) -> Rule:
     return lambda v, path: together(*[r(v, path) for r in rules])
 
 
-def string_rule() -> Rule:
-    return has_type("string")
-
-
 def number_between(low: float, high: float) -> Rule:
     return all_rules(has_type("number"), in_range(low, high))
 
@@ -144,101 +152,75 @@ def integer_from(low: int, high: int | None = None) -> Rule:
     return all_rules(has_type("integer"), in_range(low, high))
 
 
-def array_of_strings(max_items: int | None = None) -> Callable[[Column], Column]:
+def array_of_strings(max_items: int | None = None) -> Test:
     """Shape test: an array whose items are all strings."""
 
-    def test(v: Column) -> Column:
-        items = v.try_cast("array<variant>")
-        fits = is_array(v) & F.forall(items, is_string)
+    def test(v: str) -> str:
+        items, x = f"try_cast({v} AS array<variant>)", _fresh("x")
+        fits = f"forall({items}, {x} -> {is_string(x)})"
         if max_items is not None:
-            fits = fits & (F.size(items) <= max_items)
-        return F.coalesce(fits, F.lit(False))
+            fits += f" AND size({items}) <= {max_items}"
+        return f"coalesce({fits}, false)"
 
     return test
 
 
-def array_of_objects(required: dict[str, str], optional: dict[str, str]) -> Callable[[Column], Column]:
+def array_of_objects(required: dict[str, str], optional: dict[str, str]) -> Test:
     """Shape test: an array of objects with typed fields."""
-    names = [*required, *optional]
-    item_type = f"array<struct<{', '.join(f'`{n}` variant' for n in names)}>>"
-
-    def item_fits(item: Column) -> Column:
-        fits = item.isNotNull()
-        for name, kind in required.items():
-            fits = fits & TYPE_TESTS[kind](item[name])
-        for name, kind in optional.items():
-            fits = fits & (item[name].isNull() | TYPE_TESTS[kind](item[name]))
-        return fits
-
-    return lambda v: F.coalesce(is_array(v) & F.forall(v.try_cast(item_type), item_fits), F.lit(False))
-
-
-def list_items(test: str) -> Rule:
-    """Each array item has a type; reported at the item."""
-
-    def rule(v: Column, path: Column) -> Column:
-        items = v.try_cast("array<variant>")
-        return F.coalesce(
-            F.flatten(
-                F.transform(
-                    items, lambda item, i: has_type(test)(item, F.concat(path, F.lit("/"), i.cast("string")))
-                )
-            ),
-            nothing(),
-        )
+    members = ", ".join(f"{n} variant" for n in [*required, *optional])
+
+    def test(v: str) -> str:
+        x = _fresh("x")
+        fits = [f"{x} IS NOT NULL"]
+        fits += [TYPE_TESTS[kind](f"{x}.{name}") for name, kind in required.items()]
+        fits += [f"({x}.{name} IS NULL OR {TYPE_TESTS[kind](f'{x}.{name}')})" for name, kind in optional.items()]
+        return f"coalesce(forall(try_cast({v} AS array<struct<{members}>>), {x} -> {' AND '.join(fits)}), false)"
+
+    return test
 
-    return rule
 
+def list_of(item: Rule, min_items: int = 0) -> Rule:
+    """A minimum length and a rule for every item, reported at the item's position."""
 
-def map_values(test: str) -> Rule:
-    """Each member of an object has a type; reported at the member."""
+    def rule(v: str, path: str) -> str:
+        items, x, i = f"try_cast({v} AS array<variant>)", _fresh("x"), _fresh("i")
+        at = f"concat({path}, '/', cast({i} AS string))"
+        parts = [f"coalesce(flatten(transform({items}, ({x}, {i}) -> {item(x, at)})), {NOTHING})"]
+        if min_items:
+            message = f"array has fewer than {min_items} item"
+            parts.insert(0, fails(f"size({items}) < {min_items}", path, "minItems", message))
+        return together(*parts)
+
+    return rule
 
-    def rule(v: Column, path: Column) -> Column:
-        members = F.map_entries(v.try_cast("map<string, variant>"))
 
-        def member(e: Column) -> Column:
-            escaped = F.replace(F.replace(e["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-            return has_type(test)(e["value"], F.concat(path, F.lit("/"), escaped))
+def map_values(item: Rule) -> Rule:
+    """A rule for every member of an object, reported at the member."""
 
-        return F.coalesce(F.flatten(F.transform(members, member)), nothing())
+    def rule(v: str, path: str) -> str:
+        e = _fresh("e")
+        at = f"concat({path}, '/', replace(replace({e}.key, '~', '~0'), '/', '~1'))"
+        members = f"map_entries(try_cast({v} AS map<string, variant>))"
+        return f"coalesce(flatten(transform({members}, {e} -> {item(f'{e}.value', at)})), {NOTHING})"
 
     return rule
 
 
 def object_fields(required: tuple[str, ...], rules: dict[str, Rule]) -> Rule:
     """Required members, then a rule for each member that is present; non-objects pass."""
-    names = list(dict.fromkeys([*required, *rules]))
-    as_struct = f"struct<{', '.join(f'`{n}` variant' for n in names)}>"
+    members = ", ".join(f"{n} variant" for n in dict.fromkeys([*required, *rules]))
 
-    def rule(v: Column, path: Column) -> Column:
-        # Binding the extracted members to a lambda variable extracts them once.
-        members = F.transform(F.array(v.try_cast(as_struct)), lambda f: _members(f, path))
-        return F.coalesce(F.when(is_object(v), F.element_at(members, 1)), nothing())
-
-    def _members(f: Column, path: Column) -> Column:
+    def rule(v: str, path: str) -> str:
+        # The lambda variable holds the extracted members, so that they are extracted once.
+        f = _fresh("f")
         parts = [
-            fails(f[n].isNull(), path, "required", f'"{n}" is a required property') for n in required
+            fails(f"{f}.{n} IS NULL", path, "required", f'"{n}" is a required property') for n in required
         ]
         for name, member_rule in rules.items():
-            at = F.concat(path, F.lit(f"/{name}"))
-            parts.append(F.when(f[name].isNotNull(), member_rule(f[name], at)).otherwise(nothing()))
-        return together(*parts)
-
-    return rule
-
-
-def list_of(item: Rule, min_items: int) -> Rule:
-    """A minimum length and a rule for every item, given its position."""
-
-    def rule(v: Column, path: Column) -> Column:
-        items = v.try_cast("array<variant>")
-        per_item = F.transform(
-            items, lambda x, i: item(x, F.concat(path, F.lit("/"), i.cast("string")))
-        )
-        return together(
-            fails(F.size(items) < min_items, path, "minItems", f"array has fewer than {min_items} item"),
-            F.coalesce(F.flatten(per_item), nothing()),
-        )
+            found = member_rule(f"{f}.{name}", f"concat({path}, '/{name}')")
+            parts.append(f"CASE WHEN {f}.{name} IS NOT NULL THEN {found} ELSE {NOTHING} END")
+        body = f"CASE WHEN {f} IS NOT NULL THEN {together(*parts)} ELSE {NOTHING} END"
+        return f"element_at(transform(array(try_cast({v} AS struct<{members}>)), {f} -> {body}), 1)"
 
     return rule
 
@@ -259,7 +241,7 @@ _SAMPLING: dict[str, Rule] = {
     "stop": one_of_shapes(is_string, array_of_strings(max_items=4)),
     "presence_penalty": number_between(-2, 2),
     "frequency_penalty": number_between(-2, 2),
-    "logit_bias": all_rules(has_type("object"), map_values("number")),
+    "logit_bias": all_rules(has_type("object"), map_values(has_type("number"))),
     "user": has_type("string"),
 }
 
@@ -343,7 +325,7 @@ MESSAGES = all_rules(
             "top_p": number_between(0, 1),
             "top_k": integer_from(0),
             "stream": has_type("boolean"),
-            "stop_sequences": all_rules(has_type("array"), list_items("string")),
+            "stop_sequences": all_rules(has_type("array"), list_of(has_type("string"))),
             "metadata": all_rules(has_type("object"), object_fields((), {"user_id": has_type("string")})),
             "tools": has_type("array"),
             "tool_choice": has_type("object"),

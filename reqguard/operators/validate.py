@@ -7,36 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions import schema_rules as R
 from ..functions.columns import pinned
-from ..functions.providers import detect_provider, string_value
+from ..functions.providers import detect_provider
 from .normalize import with_document
 
 
-def violations(provider: Column, doc: Column) -> Column:
-    """Violations of the schema that a document is held to, given its provider."""
-    root = F.lit("")
+def violations(provider: str = "provider", doc: str = "doc") -> Column:
+    """Violations of the schema that a document is held to, given its provider (column names)."""
 
-    def has(name: str) -> Column:
-        return F.try_variant_get(doc, f"$.{name}", "variant").isNotNull()
+    def has(name: str) -> str:
+        return f"try_variant_get({doc}, '$.{name}', 'variant') IS NOT NULL"
 
-    model = string_value(F.try_variant_get(doc, "$.model", "variant"))
-    names_gpt = F.coalesce(model.startswith("gpt"), F.lit(False))
-    openai_like = provider.isin("openai", "azure")
-    use_messages = (provider == "anthropic") | (
-        ~openai_like & has("messages") & has("max_tokens") & ~names_gpt
+    model = f"try_variant_get({doc}, '$.model', 'variant')"
+    names_gpt = f"coalesce({R.is_string(model)} AND startswith(try_cast({model} AS string), 'gpt'), false)"
+    openai_like = f"{provider} IN ('openai', 'azure')"
+    use_messages = (
+        f"{provider} = 'anthropic'"
+        f" OR (NOT {openai_like} AND {has('messages')} AND {has('max_tokens')} AND NOT {names_gpt})"
     )
-    return (
-        F.when(doc.isNull(), R.violation(root, "json", "Invalid JSON"))
-        .when(use_messages, R.MESSAGES(doc, root))
-        .when(has("messages"), R.CHAT(doc, root))
-        .when(has("prompt"), R.COMPLETION(doc, root))
-        .when(openai_like, R.violation(root, "format", "Missing required field: 'messages' or 'prompt'"))
-        .otherwise(R.violation(root, "format", "Unable to determine request format"))
+    root = "''"
+    neither = "Missing required field: 'messages' or 'prompt'"
+    return F.expr(
+        f"""CASE
+        WHEN {doc} IS NULL THEN {R.violation(root, "json", "Invalid JSON")}
+        WHEN {use_messages} THEN {R.MESSAGES(doc, root)}
+        WHEN {has("messages")} THEN {R.CHAT(doc, root)}
+        WHEN {has("prompt")} THEN {R.COMPLETION(doc, root)}
+        WHEN {openai_like} THEN {R.violation(root, "format", neither)}
+        ELSE {R.violation(root, "format", "Unable to determine request format")} END"""
     )
 
 
 def with_validation(df: DataFrame) -> DataFrame:
     """Add ``errors`` and ``schema_valid`` to rows that carry ``provider`` and ``doc``."""
-    out = pinned(df, {"errors": violations(F.col("provider"), F.col("doc"))})
+    out = pinned(df, {"errors": violations()})
     return out.withColumn("schema_valid", F.size("errors") == 0)
 
 
@@ -55,7 +58,7 @@ def validate_requests(requests: DataFrame, *keys: str, body: str = "body", uri:
     """The violations table: keys, provider, path, keyword, message; valid requests give no row."""
     df = with_document(requests.select(*keys, uri, body), body)
     df = df.withColumn("provider", detect_provider(F.col(uri)))
-    df = pinned(df, {"_errors": violations(F.col("provider"), F.col("doc"))})
+    df = pinned(df, {"_errors": violations()})
     return df.select(*keys, "provider", F.explode("_errors").alias("_e")).select(*keys, "provider", "_e.*")
 
 
