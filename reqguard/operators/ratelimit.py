@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW_SECONDS = 60  # fixed value: the default window
-BLOCK_WINDOWS = 64
+BLOCK_WINDOWS = 16
 
 RESULT = T.StructType(
     [
@@ -90,16 +90,14 @@ def _block_steps(window: int, block_us: int):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            clients = batch.column("_client").to_pylist()
+            clients = batch.column("_client")
             blocks = batch.column("_block").to_numpy()
             ts = batch.column("_us").to_numpy()
-            changes = [
-                i
-                for i in range(1, batch.num_rows)
-                if blocks[i] != blocks[i - 1] or clients[i] != clients[i - 1]
-            ]
+            codes = clients.dictionary_encode().indices.fill_null(-1).to_numpy()
+            new_group = (blocks[1:] != blocks[:-1]) | (codes[1:] != codes[:-1])
+            changes = (np.flatnonzero(new_group) + 1).tolist()
             for a, b in zip([0, *changes], [*changes, batch.num_rows]):
-                this = (clients[a], int(blocks[a]))
+                this = (clients[a].as_py(), int(blocks[a]))
                 if this != key:
                     close()
                     key, times = this, []

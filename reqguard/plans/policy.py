@@ -14,7 +14,7 @@ from ..functions.estimate import cost_text, estimate_cost, estimate_tokens
 from ..operators.normalize import parse_requests
 from ..operators.ratelimit import RESULT, rate_limit
 from ..operators.validate import error_text, with_validation
-from ..session import checkpointed
+from ..session import stored
 
 # --- Fixed values: header names, tags, reason codes, block texts ------------------------------
 H_PROVIDER = "X-AI-Gateway-Provider"
@@ -315,7 +315,7 @@ def evaluate_policy(
     if not config.rate_limited:
         return decide(assessed.withColumn("rate", F.lit(None).cast(RESULT)), config, *keep)
     if materialize:
-        assessed = checkpointed(assessed)
+        assessed = stored(assessed)
     asked = rate_limit(
         assessed.where(F.col("stage") == CHECKED),
         config.rate_limit_requests,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,17 +50,27 @@ def ship_package(spark: SparkSession) -> None:
     context._reqguard_shipped = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once, so that several readers share one pass.
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is used only where none
-    is set (local runs).
+    A temporary folder stands in only for local sessions that name none.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="reqguard-checkpoint-"))
-    return df.checkpoint(eager=True)
+        folder = tempfile.mkdtemp(prefix="reqguard-shared-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there.
+
+    Lineage ends at the files, so a lost executor never recomputes what led to them, and each
+    reader takes only the columns it needs.  The folder's owner decides how long they are kept.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/reqguard-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

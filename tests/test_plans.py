@@ -36,8 +36,9 @@ def test_filters_reach_the_scan_and_do_not_parse_twice(spark, tmp_path):
     parsed = N.normalize_requests(log).where(F.col("req").isNotNull() & (F.col("client_ip") == "203.0.113.1"))
     text = plan(parsed)
     assert "EqualTo(client_ip,203.0.113.1)" in text
-    once = plan(N.normalize_requests(log)).count("parse_json")
-    assert text.count("parse_json") == once
+    parse = "VariantExpressionEvalUtils.parseJson"
+    once = plan(N.normalize_requests(log)).count(parse)
+    assert text.count(parse) == once > 0
 
 
 def test_usage_report_combines_before_its_only_shuffle(spark, tmp_path):
