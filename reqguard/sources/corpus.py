@@ -7,9 +7,12 @@ stated in SQL.  All of it is a narrow projection: nothing is shuffled or grouped
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import INJECTION_PATTERNS, JAILBREAK_PATTERNS
 from .tables import read_spread
 
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -197,6 +200,27 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("request_id", F.concat("text", seed).alias("text"))
 
 
+def sample_text(pattern: str) -> str:
+    """A text that a detection pattern matches: optional parts left out, first alternatives taken."""
+    text = re.sub(r"\([^()]*\)\?", "", pattern)
+    text = re.sub(r"\(([^()|]*)\|[^()]*\)", r"\1", text)
+    text = text.replace(r"\s+", " ").replace(r"\s*", "").replace(r"\b", "")
+    return re.sub(r"(.)\?", r"\1", text).replace("\\", "")
+
+
+RULE_SAMPLES = tuple(
+    sample_text(p) for _, p in (*INJECTION_PATTERNS, *JAILBREAK_PATTERNS)
+)
+
+
+def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_id, text: each row's text with a sample of one detection rule (or none) appended."""
+    index = F.col("k") % (len(RULE_SAMPLES) + 1)
+    sample = F.get(F.array(*[F.lit(t) for t in RULE_SAMPLES]), index.cast("int"))
+    text = F.concat("text", F.lit(" "), F.coalesce(sample, F.lit("")))
+    return _keyed_texts(spark, sf_dir).select("request_id", text.alias("text"))
+
+
 def body_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(headers, chunks): documents sent in pieces, with the faults of real traffic.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reqguard.functions import detect as D
 from reqguard.functions import patterns as P
 from reqguard.operators import scan as S
+from reqguard.sources.corpus import RULE_SAMPLES
 
 # One hit per pattern, in order, and texts that come close without hitting.
 INJECTION_EXAMPLES = [
@@ -74,6 +75,12 @@ def test_each_example_hits_its_own_pattern():
     assert not any(h for h in reference_hits(CLEAN, [p for _, p in P.INJECTION_PATTERNS + P.JAILBREAK_PATTERNS]))
 
 
+def test_samples_hit_their_own_pattern():
+    patterns = [p for _, p in P.INJECTION_PATTERNS + P.JAILBREAK_PATTERNS]
+    hits = reference_hits(list(RULE_SAMPLES), patterns)
+    assert all(i in h for i, h in enumerate(hits)) and len(hits) == len(patterns)
+
+
 def test_engines_agree(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     arrow = {r.id: (r.injection, r.jailbreak, r.pii_types, r.has_pii) for r in S.with_flags(df).collect()}
