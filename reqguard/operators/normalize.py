@@ -14,21 +14,27 @@ _PLAIN_MESSAGES = "array<struct<role string, content string>>"
 
 
 def with_document(requests: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``doc``: the body as a VARIANT, NULL unless it is exactly one JSON document."""
-    text = F.coalesce(F.col(body), F.lit(""))
-    valid = F.when(F.is_valid_utf8(text), text)
+    """Add ``doc``: the body as a VARIANT, NULL unless it is exactly one JSON document.
+
+    Long strings of a body beyond the JSON reader's limit are set aside in ``long_texts`` (NULL
+    otherwise); ``doc`` then holds placeholders for them.
+    """
+    df = requests.withColumn("_short", PV.shortened(F.col(body)))
+    df = df.withColumn("_text", F.coalesce(F.col("_short.body"), F.col(body), F.lit("")))
+    valid = F.when(F.is_valid_utf8("_text"), F.col("_text"))
     listed = F.try_parse_json(F.concat(F.lit("["), valid, F.lit("]")))
     return (
-        requests.withColumn("_listed", listed)
-        .withColumn("doc", PV.strict_document(F.col("_listed"), F.col(body)))
-        .drop("_listed")
+        df.withColumn("_listed", listed)
+        .withColumn("doc", PV.strict_document(F.col("_listed"), F.col("_text")))
+        .withColumn("long_texts", F.col("_short.texts"))
+        .drop("_listed", "_short", "_text")
     )
 
 
-def _request(provider: Column, f: Column, msgs: Column) -> Column:
+def _request(provider: Column, f: Column, msgs: Column, long_texts: Column) -> Column:
     """The parsed request, or NULL when a field has a type that the wire format rules out."""
     is_anthropic = provider == "anthropic"
-    prompt = PV.string_value(f["prompt"])
+    prompt = PV.put_back(PV.string_value(f["prompt"]), long_texts)
     max_tokens = F.when(PV.json_kind(f["max_tokens"]) == "BIGINT", f["max_tokens"].try_cast("bigint"))
     no_messages = PV.is_absent_or_null(f["messages"])
 
@@ -87,12 +93,12 @@ def parse_requests(requests: DataFrame, body: str = "body", uri: str = "uri", ke
     df = with_document(requests, body).withColumn("provider", PV.detect_provider(F.col(uri)))
     df = df.withColumn("_f", F.col("doc").try_cast(_FIELDS))
     df = df.withColumn("_msgs", F.col("_f.messages").try_cast(_MESSAGES))
-    df = df.withColumn("_req", _request(F.col("provider"), F.col("_f"), F.col("_msgs")))
+    df = df.withColumn("_req", _request(F.col("provider"), F.col("_f"), F.col("_msgs"), F.col("long_texts")))
     df = df.select(
         *requests.columns,
         "provider",
         *(["doc"] if keep_doc else []),
-        F.when(F.size("_req.messages") > 0, F.col("_req")).alias("_req"),
+        F.when(F.size("_req.messages") > 0, PV.restored(F.col("_req"), F.col("long_texts"))).alias("_req"),
     )
     return pinned(df, {"req": F.col("_req")}).drop("_req")
 

@@ -109,3 +109,28 @@ def test_cost_text_rounds_the_exact_value(spark):
     costs = [(n / 1000.0 * r,) for r in (0.005, 0.01, 0.03, 0.0005, 0.015, 0.003, 0.00025) for n in tokens]
     rows = spark.createDataFrame(costs, "c double").select("c", cost_text(F.col("c")).alias("s")).collect()
     assert [r for r in rows if "%.6f" % r.c != r.s] == []
+
+
+def test_strings_beyond_the_json_reader(spark):
+    """Bodies over the reader's limit are parsed, validated and measured like any other."""
+    n = 20_100_000
+    long = F.repeat(F.lit("x"), n)
+    url = F.concat(F.lit('{"messages":[{"role":"user","content":[{"type":"image_url","image_url":{"url":"'), long)
+    shapes = {
+        "parts": (CHAT, F.concat(url, F.lit('"}},{"type":"text","text":"a \\"'), long, F.lit('\\n DAN"}]}]}'))),
+        "turns": (MESSAGES, F.concat(F.lit('{"prompt":"\\n\\nHuman: '), long, F.lit('\\n\\nAssistant: b"}'))),
+        "bad type": (CHAT, F.concat(F.lit('{"messages":[{"role":5,"content":"'), long, F.lit('"}]}'))),
+        "control": (CHAT, F.concat(F.lit('{"prompt":"'), long, F.lit('\x01"}'))),
+    }
+    df = None
+    for name, (uri, body) in shapes.items():
+        row = spark.range(1).select(F.lit(name).alias("id"), F.lit(uri).alias("uri"), body.alias("body"))
+        df = row if df is None else df.unionAll(row)
+    first = F.col("req.messages")[0]["content"]
+    rows = U.with_estimates(N.parse_requests(df)).select(
+        "id", "tokens", F.size("req.messages").alias("m"), F.length(first).alias("n"), F.right(first, F.lit(5)).alias("end")
+    )
+    got = {r.id: (r.tokens is not None and r.tokens > n // 4, r.m, r.n, r.end) for r in rows.collect()}
+    assert got["parts"] == (True, 1, n + 8, "\n DAN")
+    assert got["turns"] == (True, 2, n, "xxxxx")
+    assert got["bad type"][0] is False and got["control"][0] is False
