@@ -414,6 +414,12 @@ FROM (SELECT DISTINCT * FROM found) GROUP BY 1, 2, 3""",
         "verdicts_block": _verdict_query(**STRICT),
         "verdicts_detect_only": _verdict_query(**DETECT_ONLY),
         "verdicts_default": _verdict_query(**DEFAULT),
+        "verdicts_from_chunks": _verdict_query(**DEFAULT),
+        "metrics_in_flight": _ASSEMBLED
+        + """SELECT (SELECT count(*) FROM done) AS requests_total,
+  (SELECT count(*) FROM done WHERE m = 5) AS requests_blocked_total,
+  CAST(0 AS BIGINT) AS prompt_injection_detections_total, CAST(0 AS BIGINT) AS pii_detections_total,
+  CAST(0 AS BIGINT) AS jailbreak_detections_total, (SELECT count(*) FROM m WHERE m = 1) AS in_flight_requests""",
         "metrics": _verdict_ctes(**STRICT) + f"SELECT {_COUNTERS} FROM verdict",
         "metrics_per_minute": _verdict_ctes(**DEFAULT)
         + f"SELECT date_trunc('minute', ts) AS minute, {_COUNTERS} FROM verdict GROUP BY 1",

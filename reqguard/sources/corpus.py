@@ -221,6 +221,28 @@ def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed_texts(spark, sf_dir).select("request_id", text.alias("text"))
 
 
+def chunked(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers, chunks) that carry the bodies of a request log, one event row per piece."""
+    headers = log.select(
+        F.col("request_id").alias("correlation_id"),
+        "client_ip",
+        F.col("ts").alias("timestamp"),
+        "uri",
+        F.lit(0).cast("bigint").alias("seq"),
+    )
+    whole = log.select("request_id", F.col("body").cast("binary").alias("_bytes"))
+    n = F.greatest(F.ceil(F.octet_length("_bytes") / F.lit(PIECE_BYTES)), F.lit(1))
+    numbered = whole.withColumn("n", n).withColumn("seq", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    piece = F.substring(F.col("_bytes"), (F.col("seq") - 1) * PIECE_BYTES + 1, F.lit(PIECE_BYTES))
+    chunks = numbered.select(
+        F.col("request_id").alias("correlation_id"),
+        "seq",
+        F.replace(F.base64(piece), F.lit("\r\n"), F.lit("")).alias("data"),
+        (F.col("seq") == F.col("n")).alias("is_last"),
+    )
+    return headers, chunks
+
+
 def body_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(headers, chunks): documents sent in pieces, with the faults of real traffic.
 
