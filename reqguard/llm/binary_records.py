@@ -22,16 +22,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .words import slices
+
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<Bq")
 _FRAME_EXTRA = _HEAD.size + 4 + 1
 # Words whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 600_000
+# The stand-in of a space.
+SPACE = "\u0120"
 
 INDEX_SCHEMA = (
     "shard int, piece int, doc_id bigint, offset bigint, length bigint, local_start bigint,"
@@ -51,72 +54,72 @@ def frame(payload: bytes) -> bytes:
     )
 
 
+class _Words(dict):
+    """Ids, as bytes, of words that stand after ``lead`` (a space, or nothing at the start of a line)."""
+
+    # Letters with plain marks after them, which are a piece of their own.
+    _TAILED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+
+    def __init__(self, encoder: Encoder, lead: str) -> None:
+        super().__init__()
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        encoder = self.encoder
+        if word.isalpha():
+            # A run of letters is one piece with the space before it: no need to cut it up.
+            piece = self.lead + word
+            piece = piece.replace(" ", SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(byte_alphabet())
+            ids = encoder.pack([t.id for t in encoder.model.tokenize(piece)])
+        elif (found := self._TAILED.fullmatch(word)) and found[1].isalpha():
+            ids = self[found[1]] + encoder.start[found[2]]
+        else:
+            ids = encoder.pack(encoder.tokenizer.encode(self.lead + word, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids as bytes, equal to those of ``Tokenizer.encode`` over the whole text.
 
     In byte-level BPE a single space between two characters other than white space always begins a
-    piece of its own, so a text is the pieces between its spaces, and a piece that was met before
-    need not be encoded again.  Texts with other runs of white space, or with the string of a special
-    token, go to the tokenizer whole, as does everything when the file holds another kind of model.
+    piece of its own, and a single line end is a piece alone.  So a text is what lies between them,
+    and a word that was met before need not be encoded again.  Texts with longer runs of white
+    space, or with the string of a special token, go to the tokenizer whole, as does everything when
+    the file holds another kind of model.
     """
 
-    _ODD = re.compile(r" \s")
+    _RUNS = re.compile(r"\s\s")
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 0xFFFF else "I"
         pre = self.tokenizer.pre_tokenizer
         self.split = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space
-        self.split = self.split and self.tokenizer.normalizer is None
+        self.split = self.split and isinstance(self.model, models.BPE) and self.tokenizer.normalizer is None
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.memo: dict[str, bytes] = {}
+        self.start, self.after = _Words(self, ""), _Words(self, " ")
+        self.start[""] = b""
+        self.line_end = self.pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def pack(self, ids: list[int]) -> bytes:
         return array.array(self.code, ids).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of words as they stand after a space."""
-        mixed: list[str] = []
-        model, table, memo = self.tokenizer.model, byte_alphabet(), self.memo
-        for w in words:
-            # A run of letters is one piece with the space before it: no need to cut it up.
-            if w.isalpha():
-                piece = (" " + w).encode().decode("latin-1").translate(table)
-                memo[w] = self.pack([t.id for t in model.tokenize(piece)])
-            else:
-                mixed.append(w)
-        spaced = [" " + w for w in mixed]
-        for w, e in zip(mixed, self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False), strict=True):
-            memo[w] = self.pack(e.ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        cut: list[list[str]] = []
-        at: list[int] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if not self.split or self._ODD.search(text) or (self.special and self.special.search(text)):
-                whole.append(i)
-            elif text:
-                at.append(i)
-                cut.append(text.split(" "))
-        first = [words.pop(0) for words in cut]
-        words = set().union(*cut)
-        new = {w for w in words if w not in self.memo}
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = words
-        self._learn(new)
-        get = self.memo.__getitem__
-        encode = self.tokenizer.encode_batch_fast
-        for i, w, rest in zip(at, encode(first, add_special_tokens=False), cut, strict=True):
-            out[i] = self.pack(w.ids) + b"".join(map(get, rest))
-        for i, e in zip(whole, encode([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = self.pack(e.ids)
-        return out
+    def encode(self, text: str) -> bytes:
+        if not self.split or self._RUNS.search(text) or (self.special and self.special.search(text)):
+            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        lines = []
+        after = self.after.__getitem__
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(self.start[first] + b"".join(map(after, rest)))
+        return self.line_end.join(lines)
 
 
 @lru_cache(maxsize=1)
@@ -138,25 +141,14 @@ def _framed(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     end = own.pack([end_id])
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for lo, hi in chunks(texts, 4_000_000):
-            encoded = own.encode(texts.slice(lo, hi - lo).to_pylist())
+        for lo, hi in slices(texts):
             out = [
-                frame(b"".join((_ID.pack(i is None, i or 0), e, end)))
-                for i, e in zip(ids[lo:hi], encoded, strict=True)
+                frame(b"".join((_ID.pack(i is None, i or 0), own.encode(text), end)))
+                for i, text in zip(ids[lo:hi], texts.slice(lo, hi - lo).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
-def chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes of text each, one row at least."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
-    if not len(sizes):
-        return
-    group = np.cumsum(sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
-    yield from zip(cuts, cuts[1:], strict=False)
-
-
 def write_records(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text"
 ) -> None:

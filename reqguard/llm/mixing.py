@@ -23,7 +23,7 @@ def word_count(text: Column) -> Column:
 
 def text_quality(text: Column, size: Column) -> Column:
     """0.5 to 1: texts whose words run past five characters on average weigh less."""
-    return F.coalesce(0.5 + 0.5 * F.least(F.lit(1.0), 6.0 * size / F.length(text)), F.lit(0.5))
+    return F.coalesce(0.5 + 0.5 * F.least(F.lit(1.0), F.try_divide(6.0 * size, F.length(text))), F.lit(0.5))
 
 
 def uniform(doc_id: Column, seed: int) -> Column:

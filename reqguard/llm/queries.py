@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, stored
-from . import binary_records, exact_dedup, mixing, packing
+from . import (
+    binary_records,
+    credentials,
+    cross_entropy,
+    exact_dedup,
+    imatch,
+    minmax,
+    mixing,
+    packing,
+    templates,
+    toxicity,
+)
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,10 +30,24 @@ def _new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/reqguard-{name}-{uuid.uuid4().hex}"
 
 
+def op1_linked_credentials(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.scan(_documents(spark, sf))
+
+
 def op2_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_documents(spark, sf))
 
 
+def op3_imatch(spark: SparkSession, sf: str) -> DataFrame:
+    return imatch.edit_study(_documents(spark, sf))
+
+
+def op4_cross_entropy_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Target: documents labelled as of good quality; background: all documents."""
+    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id")
+    return cross_entropy.cross_entropy_difference(_documents(spark, sf), good)
+
+
 def op5_binary_records(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,11 +71,33 @@ def op7_progressive_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.col("_digest").alias("text_sha256"))
 
 
+def op8_page_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op9_minmax_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = minmax.near_duplicates(_documents(spark, sf).select("doc_id", "text"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.scored(docs, toxicity.train(docs, labels))
+
+
 QUERIES = {
+    "op1_linked_credentials": op1_linked_credentials,
     "op2_length_buckets": op2_length_buckets,
+    "op3_imatch": op3_imatch,
+    "op4_cross_entropy_difference": op4_cross_entropy_difference,
     "op5_binary_records": op5_binary_records,
     "op6_weighted_mix": op6_weighted_mix,
     "op7_progressive_dedup": op7_progressive_dedup,
+    "op8_page_templates": op8_page_templates,
+    "op9_minmax_near_dedup": op9_minmax_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
