@@ -40,7 +40,7 @@ REPORTING = re.compile(
 )
 SECOND_PERSON = re.compile(r"\b(?:you|your|you're|u|ur|du|dich|dir|dein\w*|ihr|euch|tu|te|toi|ton|vous|tú|ti|usted|vosotros)\b")
 # --- end of fixed values -------------------------------------------------------------------------
-FEATURES = 9
+FEATURES = 11
 
 
 def edits_allowed(word: str) -> int:
@@ -221,7 +221,7 @@ def context(text: str, start: int, end: int) -> tuple[bool, bool]:
 
 
 def features(automaton: Automaton, texts: list[str]) -> np.ndarray:
-    """A row for each text: (plain, quoted) counts of exact, stem and near terms, aimed, share, any."""
+    """A row for each text: (plain, quoted) counts of exact, stem and near terms, aimed, share, any exact, stems."""
     lowered = [t.lower() for t in texts]
     owner, start, end, result, words = find(automaton, lowered)
     counts = np.zeros((len(texts), 7))
@@ -233,7 +233,10 @@ def features(automaton: Automaton, texts: list[str]) -> np.ndarray:
     out[:, :7] = np.log1p(counts)
     strong = counts[:, 0] + counts[:, 2]
     out[:, 7] = np.minimum(100 * strong / np.maximum(words, 20), 10) / 10
-    out[:, 8] = strong > 0
+    stemmed = counts[:, 2] + counts[:, 3]
+    out[:, 8] = counts[:, 0] + counts[:, 1] > 0
+    out[:, 9] = stemmed > 0
+    out[:, 10] = stemmed > 1
     return out
 
 
@@ -290,12 +293,13 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     # A stem stands for words that share it, each perhaps too rare to be learned.
     families = by_word.select("term", F.explode(F.array_distinct(starts(F.array("term")))).alias("stem"))
     families = families.groupBy("stem").agg(F.count(F.lit(1)).alias("family")).where("family >= 3")
-    sure = beyond_chance(stored(counted(F.array_distinct(starts(F.col("words"))))), 0.9)
-    pure = [r["term"] for r in sure.join(families, F.col("term") == F.col("stem")).select("term").collect()]
+    # Clean texts have single words of such a family too; how many a text has is for the weights.
+    sure = beyond_chance(stored(counted(F.array_distinct(starts(F.col("words"))))), 0.3)
+    found = sure.join(families, F.col("term") == F.col("stem")).select("term", "t", "n").collect()
     stems: list[str] = []
-    for p in sorted(pure, key=lambda p: (len(p), p)):
-        if not any(p.startswith(s) for s in stems):
-            stems.append(p)
+    for r in sorted(found, key=lambda r: (-r["t"] * np.log(r["t"] / r["n"] / base), len(r["term"]), r["term"])):
+        if not any(r["term"].startswith(s) or s.startswith(r["term"]) for s in stems):
+            stems.append(r["term"])
     words = sorted(w for w in words if not any(w.startswith(s) for s in stems))
     return words, sorted(stems)
 
