@@ -31,8 +31,8 @@ _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<Bq")
 _FRAME_EXTRA = _HEAD.size + 4 + 1
-# Words whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMO_WORDS = 600_000
+# Words whose ids a Python worker remembers at first hand; as many older ones are kept beside them.
+MEMO_WORDS = 450_000
 # The stand-in of a space.
 SPACE = "\u0120"
 
@@ -63,12 +63,16 @@ class _Words(dict):
     def __init__(self, encoder: Encoder, lead: str) -> None:
         super().__init__()
         self.encoder, self.lead = encoder, lead
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO_WORDS:
+            self.older = self.copy()
             self.clear()
         encoder = self.encoder
-        if word.isalpha():
+        if (known := self.older.get(word)) is not None:
+            ids = known
+        elif word.isalpha():
             # A run of letters is one piece with the space before it: no need to cut it up.
             piece = self.lead + word
             piece = piece.replace(" ", SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(byte_alphabet())
