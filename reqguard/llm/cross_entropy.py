@@ -158,6 +158,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     Null ids are in no target; an id that is repeated in ``target`` counts once.
     """
     ids = target.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_in", F.lit(True))
+    # A target grows with its corpus, so the plan is the one for large ones at every size.
+    ids = ids.hint("merge")
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     flagged = own.join(ids, "_id", "left").select("text", F.coalesce("_in", F.lit(False)).alias("is_target"))
     return score(docs, Models(model_counts(flagged)), doc_id, text)
