@@ -119,31 +119,32 @@ def build(words: list[str], stems: list[str]) -> Automaton:
     start = closed({(0, 0)})
     numbers = {frozenset(): 0, start: 1, stemmed: 2}
     order = [frozenset(), start, stemmed]
-    rows: list[list[int]] = []
-    at = 0
-    while at < len(order):
-        state = order[at]
-        at += 1
-        row = []
-        for c in (None, *alphabet):
-            if state == stemmed:
-                row.append(2)
-                continue
-            new: set[tuple[int, int]] = set()
-            is_stem = False
-            for node, e in state:
-                child = children[node].get(c) if c is not None else None
-                if child is not None:
-                    new.add((child, e))
-                    is_stem |= stem_end[child] and e == 0
-                if e < budget[node]:
-                    new.add((node, e + 1))
-                    new.update((x, e + 1) for x in children[node].values())
-            target = stemmed if is_stem else closed(new)
-            if target not in numbers:
-                numbers[target] = len(order)
-                order.append(target)
-            row.append(numbers[target])
+    rows: list[np.ndarray] = []
+
+    def number(state: frozenset[tuple[int, int]]) -> int:
+        if state not in numbers:
+            numbers[state] = len(order)
+            order.append(state)
+        return numbers[state]
+
+    while len(rows) < len(order):
+        state = order[len(rows)]
+        if state == stemmed:
+            rows.append(np.full(len(alphabet) + 1, 2, np.int32))
+            continue
+        # Whatever the letter: it is one too many, or stands for another.
+        edited: set[tuple[int, int]] = set()
+        expected: dict[str, set[tuple[int, int]]] = {}
+        for node, e in state:
+            if e < budget[node]:
+                edited.add((node, e + 1))
+                edited.update((x, e + 1) for x in children[node].values())
+            for c in children[node]:
+                expected.setdefault(c, set()).add((children[node][c], e))
+        row = np.full(len(alphabet) + 1, number(closed(edited)), np.int32)
+        for c, found in expected.items():
+            is_stem = any(stem_end[child] and e == 0 for child, e in found)
+            row[letters[c]] = 2 if is_stem else number(closed(edited | found))
         rows.append(row)
     result = np.zeros(len(order), np.int8)
     for k, state in enumerate(order):
@@ -153,7 +154,7 @@ def build(words: list[str], stems: list[str]) -> Automaton:
         hits = [e for node, e in state if 0 <= e <= ends[node]]
         if hits:
             result[k] = EXACT if min(hits) == 0 else NEAR
-    return Automaton(letters, np.array(rows, np.int32), result)
+    return Automaton(letters, np.array(rows), result)
 
 
 _WORD_CHAR: np.ndarray | None = None
