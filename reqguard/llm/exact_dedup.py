@@ -123,7 +123,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts:
     decided = stored(_decided(slim, "_id", "_chars", salts).where("group_size > 1"))
     # ``_of`` and ``_length`` tell rows apart without the digest.
     key = ["_of", "_length"]
-    drop = decided.where(~F.col("_best")).select(*key).distinct()
+    # Losers grow with the corpus, so the plan is the one for many at every size.
+    drop = decided.where(~F.col("_best")).select(*key).distinct().hint("merge")
     tied = decided.where("_best and _copies > 1").select(*key)
     left = digested.join(drop, key, "left_anti")
     single = left.join(tied, key, "left_anti").select(*docs.columns)
