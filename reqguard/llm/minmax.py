@@ -8,11 +8,14 @@ meets in a band with probability s**4 and misses all 48 bands with (1 - s**4)**4
 Work never follows the square of a group:
 
 * equal sets become one class; all later steps see classes;
-* a band's bucket is a star: its classes are paired with the bucket's least class alone;
-* a pair is confirmed only while its ends are in different components, so a group of n near copies
-  costs about n confirmations;
-* classes of one bucket that are in different components after that are compared with each other
-  too, for a star could have hidden their link.
+* bands say which classes have a candidate at all, and pairs are not made from them: documents
+  that share a passage, and no more, meet in bands in great numbers;
+* of the classes that met, only the rarest quarter of the shingles is looked at: two sets that are
+  similar enough have one of those in common, and a passage that many documents share is not rare;
+* a shingle's group is a star: its classes are paired with the group's least class alone, and
+  pairs whose sizes, or places among the rare shingles, rule the similarity out are dropped;
+* classes of one group that are in different components after the stars are confirmed are compared
+  with each other too, for a star could have hidden their link.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -36,6 +39,10 @@ BANDS = PERMUTATIONS // ROWS * 2
 # Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BITMAP_BITS = 22
+COUNT_BITS = 20
+BLOCK = 4096
+# Tokens of a centre that have a bit of their own.
+NUMBERED = 62
 
 _random = np.random.Generator(np.random.PCG64(20240501))
 _A = _random.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
@@ -176,6 +183,90 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * union).select("a", "b")
 
 
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << bits, np.uint32)
+    for batch in batches:
+        members = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        counts += np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+    some = [k for k in range(0, 1 << bits, BLOCK) if counts[k : k + BLOCK].any()]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int64()), pa.array([counts[k : k + BLOCK].tobytes() for k in some], pa.binary())], ["at", "counts"]
+    )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total.setdefault(k, np.zeros(BLOCK, np.uint32))
+            total[k] += np.frombuffer(counts, np.uint32)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int64()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["at", "counts"]
+    )
+
+
+def shingle_counts(sets: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
+    """About how many of the sets hold a shingle, by the first bits of its hash: an array of fixed size.
+
+    It only orders shingles from rare to common.  Any order that is the same for all sets is right;
+    a good one makes small groups.
+    """
+    parts = sets.select("members").mapInArrow(lambda batches: _counted(batches, bits), "at bigint, counts binary")
+    out = np.zeros(1 << bits, np.uint32)
+    for at, counts in parts.repartition("at").mapInArrow(_added, "at bigint, counts binary").collect():
+        out[at : at + BLOCK] = np.frombuffer(counts, np.uint32)
+    return out
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    shift = np.uint64(64 - int(np.log2(len(counts))))
+    for batch in batches:
+        cls, members = batch.column(0).to_numpy(), batch.column(1)
+        flat = members.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        size = np.asarray(pc.list_value_length(members), dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        common = counts[(flat >> shift).astype(np.int64)]
+        parts, takes = [], []
+        for b, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            n = e - b
+            # Of n, all but the least that an intersection needs, and one more.
+            take = n - (PERCENT * n + 99) // 100 + 1
+            parts.append(flat[b:e][np.lexsort((flat[b:e], common[b:e]))[:take]])
+            takes.append(take)
+        takes = np.array(takes, np.int64)
+        places = np.arange(takes.sum()) - np.repeat(np.cumsum(takes) - takes, takes)
+        token = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(token.view(np.int64)),
+                pa.array(np.repeat(cls, takes)),
+                pa.array(np.repeat(size, takes).astype(np.int32)),
+                pa.array(places.astype(np.int32)),
+            ],
+            ["token", "cls", "n", "place"],
+        )
+
+
+def rarest_shingles(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """token, cls, n, place: the shingles of which two similar sets must share one, rarest first."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    return sets.select("cls", "members").mapInArrow(
+        lambda batches: _rarest(batches, shared.value), "token bigint, cls bigint, n int, place int"
+    )
+
+
+def _possible(n: str, place: str, m: str, other: str) -> Column:
+    """Whether sets of n and m shingles, whose first common one stands at these places, can be similar.
+
+    All that both can share stands from there on, and similar sets share PERCENT / (100 + PERCENT)
+    of both sizes together at least.
+    """
+    a, b, i, j = F.col(n), F.col(m), F.col(place), F.col(other)
+    return ((100 + PERCENT) * F.least(a - i, b - j) >= PERCENT * (a + b)) & (
+        100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    )
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """cls and root (the least class reachable) for every class of ``nodes``.
 
@@ -183,23 +274,23 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     logarithm of a component's size, and a step groups neighbours by aggregation before any join.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
+        # Done when all links are stars: no node has two neighbours below it, no end is a centre too.
+        ends = edges.groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        centres = edges.select(F.col("v").alias("x")).distinct()
+        if ends.join(centres, "x", "left").where("n > 1").union(ends.join(centres, "x")).isEmpty():
+            break
         # Large star: the larger neighbours of a node go to its least neighbour (itself included).
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # (Stored, so that the join has an exchange on either side and a hot node can be split.)
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct())
+        # A node has few centres from here on.
+        large = stored(large.where("u <> v").repartition("u").distinct())
         # Small star: the smaller neighbours of a node, and it itself, go to the least of them.
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stored(small)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
+        edges = stored(moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     roots = edges.select(F.col("u").alias("cls"), F.col("v").alias("root"))
     return nodes.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
 
@@ -207,55 +298,64 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, sig: DataFrame, doc_id: str, text: str) -> DataFrame:
     """cls, rep (least id of the class) and root for every class of a set that is not empty."""
     classes = stored(
-        sig.where("n_shingles > 0")
-        .groupBy("cls")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        sig.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     )
-    banded = classes.select("cls", "n", F.explode("bands").alias("key"))
-    stars = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    # Only buckets of several classes go on.
-    shared = stored(banded.join(stars.select("key", "hub"), "key"))
-
-    def close(a: str, b: str):
-        """Sets whose sizes alone rule the similarity out are not compared."""
-        return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
-
-    sizes = classes.select(F.col("cls").alias("hub"), F.col("n").alias("n_hub"))
-    pairs = shared.where("cls <> hub").select("cls", "n", "hub").distinct().join(sizes, "hub").where(close("n", "n_hub"))
-    pending = stored(pairs.select(F.col("hub").alias("a"), F.col("cls").alias("b")))
-    involved = shared.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
-    sets = stored(sets_of(docs, stored(involved), doc_id, text))
-    nodes = shared.select("cls").distinct()
-    links = pending.limit(0)
-    roots = nodes.select("cls", F.col("cls").alias("root"))
-    for last in (False, True):
-        # First one pair for each class; most of the others have their ends in one component then.
-        now = pending if last else pending.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links = stored(links.union(confirmed(now, sets)))
-        roots = stored(components(nodes, links))
-        if not last:
-            pending = stored(_apart(pending.join(now, ["a", "b"], "left_anti"), roots))
-    # Classes of one bucket that stayed apart: neither is the hub, for pairs with hubs are done.
-    ends = shared.where("cls <> hub").join(roots, "cls")
-    mixed = ends.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_ = ends.join(mixed.select("key"), "key", "left_semi").select("key", "cls", "n", "root")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = (
-        x.join(y, F.expr("x.key = y.key and x.cls < y.cls and x.root <> y.root"))
-        .where(close("x.n", "y.n"))
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        .distinct()
+    banded = classes.select("cls", F.explode("bands").alias("key"))
+    met = banded.groupBy("key").count().where("count > 1").select("key")
+    involved = banded.join(met, "key", "left_semi").select("cls").distinct()
+    involved = stored(involved.join(classes.select("cls", "rep"), "cls"))
+    sets = stored(sets_of(docs, involved, doc_id, text))
+    tokens = stored(rarest_shingles(sets, shingle_counts(sets)))
+    hubs = tokens.groupBy("token").agg(F.min(F.struct("cls", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("size"))
+    shared = stored(
+        tokens.join(hubs.where("size > 1"), "token")
+        .where(F.col("cls") != F.col("hub.cls"))
+        .select("token", "cls", "n", "place", F.col("hub.cls").alias("a"), F.col("hub.n").alias("m"), F.col("hub.place").alias("other"))
     )
-    found = stored(confirmed(rest, sets))
+    pairs = shared.where(_possible("n", "place", "m", "other")).select("a", F.col("cls").alias("b")).distinct()
+    pairs = stored(pairs)
+    # First one pair for each class; most of the others have both ends at one centre then.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(confirmed(first, sets))
+    centre = links.select(F.col("b").alias("x"), F.col("a").alias("c"))
+    of_a = centre.select(F.col("x").alias("a"), F.col("c").alias("ca"))
+    of_b = centre.select(F.col("x").alias("b"), F.col("c").alias("cb"))
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    rest = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(apart).select("a", "b")
+    links = stored(links.union(confirmed(rest.join(first, ["a", "b"], "left_anti"), sets)))
+    nodes = involved.select("cls")
+    roots = stored(components(nodes, links))
+    # Classes of one group that stayed apart: neither is the centre, for pairs with it are done.
+    ends = shared.select("token", "a", "cls", "n").join(roots, "cls")
+    mixed = ends.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    open_ = stored(ends.join(mixed.select("token"), "token", "left_semi").select("token", "a", "cls", "n", "root"))
+    between = _pairs_apart(open_)
+    found = stored(confirmed(between, sets))
     if not found.isEmpty():
-        roots = stored(components(nodes, stored(links.union(found))))
+        roots = stored(components(nodes, links.union(found)))
     return classes.select("cls", "rep").join(roots, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    a = roots.select(F.col("cls").alias("a"), F.col("root").alias("root_a"))
-    b = roots.select(F.col("cls").alias("b"), F.col("root").alias("root_b"))
-    return pairs.join(a, "a").join(b, "b").where("root_a <> root_b").select("a", "b")
+def _pairs_apart(rows: DataFrame) -> DataFrame:
+    """Pairs of classes that share a token and are in different components, from (token, a, cls, n, root).
+
+    Two classes may share many of the tokens that have one centre ``a``, of which there are no more
+    than the centre has rare shingles.  The most common of them are numbered, every class knows by
+    a bit each which of those it has, and a pair comes out at the first that both have.
+    """
+    by_size = Window.partitionBy("a").orderBy(F.col("count").desc(), "token")
+    numbered = rows.groupBy("token", "a").count().withColumn("r", F.row_number().over(by_size) - 1)
+    rows = rows.join(numbered.select("token", "r"), "token")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("r"))
+    masks = rows.where(F.col("r") < NUMBERED).groupBy("cls", "a").agg(F.bit_or(bit).alias("mask"))
+    rows = rows.join(masks, ["cls", "a"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    rows = stored(rows.withColumn("earlier", F.when(F.col("r") < NUMBERED, bit - 1).otherwise(F.lit(-1))))
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = F.expr(
+        f"x.token = y.token and x.cls < y.cls and x.root <> y.root and (x.mask & y.mask & x.earlier) = 0"
+        f" and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
+    )
+    return x.join(y, apart).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,7 +396,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
     several = stored(several.groupBy("_row", "_stays").count())
     marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    lose = several.where(~F.col("_stays")).select("_row")
+    # Losers grow with the corpus, so the plan is the one for many at every size.
+    lose = several.where(~F.col("_stays")).select("_row").hint("merge")
     tied = several.where("_stays and count > 1").select("_row")
     left = marked.join(lose, "_row", "left_anti")
     single = left.join(tied, "_row", "left_anti").select(*docs.columns)
