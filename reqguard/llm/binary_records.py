@@ -63,6 +63,7 @@ class _Words(dict):
     def __init__(self, encoder: Encoder, lead: str) -> None:
         super().__init__()
         self.encoder, self.lead = encoder, lead
+        self.mapped_lead = lead.replace(" ", SPACE)
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
@@ -74,9 +75,11 @@ class _Words(dict):
             ids = known
         elif word.isalpha():
             # A run of letters is one piece with the space before it: no need to cut it up.
-            piece = self.lead + word
-            piece = piece.replace(" ", SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(byte_alphabet())
-            ids = encoder.pack([t.id for t in encoder.model.tokenize(piece)])
+            if word.isascii():
+                piece = self.mapped_lead + word
+            else:
+                piece = (self.lead + word).encode().decode("latin-1").translate(byte_alphabet())
+            ids = array.array(encoder.code, [t.id for t in encoder.model.tokenize(piece)]).tobytes()
         elif (found := self._TAILED.fullmatch(word)) and found[1].isalpha():
             ids = self[found[1]] + encoder.start[found[2]]
         else:

@@ -3,7 +3,7 @@
 Terms are lower-cased runs of letters and digits.  Those whose inverse document frequency lies in a
 band make the lexicon; a document keeps its terms that are in it, sorted and distinct, and hashes the
 whole of them and those of several random subsets of the lexicon.  The subsets of one seed are nested,
-each holding about half of the one before, so that whatever number of terms a document has, some
+each holding about a quarter of the one before, so that whatever number of terms a document has, some
 subsets cut it down to a few; those still agree when a part of the text was replaced.
 
 The lexicon is bounded whatever the corpus: document frequencies of at least ``min_fraction`` of N
@@ -18,21 +18,25 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-SEEDS = 6
-LEVELS = 8
+# Subsets come from the bits of a term's hash, and of its hash: eight for each seed, two for each level.
+SEEDS_A_HASH = 8
+LEVELS = 4
 TABLE_BITS = 16
 
 
-def term_hashes(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes of a text's terms; null and empty texts have none."""
+def distinct_terms(text: Column) -> Column:
+    """64-bit hashes of a text's distinct terms, in no order; null and empty texts have none."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    hashes = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
-    return F.array_sort(F.filter(hashes, lambda h: h != F.xxhash64(F.lit(""))))
+    return F.transform(F.array_remove(F.array_distinct(words), ""), lambda w: F.xxhash64(w))
+
+
+def term_hashes(text: Column) -> Column:
+    return F.sort_array(distinct_terms(text))
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """term (hash) and the number of documents with it; counted before it is shuffled."""
-    terms = docs.select(F.explode(term_hashes(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+    terms = docs.select(F.explode(distinct_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -71,24 +75,25 @@ def with_marks(rows: DataFrame, text: Column, name: str, slots: Column) -> DataF
 def subset_hashes(kept: Column) -> Column:
     """array<bigint>: the hash of the kept terms, then those of the nested random subsets of each seed.
 
-    An empty subset is 0.  A term is in level l of a seed iff the lowest l bits of its hash under
-    that seed are zero.
+    An empty subset is 0.  A term is in a seed's level l iff the first 2 * l of the seed's eight bits
+    of its hash are zero, so a level holds a quarter of the terms of the one before.
     """
 
-    def of_seed(seed: Column) -> Column:
-        ranked = F.transform(kept, lambda h: F.struct(F.xxhash64(h, seed).alias("r"), h.alias("h")))
-
+    def of_seed(terms: Column, seed: Column) -> Column:
         def narrower(acc: Column, level: Column) -> Column:
-            inside = F.filter(acc["left"], lambda x: F.call_function("getbit", x["r"], level - 1) == 0)
-            value = F.when(F.size(inside) > 0, F.xxhash64(F.transform(inside, lambda x: x["h"]))).otherwise(F.lit(0))
-            return F.struct(inside.alias("left"), F.concat(acc["out"], F.array(value.cast("bigint"))).alias("out"))
+            shift = seed * 8 + level * 2
+            inside = F.filter(acc["left"], lambda h: F.call_function("shiftright", h, shift).bitwiseAND(F.lit(3)) == 0)
+            value = F.when(F.size(inside) > 0, F.xxhash64(inside)).otherwise(F.lit(0).cast("bigint"))
+            return F.struct(inside.alias("left"), F.concat(acc["out"], F.array(value)).alias("out"))
 
-        start = F.struct(ranked.alias("left"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, narrower, lambda acc: acc["out"])
+        start = F.struct(terms.alias("left"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, narrower, lambda acc: acc["out"])
 
-    seeds = F.sequence(F.lit(1), F.lit(SEEDS))
+    seeds = F.sequence(F.lit(0), F.lit(SEEDS_A_HASH - 1))
+    hashes = F.array(kept, F.transform(kept, lambda h: F.xxhash64(h)))
+    subsets = F.flatten(F.transform(hashes, lambda terms: F.flatten(F.transform(seeds, lambda s: of_seed(terms, s)))))
     whole = F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(F.lit(0).cast("bigint"))
-    return F.concat(F.array(whole), F.flatten(F.transform(seeds, of_seed)))
+    return F.concat(F.array(whole), subsets)
 
 
 def as_text(hashes: Column) -> Column:
@@ -110,16 +115,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(equal, counted), F.lit(0.0)).cast("double"))
 
 
+# Stands for a null id, so that ids can be joined on; it comes last, as they do.
+NO_ID = -(1 << 63)
+
+
 def with_next(keys: DataFrame) -> DataFrame:
-    """``keys`` (doc_id, h, n; one row each) with the key of the next row: ``next_id``, ``next_h``.
+    """``keys`` (id, h, ...; one row each) with the key of the next row: ``next_id``, ``next_h``.
 
-    The order is descending id, nulls last, then hash; the first row follows the last.  Ranges of
-    the order are dealt to tasks, so that no task holds more than its range; the last row of a range
-    takes its successor from a table with the first row of each range.
+    The order is descending id, then hash; the first row follows the last.  Ranges of the order are
+    dealt to tasks, so that no task holds more than its range; the last row of a range takes its
+    successor from a table with the first row of each range.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h").asc()]
+    order = [F.col("id").desc(), F.col("h").asc()]
     placed = stored(keys.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    here = F.struct("doc_id", "h")
+    here = F.struct("id", "h")
     within = Window.partitionBy("_range").orderBy(*order)
     led = placed.withColumn("_next", F.lead(here).over(within)).withColumn("_place", F.row_number().over(within))
     firsts = led.where("_place = 1").select("_range", here.alias("_first"))
@@ -127,15 +136,7 @@ def with_next(keys: DataFrame) -> DataFrame:
     first_of_all = F.first("_first").over(ranges.rowsBetween(Window.unboundedPreceding, 0))
     after = firsts.select("_range", F.coalesce(F.lead("_first").over(ranges), first_of_all).alias("_after"))
     nxt = F.coalesce("_next", "_after")
-    return led.join(after, "_range").select(*keys.columns, nxt["doc_id"].alias("next_id"), nxt["h"].alias("next_h"))
-
-
-def fingerprints(docs: DataFrame, slots: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), n (characters), marks (the hashes of the fingerprint); narrow."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return with_marks(own, F.col("text"), "marks", slots).select(
-        "doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("bigint").alias("n"), "marks"
-    )
+    return led.join(after, "_range").select(*keys.columns, nxt["id"].alias("next_id"), nxt["h"].alias("next_h"))
 
 
 def edit_study(
@@ -155,43 +156,45 @@ def edit_study(
     Texts move once, by their key; the heads that documents need from their successors move in
     addition, at half a text each.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(
+        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(own).alias("h"), own.alias("text")
+    )
     # Bounded, see above.  (Subqueries are not allowed within the functions over arrays.)
-    table = lexicon(docs, min_fraction, max_fraction).select(F.to_json("slots")).first()[0]
+    table = lexicon(keyed, min_fraction, max_fraction).select(F.to_json("slots")).first()[0]
     slots = F.from_json(F.lit(table), "array<array<bigint>>")
-    marks = stored(fingerprints(docs, slots))
-    keys = marks.groupBy("doc_id", "h").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    marks = with_marks(keyed, F.col("text"), "marks", slots)
+    marks = stored(marks.select("id", "h", F.length("text").cast("bigint").alias("n"), "marks"))
+    keys = marks.groupBy("id", "h").agg(F.first("n").alias("n"))
     chain = stored(with_next(keys))
-    keyed = docs.withColumn("h", F.xxhash64("text"))
-    c, k = chain.alias("c"), keyed.alias("k")
-    heads = c.join(k, F.expr("c.next_id <=> k.doc_id and c.next_h = k.h")).select(
-        "c.doc_id", "c.h", F.expr("substring(k.text, 1, cast(c.n div 2 as int))").alias("head")
+    wanted = chain.select(
+        F.col("next_id").alias("id"),
+        F.col("next_h").alias("h"),
+        F.struct("id", "h").alias("of"),
+        F.floor(F.col("n") / 2).cast("int").alias("half"),
+    )
+    # Texts are more than a table of keys at any size, so the plan moves both.
+    heads = keyed.join(wanted.hint("merge"), ["id", "h"]).select(
+        "of.id", "of.h", F.substring("text", F.lit(1), F.col("half")).alias("head")
     )
     # Repeated rows bring the same head more than once.
-    heads = heads.groupBy("doc_id", "h").agg(F.max("head").alias("head"))
-    one, hd = keyed.alias("k"), heads.alias("hd")
-    half = F.floor(F.length("k.text") / 2).cast("int")
-    joined = one.join(hd, F.expr("k.doc_id <=> hd.doc_id and k.h = hd.h")).select(
-        "k.doc_id",
-        "k.h",
-        F.concat(F.substring("k.text", F.lit(1), F.length("k.text") - half), F.col("hd.head")).alias("edited"),
+    heads = heads.groupBy("id", "h").agg(F.max("head").alias("head"))
+    kept = F.length("text") - F.floor(F.length("text") / 2).cast("int")
+    joined = keyed.join(heads.hint("merge"), ["id", "h"]).select(
+        "id", "h", F.concat(F.substring("text", F.lit(1), kept), F.col("head")).alias("edited")
     )
     edited = with_marks(joined, F.col("edited"), "edited_marks", slots).select(
-        "doc_id", "h", F.sha2("edited", 256).alias("edited_sha256"), "edited_marks"
-    )
-    own, nxt = marks.dropDuplicates(["doc_id", "h"]), marks.dropDuplicates(["doc_id", "h"])
-    e, ch, o, x = edited.alias("e"), chain.alias("ch"), own.alias("o"), nxt.alias("x")
-    found = (
-        e.join(ch, F.expr("e.doc_id <=> ch.doc_id and e.h = ch.h"))
-        .join(o, F.expr("e.doc_id <=> o.doc_id and e.h = o.h"))
-        .join(x, F.expr("ch.next_id <=> x.doc_id and ch.next_h = x.h"))
+        "id", "h", F.sha2("edited", 256).alias("edited_sha256"), "edited_marks"
     )
-    return found.select(
-        "e.doc_id",
-        F.col("o.n").alias("n_chars"),
-        "e.edited_sha256",
-        as_text(F.col("o.marks")).alias("fingerprint"),
-        as_text(F.col("e.edited_marks")).alias("edited_fingerprint"),
-        likeness(F.col("o.marks"), F.col("e.edited_marks")).alias("near_edited"),
-        likeness(F.col("o.marks"), F.col("x.marks")).alias("near_next"),
+    once = marks.dropDuplicates(["id", "h"])
+    following = once.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("marks").alias("next_marks"))
+    known = once.join(chain.select("id", "h", "next_id", "next_h"), ["id", "h"]).join(following, ["next_id", "next_h"])
+    return edited.join(known, ["id", "h"]).select(
+        F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"),
+        F.col("n").alias("n_chars"),
+        "edited_sha256",
+        as_text(F.col("marks")).alias("fingerprint"),
+        as_text(F.col("edited_marks")).alias("edited_fingerprint"),
+        likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
+        likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
     )
