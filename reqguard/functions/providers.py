@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # --- Fixed values: request paths by provider --------------------------------------------------
 AZURE_PATH_PART = "/openai/deployments/"
@@ -61,89 +56,37 @@ def string_value(v: Column) -> Column:
     return F.when(is_string(v), v.try_cast("string"))
 
 
-def strict_document(array_doc: Column, body: Column) -> Column:
-    """The one JSON document that a body holds, or NULL if it holds anything else.
+# A VARIANT holds values up to this size.
+VARIANT_BYTES = 128 * 1024 * 1024
+_READ_OPTIONS = {"maxStringLen": "2147483647", "allowSingleQuotes": "false", "columnNameOfCorruptRecord": "bad"}
+
+
+def read_document(text: Column, kind: str) -> Column:
+    """struct<b, bad>: a JSON text read as ``kind``, strings of any length; ``bad`` is set if it does not fit.
 
-    Spark's parser stops at the end of the first value and ignores what follows.  A value that
-    ends early must close the bracket put around it; it cannot close a square and a curly one.
-    ``array_doc`` is the body parsed inside square brackets.
+    The text is read as a member of an object, so that whatever follows its value makes it bad,
+    unless it closes the object; ``is_one_value`` tells that.
     """
-    only_one = F.try_variant_get(array_doc, "$[1]", "variant").isNull()
-    in_object = F.try_parse_json(F.concat(F.lit('{"b":'), body, F.lit("}"))).isNotNull()
-    doc = F.try_variant_get(array_doc, "$[0]", "variant")
-    return F.when(doc.isNotNull() & only_one & in_object, doc)
-
-
-# Spark's JSON reader refuses strings beyond this many characters.
-READER_LIMIT = 20_000_000
-_LONG = 1_000_000
-_STRING_TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S)
-_SHORTENED = T.StructType(
-    [T.StructField("body", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType()))]
-)
+    whole = F.concat(F.lit('{"b":'), text, F.lit("}"))
+    return F.from_json(whole, f"b {kind}, bad string", _READ_OPTIONS)
 
 
-def _placeholder(number: Column | int) -> Column | str:
-    """Stands for a long string; NULs keep it apart from what a body is likely to hold."""
-    if isinstance(number, int):
-        return f"\u0000long-{number}\u0000"
-    return F.concat(F.lit("\u0000long-"), number.cast("string"), F.lit("\u0000"))
+def is_one_value(text: Column) -> Column:
+    """Whether a text is one element between square brackets; it is passed over, not built up."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
 
 
-@F.arrow_udf(_SHORTENED)
-def _shorten(body: pa.Array) -> pa.Array:
-    """Bodies with every long string token replaced by a placeholder, and the strings.
+def is_beyond_variant(text: Column, bad: Column) -> Column:
+    """A JSON text that is well-formed, and does not fit for the size of a value in it."""
+    whole = F.concat(F.lit('{"b":'), text, F.lit("}"))
+    alone = F.coalesce(F.json_object_keys(whole) == F.array(F.lit("b")), F.lit(False))
+    return (F.octet_length(text) > VARIANT_BYTES) & bad & is_one_value(text) & alone
 
-    A token is swapped for another string token, so a body is valid JSON afterwards iff it was.
-    """
-    out = []
-    for text in body.to_pylist():
-        if text is None:
-            out.append(None)
-            continue
-        texts: list[str] = []
-
-        def swap(m: re.Match[str], texts: list[str] = texts) -> str:
-            if m.end() - m.start() <= _LONG:
-                return m.group()
-            try:
-                value = json.loads(m.group())
-            except ValueError:
-                return m.group()
-            texts.append(value.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
-            return json.dumps(_placeholder(len(texts) - 1))
-
-        out.append({"body": _STRING_TOKEN.sub(swap, text), "texts": texts})
-    fields = pa.struct([("body", pa.string()), ("texts", pa.list_(pa.string()))])
-    return pa.array(out, fields)
-
-
-def shortened(body: Column) -> Column:
-    """struct<body, texts> for a body too long for the JSON reader; NULL for all others."""
-    return _shorten(F.when(F.octet_length(body) > READER_LIMIT, body))
-
-
-def put_back(s: Column, texts: Column) -> Column:
-    """A string with the long strings of its body in place of their placeholders."""
-    numbered = F.transform(texts, lambda t, i: F.struct(_placeholder(i).alias("mark"), t.alias("text")))
-    whole = F.aggregate(numbered, s, lambda acc, n: F.replace(acc, n["mark"], n["text"]))
-    return F.when(texts.isNull(), s).otherwise(whole)
-
-
-def restored(req: Column, texts: Column) -> Column:
-    """A parsed request with the long strings put back."""
-    full = F.struct(
-        put_back(req["model"], texts).alias("model"),
-        F.transform(
-            req["messages"],
-            lambda m: F.struct(
-                put_back(m["role"], texts).alias("role"), put_back(m["content"], texts).alias("content")
-            ),
-        ).alias("messages"),
-        req["max_tokens"].alias("max_tokens"),
-        put_back(req["system_prompt"], texts).alias("system_prompt"),
-    ).cast(REQ_TYPE)
-    return F.when(texts.isNull() | req.isNull(), req).otherwise(full)
+
+def repeats(text: Column, names: tuple[str, ...]) -> Column:
+    """Whether an object has one of the names more than once."""
+    found = F.filter(F.json_object_keys(text), lambda k: k.isin(*names))
+    return F.coalesce(F.size(found) > F.size(F.array_distinct(found)), F.lit(False))
 
 
 PARTS = "array<struct<type variant, text variant>>"

@@ -8,35 +8,43 @@ from pyspark.sql import functions as F
 from ..functions import providers as PV
 from ..functions.columns import pinned
 
-_FIELDS = "struct<model variant, messages variant, max_tokens variant, prompt variant, system variant>"
-_MESSAGES = "array<struct<role variant, content variant>>"
+_KNOWN = ("model", "messages", "max_tokens", "prompt", "system")
+# The limit on the size of a VARIANT holds for each leaf, not for the body.
+_FIELDS = (
+    "struct<model variant, messages array<struct<role variant, content variant>>,"
+    " max_tokens variant, prompt variant, system variant>"
+)
 _PLAIN_MESSAGES = "array<struct<role string, content string>>"
 
 
+def _text(body: str) -> Column:
+    """The body if it is valid UTF-8."""
+    text = F.coalesce(F.col(body), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text)
+
+
 def with_document(requests: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``doc``: the body as a VARIANT, NULL unless it is exactly one JSON document.
+    """Add ``doc``, the body as a VARIANT, and ``doc_too_large``.
 
-    Long strings of a body beyond the JSON reader's limit are set aside in ``long_texts`` (NULL
-    otherwise); ``doc`` then holds placeholders for them.
+    ``doc`` is NULL unless the body is exactly one JSON document; a document beyond the size of a
+    VARIANT has none either, and is told by ``doc_too_large``.
     """
-    df = requests.withColumn("_short", PV.shortened(F.col(body)))
-    df = df.withColumn("_text", F.coalesce(F.col("_short.body"), F.col(body), F.lit("")))
-    valid = F.when(F.is_valid_utf8("_text"), F.col("_text"))
-    listed = F.try_parse_json(F.concat(F.lit("["), valid, F.lit("]")))
+    df = requests.withColumn("_text", _text(body))
+    df = df.withColumn("_doc", PV.read_document(F.col("_text"), "variant"))
+    bad = F.col("_doc.bad").isNotNull()
     return (
-        df.withColumn("_listed", listed)
-        .withColumn("doc", PV.strict_document(F.col("_listed"), F.col("_text")))
-        .withColumn("long_texts", F.col("_short.texts"))
-        .drop("_listed", "_short", "_text")
+        df.withColumn("doc", F.when(~bad & PV.is_one_value(F.col("_text")), F.col("_doc.b")))
+        .withColumn("doc_too_large", F.coalesce(PV.is_beyond_variant(F.col("_text"), bad), F.lit(False)))
+        .drop("_text", "_doc")
     )
 
 
-def _request(provider: Column, f: Column, msgs: Column, long_texts: Column) -> Column:
+def _request(provider: Column, f: Column, msgs: Column) -> Column:
     """The parsed request, or NULL when a field has a type that the wire format rules out."""
     is_anthropic = provider == "anthropic"
-    prompt = PV.put_back(PV.string_value(f["prompt"]), long_texts)
+    prompt = PV.string_value(f["prompt"])
     max_tokens = F.when(PV.json_kind(f["max_tokens"]) == "BIGINT", f["max_tokens"].try_cast("bigint"))
-    no_messages = PV.is_absent_or_null(f["messages"])
+    no_messages = msgs.isNull()
 
     typed = (
         (PV.is_absent_or_null(f["model"]) | PV.is_string(f["model"]))
@@ -86,19 +94,27 @@ def _request(provider: Column, f: Column, msgs: Column, long_texts: Column) -> C
 def parse_requests(requests: DataFrame, body: str = "body", uri: str = "uri", keep_doc: bool = False) -> DataFrame:
     """Add ``provider`` and ``req``; ``req`` is NULL when the body is not a recognised request.
 
-    All steps are narrow projections.  Each level of the document is extracted into typed
-    structs once, and VARIANT values never reach a shuffle (``keep_doc`` is for callers that
-    validate in the same projection chain).
+    All steps are narrow projections: the body is passed over once to see that it is one document,
+    and read once into typed fields whose leaves are VARIANTs, which never reach a shuffle.  Members
+    that are not known may be repeated; a known one at the top may not.  A well-formed body with a
+    single value that Spark cannot hold stops the job rather than pass as something else.
+    ``keep_doc`` adds ``doc`` and ``doc_too_large`` for callers that validate in the same chain.
     """
-    df = with_document(requests, body).withColumn("provider", PV.detect_provider(F.col(uri)))
-    df = df.withColumn("_f", F.col("doc").try_cast(_FIELDS))
-    df = df.withColumn("_msgs", F.col("_f.messages").try_cast(_MESSAGES))
-    df = df.withColumn("_req", _request(F.col("provider"), F.col("_f"), F.col("_msgs"), F.col("long_texts")))
+    df = with_document(requests, body) if keep_doc else requests
+    df = df.withColumn("_text", _text(body)).withColumn("provider", PV.detect_provider(F.col(uri)))
+    df = df.withColumn("_read", PV.read_document(F.col("_text"), _FIELDS))
+    bad = F.col("_read.bad").isNotNull()
+    fits = ~bad & PV.is_one_value(F.col("_text")) & ~PV.repeats(F.col("_text"), _KNOWN)
+    df = df.withColumn("_f", F.when(fits, F.col("_read.b")))
+    held = F.when(
+        PV.is_beyond_variant(F.col("_text"), bad), F.raise_error(F.lit("a request body holds a value beyond 128 MiB"))
+    )
+    df = df.withColumn("_req", F.coalesce(held, _request(F.col("provider"), F.col("_f"), F.col("_f.messages"))))
     df = df.select(
         *requests.columns,
         "provider",
-        *(["doc"] if keep_doc else []),
-        F.when(F.size("_req.messages") > 0, PV.restored(F.col("_req"), F.col("long_texts"))).alias("_req"),
+        *(["doc", "doc_too_large"] if keep_doc else []),
+        F.when(F.size("_req.messages") > 0, F.col("_req")).alias("_req"),
     )
     return pinned(df, {"req": F.col("_req")}).drop("_req")
 

@@ -28,6 +28,7 @@ def violations(provider: str = "provider", doc: str = "doc") -> Column:
     neither = "Missing required field: 'messages' or 'prompt'"
     return F.expr(
         f"""CASE
+        WHEN {doc}_too_large THEN {R.violation(root, "size", "Body is too large to be validated")}
         WHEN {doc} IS NULL THEN {R.violation(root, "json", "Invalid JSON")}
         WHEN {use_messages} THEN {R.MESSAGES(doc, root)}
         WHEN {has("messages")} THEN {R.CHAT(doc, root)}
@@ -38,7 +39,7 @@ def violations(provider: str = "provider", doc: str = "doc") -> Column:
 
 
 def with_validation(df: DataFrame) -> DataFrame:
-    """Add ``errors`` and ``schema_valid`` to rows that carry ``provider`` and ``doc``."""
+    """Add ``errors`` and ``schema_valid`` to rows that carry ``provider``, ``doc`` and ``doc_too_large``."""
     out = pinned(df, {"errors": violations()})
     return out.withColumn("schema_valid", F.size("errors") == 0)
 

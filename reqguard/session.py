@@ -17,6 +17,8 @@ RECOMMENDED_CONF: dict[str, str] = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Batches to Python workers are bounded by bytes, so long bodies cannot pile up.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    # A member that is repeated in a JSON object: the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Recording a Python call site for every column expression dominates the building of plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
