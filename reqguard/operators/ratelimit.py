@@ -6,8 +6,10 @@ cut into blocks that many tasks work on at once:
 
 1. per (client, block): for each time at which a window may first open in the block, the start of
    the last window that then opens in it, stored as a short step function;
-2. per client: a running pass over those step functions gives, for each block, the end of the
-   window that reaches into it;
+2. the step functions are composed in a tree: those of ``BLOCKS_TOGETHER`` blocks become one for
+   all of them, per client a running pass over the composed ones gives the end of the window that
+   reaches into each group of blocks, and a pass within each group gives it for each block.  A task
+   meets one group's functions, or one composed function for each group of a client;
 3. per (client, block): all windows that open in the block are counted to their end.  Requests in
    the first window length of a block also go to the block before, where they may belong.
 
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 
 WINDOW_SECONDS = 60  # fixed value: the default window
 BLOCK_WINDOWS = 16
+BLOCKS_TOGETHER = 256
 
 RESULT = T.StructType(
     [
@@ -115,30 +118,112 @@ def _block_steps(window: int, block_us: int):
     return run
 
 
-def _block_openings(window: int):
-    """mapInArrow: steps sorted by (client, block) -> when a new window may open in each block."""
+def composed(steps: list[tuple[np.ndarray, np.ndarray]], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """One step function for consecutive blocks.
+
+    An opening time that none of the first block's requests reach is before all of the second's, so
+    what the first block tells apart, and one case more, is all there is to tell apart.
+    """
+    latest, last = steps[0]
+    if len(steps) > 1:
+        latest, last = np.append(latest, steps[1][0][0]), np.append(last, steps[1][1][0])
+        for k, (times, ends) in enumerate(steps[1:], 1):
+            at = np.searchsorted(times, last + window)
+            moves = at < len(times)
+            if k == 1:
+                moves[-1] = False  # it is there already
+            last = np.where(moves, ends[np.minimum(at, len(ends) - 1)], last)
+    keep = np.append(last[1:] != last[:-1], True)
+    return latest[keep], last[keep]
+
+
+def _numbers(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy()
+
+
+def _group_steps(window: int):
+    """mapInArrow: steps sorted by (client, group, block) -> the group's composed steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def closed() -> pa.RecordBatch:
+            latest, last = composed(held, window)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([key[0]], pa.string()),
+                    pa.array([key[1]], pa.int64()),
+                    pa.array([latest.tolist()], pa.list_(pa.int64())),
+                    pa.array([last.tolist()], pa.list_(pa.int64())),
+                ],
+                ["_client", "_group", "latest", "last"],
+            )
+
+        for batch in batches:
+            keys = zip(batch.column("_client").to_pylist(), batch.column("_group").to_pylist(), strict=True)
+            for i, this in enumerate(keys):
+                if this != key:
+                    if key is not None:
+                        yield closed()
+                    key, held = this, []
+                held.append((_numbers(batch.column("latest"), i), _numbers(batch.column("last"), i)))
+        if key is not None:
+            yield closed()
+
+    return run
+
+
+def _openings(window: int, within: str | None, unit: str):
+    """mapInArrow: steps in order -> when a new window may open in each block, or group of blocks.
+
+    A running pass over the rows of a client, or of a group (``within``), which then starts from
+    the opening that the group's rows carry.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client: str | None = None
-        opening: int | None = None
+        key: tuple | None = None
+        opening = 0
         for batch in batches:
-            out_opening = []
+            out = []
             clients = batch.column("_client").to_pylist()
-            for i, (latest, last) in enumerate(zip(batch.column("latest"), batch.column("last"))):
-                if opening is None or clients[i] != client:
-                    client, opening = clients[i], np.iinfo(np.int64).min
-                out_opening.append(opening)
-                at = int(np.searchsorted(latest.values.to_numpy(), opening))
+            groups = batch.column(within).to_pylist() if within else [None] * batch.num_rows
+            start = batch.column("_start").to_pylist() if within else [np.iinfo(np.int64).min] * batch.num_rows
+            for i, this in enumerate(zip(clients, groups, strict=True)):
+                if this != key:
+                    key, opening = this, start[i]
+                out.append(opening)
+                latest = _numbers(batch.column("latest"), i)
+                at = int(np.searchsorted(latest, opening))
                 if at < len(latest):
-                    opening = last.values[at].as_py() + window
+                    opening = int(_numbers(batch.column("last"), i)[at]) + window
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_client"), batch.column("_block"), pa.array(out_opening, pa.int64())],
-                ["_client", "_block", "_opening"],
+                [batch.column("_client"), batch.column(unit), pa.array(out, pa.int64())], ["_client", unit, "_opening"]
             )
 
     return run
 
 
+def _markers(steps: DataFrame, window: int) -> DataFrame:
+    """_client, _block, _opening for every block with requests."""
+    group = F.floor(F.col("_block") / F.lit(BLOCKS_TOGETHER)).cast("bigint")
+    dealt = steps.withColumn("_group", group).repartition("_client", "_group")
+    groups = dealt.sortWithinPartitions("_client", "_group", "_block").mapInArrow(
+        _group_steps(window), "_client string, _group bigint, latest array<bigint>, last array<bigint>"
+    )
+    starts = (
+        groups.repartition("_client")
+        .sortWithinPartitions("_client", "_group")
+        .mapInArrow(_openings(window, None, "_group"), "_client string, _group bigint, _opening bigint")
+        .withColumnRenamed("_opening", "_start")
+    )
+    return (
+        dealt.join(starts, ["_client", "_group"])
+        .sortWithinPartitions("_client", "_group", "_block")
+        .mapInArrow(_openings(window, "_group", "_block"), "_client string, _block bigint, _opening bigint")
+    )
+
+
 class WindowCounter:
     """Budget of the current window of one client."""
 
@@ -239,8 +324,9 @@ def rate_limit(
 ) -> DataFrame:
     """Add ``rate``, the limiter's decision, to every row (order: ``ts``, then ``request_id``).
 
-    All columns travel through one shuffle on (client, block).  The source is read three times,
-    twice for two narrow columns only; pass a stored or checkpointed table when it is costly to
+    Requests without a client are one client; requests without a time count as at the epoch, in one
+    window of their client.  All columns travel through one shuffle on (client, block).  The source is read up to four times,
+    but once for two narrow columns only; pass a stored or checkpointed table when it is costly to
     recompute.  With both limits 0 everything is allowed and nothing is shuffled.
     """
     if request_limit <= 0 and token_limit <= 0:
@@ -256,7 +342,9 @@ def rate_limit(
     window = window_seconds * 1_000_000
     block_us = window * block_windows
     us = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(0).cast("bigint"))
-    client_key = F.col(client).cast("string")
+    # Never null, so that it can be joined on.
+    client_key = F.concat(F.lit("c"), F.col(client).cast("string"))
+    client_key = F.coalesce(client_key, F.lit("none"))
     block = F.expr(f"(_us - pmod(_us, {block_us}L)) div {block_us}L")
 
     slim = requests.select(client_key.alias("_client"), us.alias("_us")).withColumn("_block", block)
@@ -268,11 +356,7 @@ def rate_limit(
             "_client string, _block bigint, latest array<bigint>, last array<bigint>",
         )
     )
-    markers = (
-        steps.repartition("_client")
-        .sortWithinPartitions("_client", "_block")
-        .mapInArrow(_block_openings(window), "_client string, _block bigint, _opening bigint")
-    )
+    markers = _markers(steps, window)
 
     keep = requests.columns
     own = requests.withColumns({"_client": client_key, "_us": us}).withColumn("_own", block)

@@ -42,8 +42,9 @@ def limited(spark, rows, request_limit, token_limit, window_seconds=60, **kwargs
     return got
 
 
-@pytest.mark.parametrize("block_windows, step_seconds", [(1, 20), (2, 3), (64, 20), (3, 200)])
-def test_random_arrivals(spark, block_windows, step_seconds):
+@pytest.mark.parametrize("block_windows, step_seconds, together", [(1, 20, 3), (2, 3, 2), (64, 20, 256), (3, 200, 5)])
+def test_random_arrivals(spark, monkeypatch, block_windows, step_seconds, together):
+    monkeypatch.setattr(R, "BLOCKS_TOGETHER", together)
     rng = random.Random(block_windows)
     rows = []
     for c in range(4):
@@ -100,3 +101,25 @@ def test_last_window_steps(times, window, windows_per_block):
                 start = int(t)
         at = int(np.searchsorted(latest, opening))
         assert (int(last[at]) if at < len(latest) else None) == start
+
+
+def test_one_client_with_all_requests(spark, monkeypatch):
+    """Composed step functions stay as short as those of a block, however many blocks there are."""
+    rng = random.Random(9)
+    times = np.cumsum([rng.randrange(3) for _ in range(60_000)]) * 100_000
+    window, width = 60 * 10**6, 2 * 60 * 10**6
+    blocks = [np.unique(times[times // width == b]) for b in np.unique(times // width)]
+    steps = [R.last_window_steps(x, int(x[0] // width * width), window) for x in blocks]
+    latest, last = R.composed(steps, window)
+    assert len(latest) <= len(steps[0][0]) + 1
+    for opening in [*range(0, window, 777_777), -(10**18)]:
+        want, at = opening, None
+        for times_, ends in steps:
+            k = int(np.searchsorted(times_, want))
+            if k < len(times_):
+                at = int(ends[k])
+                want = at + window
+        assert int(last[np.searchsorted(latest, opening)]) == at
+    monkeypatch.setattr(R, "BLOCKS_TOGETHER", 4)
+    rows = [("only", int(t), f"r{i:05d}", 1) for i, t in enumerate(times[:20_000].tolist())]
+    assert limited(spark, rows, 50, 0, block_windows=2) == plain(rows, 50, 0, window)
