@@ -11,23 +11,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.encoding import decode_base64_strict, is_utf8
 
-_STATE = "opened_seq bigint, client_ip string, uri string, us bigint, body binary"
-_OUT = "correlation_id string, opened_seq bigint, client_ip string, uri string, us bigint, body binary"
+_STATE = "opened_seq bigint, header string, us bigint, body binary"
+_OUT = "correlation_id string, opened_seq bigint, header string, us bigint, body binary, finished boolean"
+_NAMES = ["correlation_id", "opened_seq", "header", "us", "body", "finished"]
+# Times in a header keep their microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def header_fields(headers: DataFrame, ts: str = "timestamp") -> str:
+    """What a request keeps of its header event: every field but those that place it in the stream."""
+    kept = [f for f in headers.schema if f.name not in ("correlation_id", "seq", ts)]
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
 
 def body_events(headers: DataFrame, chunks: DataFrame, ts: str = "timestamp", watermark: str = "1 minute") -> DataFrame:
     """Both event streams as one, with a watermark on event time.
 
-    Chunks carry the event-time column too; ``seq`` is the arrival order within an id.
+    Chunks carry the event-time column too; ``seq`` is the arrival order within an id.  The fields
+    of a header travel as one JSON text, of whatever types they are.
     """
+    kept = [c for c in headers.columns if c not in ("correlation_id", "seq", ts)]
     head = headers.select(
         "correlation_id",
         "seq",
         F.col(ts).alias("event_time"),
         F.lit(True).alias("is_header"),
         F.lit(False).alias("is_last"),
-        "client_ip",
-        "uri",
+        F.to_json(F.struct(*kept), _JSON).alias("header"),
         F.lit(None).cast("binary").alias("bytes"),
     )
     tail = chunks.select(
@@ -36,50 +46,52 @@ def body_events(headers: DataFrame, chunks: DataFrame, ts: str = "timestamp", wa
         F.col(ts).alias("event_time"),
         F.lit(False).alias("is_header"),
         F.coalesce("is_last", F.lit(False)).alias("is_last"),
-        F.lit(None).cast("string").alias("client_ip"),
-        F.lit(None).cast("string").alias("uri"),
+        F.lit(None).cast("string").alias("header"),
         decode_base64_strict(F.col("data")).alias("bytes"),
     )
     return head.unionByName(tail).withWatermark("event_time", watermark)
 
 
-def assemble_stream(events: DataFrame, ttl_seconds: int = 300) -> DataFrame:
-    """Finished requests of a stream of body events.
+def assemble_stream(
+    events: DataFrame, ttl_seconds: int = 300, fields: str = "client_ip string, uri string"
+) -> DataFrame:
+    """Requests of a stream of body events; ``fields`` are those of the header (``header_fields``).
 
-    A header resets the state of its id, the last chunk emits the request and frees the state, and
-    a request that stays unfinished for ``ttl_seconds`` of event time is dropped.
+    A header resets the state of its id, the last chunk emits the request and frees the state.  A
+    request that stays unfinished for ``ttl_seconds`` of event time is emitted as far as it came,
+    with ``finished`` false, so that none goes without a row.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            opened, header, us, body = state.get
             state.remove()
+            yield pd.DataFrame([(key[0], opened, header, us, bytes(body), False)], columns=_NAMES)
             return
         current = list(state.get) if state.exists else None
-        parts = [bytes(current[4])] if current else []
+        parts = [bytes(current[3])] if current else []
         done = []
         latest_us = 0
         batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
         for row in batch.itertuples(index=False):
             latest_us = max(latest_us, row.us)
             if row.is_header:
-                current, parts = [row.seq, row.client_ip, row.uri, row.us, b""], []
+                current, parts = [row.seq, row.header, row.us, b""], []
             elif current is not None:
                 if row.bytes is not None:
                     parts.append(bytes(row.bytes))
                 if row.is_last:
-                    done.append((key[0], *current[:4], b"".join(parts)))
+                    done.append((key[0], *current[:3], b"".join(parts), True))
                     current, parts = None, []
         if current is not None:
-            state.update((*current[:4], b"".join(parts)))
+            state.update((*current[:3], b"".join(parts)))
             state.setTimeoutTimestamp(
                 max(latest_us // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1)
             )
         elif state.exists:
             state.remove()
         if done:
-            yield pd.DataFrame(
-                done, columns=["correlation_id", "opened_seq", "client_ip", "uri", "us", "body"]
-            )
+            yield pd.DataFrame(done, columns=_NAMES)
 
     assembled = (
         events.withColumn("us", F.unix_micros("event_time"))
@@ -87,12 +99,12 @@ def assemble_stream(events: DataFrame, ttl_seconds: int = 300) -> DataFrame:
         .applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
     body = F.col("body").cast("string")
-    return assembled.select(
+    return assembled.withColumn("_h", F.from_json("header", fields, _JSON)).select(
         "correlation_id",
         "opened_seq",
-        "client_ip",
-        "uri",
+        "_h.*",
         F.timestamp_micros("us").alias("ts"),
         body.alias("body"),
         is_utf8(body).alias("body_is_utf8"),
+        "finished",
     )

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
+from pyspark.sql.streaming.listener import (
+    QueryIdleEvent,
+    QueryProgressEvent,
+    QueryStartedEvent,
+    QueryTerminatedEvent,
+)
+from pyspark.sql.types import StructType
 
 from ..config import PolicyConfig
 from ..operators.metrics import traffic_metrics_per_minute
@@ -64,10 +71,45 @@ def verdict_writer(verdicts: DataFrame, path: str, checkpoint: str, ts: str = "t
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped so far (in the retained progress) for arriving behind the watermark."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for op in progress.get("stateOperators", [])
+def request_writer(assembled: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Finished requests of ``assemble_stream`` to Parquet.
+
+    Assembly and the limiter both keep state of their own, which one query cannot hold twice: this
+    query ends at the files, and a second one reads them (``read_requests``) and judges.
+    """
+    ready = assembled.where("finished").withColumnRenamed("correlation_id", "request_id")
+    return (
+        ready.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
     )
+
+
+def read_requests(spark: SparkSession, path: str, schema: StructType, watermark: str) -> DataFrame:
+    """Requests that ``request_writer`` writes, as a stream with a watermark on ``ts``."""
+    return spark.readStream.schema(schema).parquet(path).withWatermark("ts", watermark)
+
+
+class LateRows(StreamingQueryListener):
+    """Rows that arrived behind the watermark and were dropped, counted over the whole run of each query.
+
+    Register it with ``spark.streams.addListener`` before a query starts.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        self.dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        run = str(event.progress.runId)
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[run] = self.dropped.get(run, 0) + late
+
+    def onQueryIdle(self, event: QueryIdleEvent) -> None:
+        pass
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        pass

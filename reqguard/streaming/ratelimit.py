@@ -35,6 +35,13 @@ def rate_limit_stream(
     """
     window = window_seconds * 1_000_000
     keep = requests.columns
+    if asked is not None:
+        # What the limiter does not concern never meets its keys.
+        others = requests.where(~F.coalesce(F.col(asked), F.lit(False))).withColumn("rate", F.lit(None).cast(RESULT))
+        limited = rate_limit_stream(
+            requests.where(F.col(asked)), request_limit, token_limit, client, ts, tokens, request_id, window_seconds
+        )
+        return limited.unionByName(others)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -45,10 +52,7 @@ def rate_limit_stream(
             counter.start, counter.requests, counter.tokens = state.get
         batch = pd.concat(list(frames)).sort_values(["_us", "_id"], kind="stable")
         rows = []
-        for us, n, ask in zip(batch["_us"].tolist(), batch["_tokens"].tolist(), batch["_asked"].tolist()):
-            if not ask:
-                rows.append((None, None, None, None, None))
-                continue
+        for us, n in zip(batch["_us"].tolist(), batch["_tokens"].tolist()):
             if counter.is_over(us):
                 counter.open(us)
             rows.append(counter.admit(us, n))
@@ -68,7 +72,6 @@ def rate_limit_stream(
                 "_us": F.coalesce(F.unix_micros(ts), F.lit(0).cast("bigint")),
                 "_id": F.col(request_id),
                 "_tokens": F.coalesce(F.col(tokens).cast("bigint"), F.lit(0).cast("bigint")),
-                "_asked": F.col(asked) if asked else F.lit(True),
             }
         )
         .groupBy(client)
@@ -83,4 +86,4 @@ def rate_limit_stream(
         F.col("reset_seconds"),
         F.col("exceeded"),
     )
-    return decided.select(*keep, F.when(F.col("allowed").isNotNull(), rate).alias("rate"))
+    return decided.select(*keep, rate.alias("rate"))

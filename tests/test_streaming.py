@@ -11,8 +11,15 @@ from reqguard.operators.metrics import traffic_metrics_per_minute
 from reqguard.operators.ratelimit import rate_limit
 from reqguard.plans.policy import evaluate_policy
 from reqguard.sources import corpus
-from reqguard.streaming.assemble import assemble_stream, body_events
-from reqguard.streaming.policy import evaluate_policy_stream, late_rows, metrics_stream, verdict_writer
+from reqguard.streaming.assemble import assemble_stream, body_events, header_fields
+from reqguard.streaming.policy import (
+    LateRows,
+    evaluate_policy_stream,
+    metrics_stream,
+    read_requests,
+    request_writer,
+    verdict_writer,
+)
 from reqguard.streaming.ratelimit import rate_limit_stream
 
 from conftest import SF
@@ -29,11 +36,15 @@ def replay(spark, df, path, order, batches):
 
 
 def run(df, name):
+    spark, late = df.sparkSession, LateRows()
+    spark.streams.addListener(late)
     query = df.writeStream.format("memory").queryName(name).outputMode("append").start()
     query.processAllAvailable()
-    dropped = late_rows(query)
     query.stop()
-    return df.sparkSession.table(name), dropped
+    query.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.streams.removeListener(late)
+    return spark.table(name), sum(late.dropped.values())
 
 
 def rows(df, *cols):
@@ -131,3 +142,65 @@ def test_verdict_writer(spark, tmp_path):
     query.stop()
     written = spark.read.parquet(out)
     assert written.count() == log.count() and "date" in written.columns
+
+
+def test_assemble_stream_keeps_every_header_field(spark, tmp_path):
+    headers, chunks = corpus.full_events(spark, SF)
+    times = headers.groupBy("correlation_id").agg(F.min("timestamp").alias("timestamp"))
+    chunks = chunks.join(times, "correlation_id")
+    streams = []
+    for name, events in (("h", headers), ("c", chunks)):
+        events.write.parquet(str(tmp_path / name))
+        streams.append(spark.readStream.schema(events.schema).parquet(str(tmp_path / name)))
+    head, tail = streams
+    got, _ = run(assemble_stream(body_events(head, tail, watermark="1 hour"), fields=header_fields(headers)), "full")
+    cols = ["correlation_id", "opened_seq", "request_id", "client_port", "route_id", "headers", "server_name", "tls_cipher"]
+    want = rows(assemble_requests(headers, chunks.drop("timestamp")), *cols)
+    assert rows(got.where("finished"), *cols) == want and len(want) > 100
+
+
+def test_unfinished_requests_get_a_row(spark, tmp_path):
+    path = str(tmp_path / "events")
+    schema = "correlation_id string, seq long, event_time timestamp, is_header boolean, is_last boolean, header string, bytes binary"
+    header = '{"client_ip":"c","uri":"/u"}'
+    batches = [
+        [("a", 1, "10:00:00", True, False, header, None), ("a", 2, "10:00:01", False, False, None, b"half")],
+        [("b", 1, "11:00:00", True, False, header, None), ("b", 2, "11:00:00", False, True, None, b"all")],
+        [("b", 3, "12:00:00", False, False, None, b"stray")],
+    ]
+    for batch in batches:
+        data = [(i, n, f"2024-01-01 {t}", h, last, head, b) for i, n, t, h, last, head, b in batch]
+        df = spark.createDataFrame(data, schema.replace("event_time timestamp", "event_time string"))
+        df.withColumn("event_time", F.to_timestamp("event_time")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got, _ = run(assemble_stream(stream.withWatermark("event_time", "1 minute")), "unfinished")
+    assert rows(got, "correlation_id", "body", "finished") == [("a", "half", "False"), ("b", "all", "True")]
+
+
+def test_chunks_to_rate_limited_verdicts_to_metrics(spark, tmp_path):
+    """Three queries in a row give what the batch jobs give."""
+    log = corpus.request_log(spark, SF)
+    headers, chunks = corpus.chunked(log)
+    chunks = chunks.join(headers.select("correlation_id", "timestamp"), "correlation_id")
+    head = replay(spark, headers, str(tmp_path / "h"), ["timestamp"], 1)
+    tail = replay(spark, chunks, str(tmp_path / "c"), ["timestamp", "seq"], 1)
+    assembled = assemble_stream(body_events(head, tail, watermark="1 day"), ttl_seconds=86_400)
+
+    def finish(writer):
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    requests, verdicts = str(tmp_path / "requests"), str(tmp_path / "verdicts")
+    finish(request_writer(assembled, requests, str(tmp_path / "cp1")))
+    config = PolicyConfig(rate_limit_requests=4, rate_limit_tokens=3000, pii_action="block")
+    stream = read_requests(spark, requests, spark.read.parquet(requests).schema, "1 day")
+    finish(verdict_writer(evaluate_policy_stream(stream, config), verdicts, str(tmp_path / "cp2")))
+    want = evaluate_policy(log, config)
+    cols = ["request_id", "decision", "status", "block_reason", "response_headers", "tags", "reason_codes"]
+    written = spark.read.parquet(verdicts)
+    assert rows(written, *cols) == rows(want, *cols)
+    back = spark.readStream.schema(written.schema).parquet(verdicts)
+    got, _ = run(metrics_stream(back, watermark="1 minute"), "chain_minutes")
+    minutes = {r["minute"]: r for r in traffic_metrics_per_minute(want).collect()}
+    seen = got.collect()
+    assert seen and all(minutes[r["minute"]] == r for r in seen)
