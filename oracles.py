@@ -56,7 +56,7 @@ WITH keyed AS (
          {_has('prompt-only')} AS legacy,
          NOT ({_has('null-content')} OR {_has('trailing-text')} OR {_has('prompt-array')}
               OR {_has('fractional-max-tokens')} OR {_has('no-messages')} OR {_has('not-an-object')}
-              OR {_has('bad-part')} OR ({_has('numeric-system')} AND provider = 'anthropic')) AS parsed
+              OR {_has('bad-part')} OR {_has('model-twice')} OR ({_has('numeric-system')} AND provider = 'anthropic')) AS parsed
   FROM drawn
 ), parts AS (
   SELECT *,
@@ -159,17 +159,53 @@ _REDACT = f"regexp_replace({_REDACT}, {_lit(PII_RE['ip-address'])}, chr(2) || '\
 _REDACT = f"regexp_replace({_REDACT}, chr(2) || {_lit(_PRIVATE)} || chr(3), '\\1', 'g')"
 _REDACT = f"regexp_replace({_REDACT}, chr(2) || '[0-9.]*' || chr(3), {_lit(P.PII_LABELS['ip-address'])}, 'g')"
 
+# --- Fixed values: what the extra members of the request log violate, and in which schemas ----------
+_C, _P, _M = "chat", "completion", "messages"
+_EXTRA = (
+    ("/top_p", "maximum", (_C, _P, _M)),
+    ("/top_p", "type", (_C, _P, _M)),
+    ("/n", "minimum", (_C, _P)),
+    ("/n", "type", (_C, _P)),
+    ("/stream", "type", (_C, _P, _M)),
+    ("/presence_penalty", "minimum", (_C, _P)),
+    ("/presence_penalty", "maximum", (_C, _P)),
+    ("/frequency_penalty", "type", (_C, _P)),
+    ("/logit_bias/50", "type", (_C, _P)),
+    ("/logit_bias", "type", (_C, _P)),
+    ("/user", "type", (_C, _P)),
+    ("/seed", "type", (_C,)),
+    ("/tools", "type", (_C, _M)),
+    ("/response_format", "type", (_C,)),
+    ("/logprobs", "maximum", (_P,)),
+    ("/echo", "type", (_P,)),
+    ("/best_of", "minimum", (_P,)),
+    ("/top_k", "minimum", (_M,)),
+    ("/top_k", "type", (_M,)),
+    ("/metadata/user_id", "type", (_M,)),
+    ("/metadata", "type", (_M,)),
+    ("/stop_sequences/1", "type", (_M,)),
+    ("/stop_sequences", "type", (_M,)),
+    ("/logprobs", "minimum", (_P,)),
+)
+# --- end of fixed values --------------------------------------------------------------------------
+_EXTRA_FOUND = ",\n      ".join(
+    f"CASE WHEN extra = {i} AND held_to IN ({', '.join(map(_lit, kinds))}) THEN {{'path': {_lit(path)}, 'keyword': {_lit(keyword)}}} END"
+    for i, (path, keyword, kinds) in enumerate(_EXTRA)
+)
+
 # Schema held to, then one row per (path, keyword).
 SCHEMA = (
     TRUTH
     + f""", held AS (
   SELECT *, {_has('fractional-max-tokens')} OR row_max IS NOT NULL AS has_max,
+    CASE WHEN {_has('prompt-only')} THEN (k // 85) % {len(_EXTRA)}
+         WHEN (k // 7) % 3 = 0 THEN (k // 21) % {len(_EXTRA)} END AS extra,
     CASE WHEN {_has('trailing-text')} THEN 'json'
          WHEN {_has('not-an-object')} THEN CASE WHEN is_anthropic THEN 'root' ELSE 'format' END
          WHEN is_anthropic THEN 'messages'
          WHEN legacy THEN 'completion'
          WHEN provider = 'unknown' AND ({_has('fractional-max-tokens')} OR row_max IS NOT NULL)
-              AND NOT coalesce(starts_with(row_model, 'gpt'), false) THEN 'messages'
+              AND ({_has('model-twice')} OR NOT coalesce(starts_with(row_model, 'gpt'), false)) THEN 'messages'
          ELSE 'chat' END AS held_to,
     CASE WHEN with_system AND NOT is_anthropic THEN 1 ELSE 0 END AS idx
   FROM costed
@@ -178,7 +214,7 @@ SCHEMA = (
     SELECT *, unnest(list_filter([
       CASE WHEN held_to IN ('json', 'format') THEN {{'path': '', 'keyword': held_to}} END,
       CASE WHEN held_to = 'root' THEN {{'path': '', 'keyword': 'type'}} END,
-      CASE WHEN held_to IN ('chat', 'messages', 'completion') AND (row_model IS NULL
+      CASE WHEN held_to IN ('chat', 'messages', 'completion') AND ((row_model IS NULL AND NOT {_has('model-twice')})
              OR (held_to = 'messages' AND (NOT has_max OR legacy))) THEN {{'path': '', 'keyword': 'required'}} END,
       CASE WHEN held_to IN ('chat', 'messages') AND {_has('no-messages')} THEN {{'path': '/messages', 'keyword': 'minItems'}} END,
       CASE WHEN held_to IN ('chat', 'messages') AND {_has('bad-role')} THEN {{'path': '/messages/' || idx || '/role', 'keyword': 'enum'}} END,
@@ -192,7 +228,8 @@ SCHEMA = (
       CASE WHEN held_to IN ('chat', 'messages') AND {_has('high-temperature')} THEN {{'path': '/temperature', 'keyword': 'maximum'}} END,
       CASE WHEN held_to = 'chat' AND {_has('five-stops')} THEN {{'path': '/stop', 'keyword': 'oneOf'}} END,
       CASE WHEN held_to = 'messages' AND {_has('numeric-system')} THEN {{'path': '/system', 'keyword': 'oneOf'}} END,
-      CASE WHEN held_to = 'messages' AND {_has('tool-choice-text')} THEN {{'path': '/tool_choice', 'keyword': 'type'}} END
+      CASE WHEN held_to = 'messages' AND {_has('tool-choice-text')} THEN {{'path': '/tool_choice', 'keyword': 'type'}} END,
+      {_EXTRA_FOUND}
     ], lambda v: v IS NOT NULL), recursive := true)
     FROM held)
 )
@@ -274,11 +311,12 @@ def _verdict_ctes(
     if any(limits):
         base += _limiter("checked", "client_ip", "request_id", "epoch_us(ts)", "tokens", *limits, 60_000_000)
     else:
-        base += ", walk AS (SELECT NULL AS id, NULL AS exceeded, 0 AS n, 0 AS t WHERE false)"
+        base += ", walk AS (SELECT NULL AS id, NULL AS exceeded, 0 AS n, 0 AS t, 0 AS start, 0 AS us WHERE false)"
     b = str(block_mode).lower()
     return base + f"""
 , gated AS (
-  SELECT s.*, w.exceeded IS NOT NULL AS limited, w.n, w.t,
+  SELECT s.*, w.exceeded IS NOT NULL AS limited, w.n, w.t, w.id IS NOT NULL AS asked,
+         (w.start + 60000000 - w.us) // 1000000 AS reset,
          stage = 'checked' AND w.exceeded IS NULL AS scanned
   FROM staged s LEFT JOIN walk w ON w.id = s.request_id
 ), f1 AS (SELECT *, scanned AND NOT (model_denied OR token_denied) AND injection_hit AS injection FROM gated
@@ -343,6 +381,70 @@ done AS (
 )"""
 
 
+def _header_lines(*pairs: tuple[str, str]) -> str:
+    """Sorted lines of the headers whose SQL value is not NULL."""
+    items = ", ".join(f"'{name}=' || {value}" for name, value in sorted(pairs))
+    return f"array_to_string(list_sort(list_filter([{items}], lambda x: x IS NOT NULL)), chr(10))"
+
+
+def _headers_query(**config) -> str:
+    requests, tokens = config["limits"]
+    given = _header_lines(
+        ("X-AI-Gateway-Provider", "provider"),
+        ("X-AI-Gateway-Model", "model"),
+        ("X-AI-Gateway-Schema-Valid", "CAST(schema_valid AS VARCHAR)"),
+        ("X-AI-Gateway-Tokens-Estimated", "tokens"),
+        ("X-AI-Gateway-Cost-Estimated", "printf('%.6f', cost)"),
+        ("X-AI-Gateway-PII-Detected", "CASE WHEN pii THEN pii_list END"),
+    )
+    reason = f"""CASE WHEN pii AND {str(config["pii_block"]).lower()} THEN 'pii-detected:' || pii_list
+      WHEN jailbreak THEN 'jailbreak-attempt' WHEN injection THEN 'prompt-injection'
+      WHEN token_denied THEN 'token-limit-exceeded' ELSE 'model-not-allowed' END"""
+    limit = ("X-RateLimit-Limit-Requests", f"'{requests}'")
+    limited = _header_lines(
+        limit, ("X-RateLimit-Remaining-Requests", "'0'"), ("X-RateLimit-Reset", "reset"), ("Retry-After", "reset")
+    )
+    left = _header_lines(
+        limit,
+        ("X-RateLimit-Remaining-Requests", f"greatest({requests} - n, 0)"),
+        ("X-RateLimit-Limit-Tokens", f"'{tokens}'"),
+        ("X-RateLimit-Remaining-Tokens", f"greatest({tokens} - t, 0)"),
+        ("X-RateLimit-Reset", "reset"),
+    )
+    return _verdict_ctes(**config) + f"""
+SELECT request_id,
+  CASE WHEN stage = 'checked' AND status IS NULL THEN {given} ELSE '' END AS request_headers,
+  CASE WHEN stage = 'bad-schema' THEN 'X-AI-Gateway-Schema-Errors=' || chr(10) || 'X-AI-Gateway-Schema-Valid=false'
+       WHEN limited THEN {limited}
+       WHEN status = 403 THEN {_header_lines(("X-AI-Gateway-Blocked", "'true'"), ("X-AI-Gateway-Blocked-Reason", f"({reason})"))}
+       WHEN asked THEN {left} ELSE '' END AS response_headers,
+  CASE WHEN status = 400 THEN 'Schema validation failed' WHEN status = 429 THEN 'Too Many Requests'
+       WHEN status = 403 THEN 'Forbidden' END AS block_body
+FROM verdict"""
+
+
+def _spans_of(kind: str) -> str:
+    """Byte spans of one kind: what stands between its matches, and the matches, added up."""
+    found = f"regexp_extract_all(text, {_lit(PII_RE[kind])})"
+    return f"""SELECT request_id, {_lit(kind)} AS pii_type, {P.PII_TYPES.index(kind)} AS rank, found[i] AS matched,
+    CAST(list_sum(list_transform(between[1:i], lambda x: strlen(x)))
+         + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: strlen(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i
+        FROM (SELECT request_id, {found} AS found, string_split_regex(text, {_lit(PII_RE[kind])}) AS between FROM texts))"""
+
+
+PII_SPANS = (
+    _TEXTS
+    + ", spans AS ("
+    + " UNION ALL ".join(map(_spans_of, P.PII_TYPES))
+    + """)
+SELECT request_id, pii_type, row_number() OVER (PARTITION BY request_id ORDER BY start, rank) - 1 AS position,
+  start, CAST(start + strlen(matched) AS BIGINT) AS end
+FROM spans WHERE pii_type <> 'ip-address' OR NOT (starts_with(matched, '127.') OR starts_with(matched, '10.')
+  OR starts_with(matched, '192.168.') OR starts_with(matched, '0.'))"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "provider_counts": TRUTH + "SELECT uri, provider, count(*) AS requests FROM costed GROUP BY ALL",
@@ -359,11 +461,11 @@ FROM (SELECT *, unnest(range(1, len(messages) + 1)) AS i FROM costed WHERE parse
         "token_estimate": TRUTH + "SELECT request_id, tokens FROM costed WHERE parsed",
         "cost_by_model": TRUTH
         + """SELECT provider, model, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens,
-  round(sum(cost), 6) AS cost FROM costed WHERE parsed GROUP BY provider, model""",
+  round(sum(cost), 9) AS cost FROM costed WHERE parsed GROUP BY provider, model""",
         "cost_text": TRUTH + "SELECT request_id, printf('%.6f', cost) AS cost FROM costed WHERE parsed",
         "usage_by_hour": TRUTH
         + """SELECT provider, model, client_ip AS client, date_trunc('hour', ts) AS hour, count(*) AS requests,
-  CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost
+  CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 9) AS cost
 FROM costed WHERE parsed GROUP BY provider, model, client_ip, date_trunc('hour', ts)""",
         "allowlist": TRUTH
         + """SELECT request_id, coalesce(contains(model, 'gpt-4') OR contains('gpt-4', model)
@@ -399,7 +501,7 @@ FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY l.quality, l.toxi
 ) GROUP BY finding""",
         "schema_violations": SCHEMA + "SELECT request_id, provider, path, keyword FROM found GROUP BY ALL",
         "schema_counts": SCHEMA
-        + """SELECT provider, regexp_replace(path, '/[0-9]+/', '/*/') AS path, keyword, count(*) AS requests
+        + """SELECT provider, regexp_replace(path, '/[0-9]+(/|$)', '/*\\1') AS path, keyword, count(*) AS requests
 FROM (SELECT DISTINCT * FROM found) GROUP BY 1, 2, 3""",
         "assemble_bodies": _ASSEMBLED
         + """SELECT cid AS correlation_id, CAST(opened_seq AS BIGINT) AS opened_seq, md5(text) AS body_md5,
@@ -415,11 +517,24 @@ FROM (SELECT DISTINCT * FROM found) GROUP BY 1, 2, 3""",
         "verdicts_detect_only": _verdict_query(**DETECT_ONLY),
         "verdicts_default": _verdict_query(**DEFAULT),
         "verdicts_from_chunks": _verdict_query(**DEFAULT),
-        "metrics_in_flight": _ASSEMBLED
-        + """SELECT (SELECT count(*) FROM done) AS requests_total,
-  (SELECT count(*) FROM done WHERE m = 5) AS requests_blocked_total,
-  CAST(0 AS BIGINT) AS prompt_injection_detections_total, CAST(0 AS BIGINT) AS pii_detections_total,
-  CAST(0 AS BIGINT) AS jailbreak_detections_total, (SELECT count(*) FROM m WHERE m = 1) AS in_flight_requests""",
+        "metrics_in_flight": _verdict_ctes(**DEFAULT)
+        + f"""SELECT {_COUNTERS}, (SELECT count(*) FROM costed WHERE k % 19 = 1) AS in_flight_requests
+FROM verdict WHERE k % 19 <> 1""",
+        "assemble_events": _ASSEMBLED
+        + """SELECT cid AS correlation_id, CAST(opened_seq AS BIGINT) AS opened_seq, 'r-' || cid AS request_id,
+  CAST(1024 + doc_id % 50000 AS INTEGER) AS client_port, 'POST' AS method, 'route-' || (doc_id % 3) AS route_id,
+  'h' || (doc_id % 5) AS host, doc_id || '/' || m AS doc,
+  CASE WHEN m = 5 THEN md5(encode(text) || '\\xFF'::BLOB) ELSE md5(text) END AS body_md5,
+  CAST(strlen(text) + CASE WHEN m = 5 THEN 1 ELSE 0 END AS INTEGER) AS n_bytes, m <> 5 AS body_is_utf8
+FROM done""",
+        "utf8_fail_open": _ASSEMBLED
+        + """SELECT 'allow' AS decision, CASE WHEN m = 5 THEN 'ai-gateway,error' ELSE 'ai-gateway' END AS tags,
+  CASE WHEN m = 5 THEN 'INVALID_UTF8' ELSE '' END AS reason_codes, count(*) AS requests FROM done GROUP BY ALL""",
+        "verdict_headers": _headers_query(**STRICT),
+        "verdict_sink": _verdict_ctes(**DEFAULT)
+        + """SELECT CAST(ts AS DATE) AS date, CASE WHEN status IS NULL THEN 'allow' ELSE 'block' END AS decision,
+  CAST(status AS INTEGER) AS status, count(*) AS requests FROM verdict GROUP BY ALL""",
+        "pii_spans": PII_SPANS,
         "metrics": _verdict_ctes(**STRICT) + f"SELECT {_COUNTERS} FROM verdict",
         "metrics_per_minute": _verdict_ctes(**DEFAULT)
         + f"SELECT date_trunc('minute', ts) AS minute, {_COUNTERS} FROM verdict GROUP BY 1",

@@ -119,11 +119,13 @@ def assemble_requests(
         "_id",
         opened.alias("_opened"),
         "_seq",
+        "_is_header",
         "header",
         decode_base64_strict(F.col("data")).alias("_bytes"),
     )
     whole = body_rows.groupBy("_id", "_opened").agg(
-        F.max("header").alias("header"),
+        # One row of a request is its header; a struct that holds a map cannot be ordered.
+        F.max_by("header", F.when(F.col("_is_header"), 1)).alias("header"),
         F.expr("listagg(_bytes) WITHIN GROUP (ORDER BY _seq)").alias("_body"),
     )
     body = F.coalesce(F.col("_body").cast("string"), F.lit(""))

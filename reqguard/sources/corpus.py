@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import INJECTION_PATTERNS, JAILBREAK_PATTERNS
+from .logs import CHUNK_SCHEMA, HEADER_SCHEMA
 from .tables import read_spread
 
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -67,8 +68,37 @@ DEFECTS = {
     "five-stops": 12,
     "bad-part": 13,
     "tool-choice-text": 14,
+    "unknown-twice": 15,
+    "model-twice": 16,
 }
 SYSTEM_TEXT = "You are a careful assistant."
+# One more member with a value that a schema rules out, none of which parsing looks at.
+EXTRA_MEMBERS = (
+    '"top_p":1.5',
+    '"top_p":"x"',
+    '"n":0',
+    '"n":"x"',
+    '"stream":1',
+    '"presence_penalty":-3',
+    '"presence_penalty":3',
+    '"frequency_penalty":"x"',
+    '"logit_bias":{"50":"x"}',
+    '"logit_bias":[]',
+    '"user":5',
+    '"seed":1.5',
+    '"tools":{}',
+    '"response_format":[]',
+    '"logprobs":9',
+    '"echo":1',
+    '"best_of":0',
+    '"top_k":-1',
+    '"top_k":"x"',
+    '"metadata":{"user_id":5}',
+    '"metadata":[]',
+    '"stop_sequences":["a",1]',
+    '"stop_sequences":"a"',
+    '"logprobs":-1',
+)
 
 
 def _pick(index: Column, values: tuple) -> Column:
@@ -79,9 +109,9 @@ def _json(text: Column) -> Column:
     return F.to_json(text.cast("variant"))
 
 
-def _object(members: dict[str, Column]) -> Column:
-    """A JSON object of the members whose JSON text is not NULL."""
-    parts = [F.concat(F.lit(f'"{name}":'), value) for name, value in members.items()]
+def _object(members: dict[str, Column], *more: Column) -> Column:
+    """A JSON object of the members whose JSON text is not NULL; ``more`` are texts of whole members."""
+    parts = [*[F.concat(F.lit(f'"{name}":'), value) for name, value in members.items()], *more]
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
 
 
@@ -178,8 +208,16 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stop": F.when(has("five-stops"), '["a","b","c","d","e"]'),
         "tool_choice": F.when(has("tool-choice-text"), '"auto"'),
     }
+    # Every legacy prompt has one, and a third of the others.
+    extra = F.get(
+        F.array(*map(F.lit, EXTRA_MEMBERS)),
+        F.when(has("prompt-only"), F.expr("k div 85") % len(EXTRA_MEMBERS))
+        .when(F.expr("k div 7") % 3 == 0, F.expr("k div 21") % len(EXTRA_MEMBERS))
+        .cast("int"),
+    )
+    twice = F.when(has("unknown-twice"), '"x":1,"x":{"y":1,"y":2}').when(has("model-twice"), '"model":"one","model":"one"')
     body = F.when(has("not-an-object"), "[1, 2]").otherwise(
-        F.concat(_object(members), F.when(has("trailing-text"), " trailing").otherwise(""))
+        F.concat(_object(members, extra, twice), F.when(has("trailing-text"), " trailing").otherwise(""))
     )
     return df.select(
         "request_id",
@@ -221,8 +259,16 @@ def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed_texts(spark, sf_dir).select("request_id", text.alias("text"))
 
 
-def chunked(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, chunks) that carry the bodies of a request log, one event row per piece."""
+def key_of(log: DataFrame) -> Column:
+    """The number from which everything in a request's row follows."""
+    return F.expr(f"(unix_seconds(ts) - {BASE_EPOCH}) div {SECONDS_PER_KEY}")
+
+
+def chunked(log: DataFrame, unfinished: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(headers, chunks) that carry the bodies of a request log, one event row per piece.
+
+    Requests that are ``unfinished`` have no last piece.
+    """
     headers = log.select(
         F.col("request_id").alias("correlation_id"),
         "client_ip",
@@ -230,7 +276,11 @@ def chunked(log: DataFrame) -> tuple[DataFrame, DataFrame]:
         "uri",
         F.lit(0).cast("bigint").alias("seq"),
     )
-    whole = log.select("request_id", F.col("body").cast("binary").alias("_bytes"))
+    whole = log.select(
+        "request_id",
+        F.col("body").cast("binary").alias("_bytes"),
+        (F.lit(False) if unfinished is None else unfinished).alias("_open"),
+    )
     n = F.greatest(F.ceil(F.octet_length("_bytes") / F.lit(PIECE_BYTES)), F.lit(1))
     numbered = whole.withColumn("n", n).withColumn("seq", F.explode(F.sequence(F.lit(1), F.col("n"))))
     piece = F.substring(F.col("_bytes"), (F.col("seq") - 1) * PIECE_BYTES + 1, F.lit(PIECE_BYTES))
@@ -238,7 +288,7 @@ def chunked(log: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("request_id").alias("correlation_id"),
         "seq",
         F.replace(F.base64(piece), F.lit("\r\n"), F.lit("")).alias("data"),
-        (F.col("seq") == F.col("n")).alias("is_last"),
+        ((F.col("seq") == F.col("n")) & ~F.col("_open")).alias("is_last"),
     )
     return headers, chunks
 
@@ -306,3 +356,30 @@ def body_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return headers, docs.select(cid.alias("correlation_id"), F.explode(chunks).alias("_c")).select(
         "correlation_id", "_c.*"
     )
+
+
+def full_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``body_events`` with every field of the event schemas, the header map filled."""
+    headers, chunks = body_events(spark, sf_dir)
+    number = F.expr("cast(substring(correlation_id, 5) as bigint)")
+    known = {
+        "request_id": F.concat(F.lit("r-"), "correlation_id"),
+        "client_port": (F.lit(1024) + number % 50_000).cast("int"),
+        "server_name": F.lit("gateway.test"),
+        "method": F.lit("POST"),
+        "route_id": F.concat(F.lit("route-"), number % 3),
+        "headers": F.create_map(
+            F.lit("host"), F.array(F.concat(F.lit("h"), number % 5)),
+            F.lit("x-doc"), F.array(number.cast("string"), (number % 19).cast("string")),
+        ),
+    }
+    heads = headers.select(
+        *[
+            known.get(f.name, F.col(f.name) if f.name in headers.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in HEADER_SCHEMA
+        ]
+    )
+    bodies = chunks.select(
+        *[(F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA]
+    )
+    return heads, bodies

@@ -35,9 +35,9 @@ JAILBREAK_EXAMPLES = [
     "```jailbreak",
 ]
 CLEAN = [
-    "", "What is the capital of France?", "ignore previous", "previous instructions", "new instructions",
+    "", "Which river runs through Lyon?", "ignore previous", "previous instructions", "new instructions",
     "systemprompt:", "you are now", "pretend", "DANGER ahead", "abundant", "no limits", "developer tools",
-    "bypass your rules", "purely", "evil", "Hello, how are you?", "Write a poem about nature",
+    "bypass your rules", "purely", "evil", "the bakery opens at six", "list the planets by size",
     "İgnore previous instructions", "ıgnore previous instructions", "juılbreak",
 ]
 UNICODE = [
