@@ -55,45 +55,44 @@ def lexicon(docs: DataFrame, min_fraction: float, max_fraction: float, text: str
     return filled.agg(table.alias("slots"))
 
 
+def _hash(terms: Column) -> Column:
+    """A hash of the terms; 0 for none."""
+    return F.when(F.size(terms) > 0, F.xxhash64(terms)).otherwise(F.lit(0).cast("bigint"))
+
+
+def _without(terms: str, mask: Column) -> Column:
+    return F.filter(terms, lambda h: h.bitwiseAND(mask) == 0)
+
+
 def with_marks(rows: DataFrame, text: Column, name: str, slots: Column) -> DataFrame:
     """``rows`` with the array of hashes of ``text``'s fingerprint as column ``name``.
 
-    Each step is a column of its own that the next refers to more than once, so that it is worked
-    out once.  A text without any term of the lexicon keeps all of its terms.
+    First the hash of the kept terms, then those of the nested random subsets of each seed: a term
+    is in a seed's level l iff the first 2 * l of the seed's eight bits of its hash are zero, so a
+    level holds a quarter of the terms of the one before.  An empty subset is 0.  A text without
+    any term of the lexicon keeps all of its terms.  Each step is a column of its own that the next
+    refers to more than once, so that it is worked out once.
     """
     at = lambda h: F.get(slots, F.pmod(h, F.lit(1 << TABLE_BITS)).cast("int"))
     kept = F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.col("_terms"))
-    return (
+    out = (
         rows.withColumn("_terms", term_hashes(text))
         .withColumn("_found", F.filter("_terms", lambda h: F.array_contains(at(h), h)))
-        .withColumn("_kept", kept)
-        .withColumn(name, subset_hashes(F.col("_kept")))
-        .drop("_terms", "_found", "_kept")
+        .withColumn("_kept_0", kept)
+        .withColumn("_kept_1", F.transform("_kept_0", lambda h: F.xxhash64(h)))
     )
-
-
-def subset_hashes(kept: Column) -> Column:
-    """array<bigint>: the hash of the kept terms, then those of the nested random subsets of each seed.
-
-    An empty subset is 0.  A term is in a seed's level l iff the first 2 * l of the seed's eight bits
-    of its hash are zero, so a level holds a quarter of the terms of the one before.
-    """
-
-    def of_seed(terms: Column, seed: Column) -> Column:
-        def narrower(acc: Column, level: Column) -> Column:
-            shift = seed * 8 + level * 2
-            inside = F.filter(acc["left"], lambda h: F.call_function("shiftright", h, shift).bitwiseAND(F.lit(3)) == 0)
-            value = F.when(F.size(inside) > 0, F.xxhash64(inside)).otherwise(F.lit(0).cast("bigint"))
-            return F.struct(inside.alias("left"), F.concat(acc["out"], F.array(value)).alias("out"))
-
-        start = F.struct(terms.alias("left"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, narrower, lambda acc: acc["out"])
-
-    seeds = F.sequence(F.lit(0), F.lit(SEEDS_A_HASH - 1))
-    hashes = F.array(kept, F.transform(kept, lambda h: F.xxhash64(h)))
-    subsets = F.flatten(F.transform(hashes, lambda terms: F.flatten(F.transform(seeds, lambda s: of_seed(terms, s)))))
-    whole = F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(F.lit(0).cast("bigint"))
-    return F.concat(F.array(whole), subsets)
+    seeds = [(k, s) for k in range(2) for s in range(SEEDS_A_HASH)]
+    for level in range(LEVELS):
+        columns = {}
+        for k, s in seeds:
+            before = f"_in_{k}_{s}_{level - 1}" if level else f"_kept_{k}"
+            bits = 3 << (8 * s + 2 * level)
+            # The highest bits make a negative number of 64.
+            mask = F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("bigint")
+            columns[f"_in_{k}_{s}_{level}"] = _without(before, mask)
+        out = out.withColumns(columns)
+    subsets = [_hash(F.col(f"_in_{k}_{s}_{level}")) for k, s in seeds for level in range(LEVELS)]
+    return out.select(*rows.columns, F.array(_hash(F.col("_kept_0")), *subsets).alias(name))
 
 
 def as_text(hashes: Column) -> Column:
