@@ -43,6 +43,9 @@ COUNT_BITS = 20
 BLOCK = 4096
 # Tokens of a centre that have a bit of their own.
 NUMBERED = 62
+# Sets whose sizes differ by 5 percent at most can be similar if their first common shingle is among
+# the first 12 percent of both: (1 - 0.12) * 175 >= 75 * 2.05.
+FIRST_PERCENT, EQUAL_PERCENT = 12, 105
 
 _random = np.random.Generator(np.random.PCG64(20240501))
 _A = _random.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
@@ -326,9 +329,9 @@ def link_classes(docs: DataFrame, sig: DataFrame, doc_id: str, text: str) -> Dat
     nodes = involved.select("cls")
     roots = stored(components(nodes, links))
     # Classes of one group that stayed apart: neither is the centre, for pairs with it are done.
-    ends = shared.select("token", "a", "cls", "n").join(roots, "cls")
+    ends = shared.select("token", "a", "cls", "n", "place").join(roots, "cls")
     mixed = ends.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_ = stored(ends.join(mixed.select("token"), "token", "left_semi").select("token", "a", "cls", "n", "root"))
+    open_ = stored(ends.join(mixed.select("token"), "token", "left_semi").select("token", "a", "cls", "n", "place", "root"))
     between = _pairs_apart(open_)
     found = stored(confirmed(between, sets))
     if not found.isEmpty():
@@ -337,25 +340,30 @@ def link_classes(docs: DataFrame, sig: DataFrame, doc_id: str, text: str) -> Dat
 
 
 def _pairs_apart(rows: DataFrame) -> DataFrame:
-    """Pairs of classes that share a token and are in different components, from (token, a, cls, n, root).
+    """Pairs of classes in different components that may be similar, from (token, a, cls, n, place, root).
 
-    Two classes may share many of the tokens that have one centre ``a``, of which there are no more
-    than the centre has rare shingles.  The most common of them are numbered, every class knows by
-    a bit each which of those it has, and a pair comes out at the first that both have.
+    Near copies share many of the tokens of one centre ``a``, of which there are no more than the
+    centre has rare shingles.  The most common of them are numbered, and every class knows by a bit
+    each which of those are among its own first ones.  A pair of about equal sizes comes out at the
+    first that both have there, where its places never rule it out, and at no other; all other pairs
+    come out wherever their places allow.
     """
     by_size = Window.partitionBy("a").orderBy(F.col("count").desc(), "token")
     numbered = rows.groupBy("token", "a").count().withColumn("r", F.row_number().over(by_size) - 1)
     rows = rows.join(numbered.select("token", "r"), "token")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("r"))
-    masks = rows.where(F.col("r") < NUMBERED).groupBy("cls", "a").agg(F.bit_or(bit).alias("mask"))
+    first = (F.col("r") < NUMBERED) & (100 * F.col("place") <= FIRST_PERCENT * F.col("n"))
+    masks = rows.where(first).groupBy("cls", "a").agg(F.bit_or(bit).alias("mask"))
     rows = rows.join(masks, ["cls", "a"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
-    rows = stored(rows.withColumn("earlier", F.when(F.col("r") < NUMBERED, bit - 1).otherwise(F.lit(-1))))
+    # For a numbered token those before it, and itself unless it is among the first ones.
+    upto = F.when(first, bit - 1).when(F.col("r") < NUMBERED, 2 * bit - 1).otherwise(F.lit(-1))
+    rows = stored(rows.withColumn("upto", upto))
     x, y = rows.alias("x"), rows.alias("y")
-    apart = F.expr(
-        f"x.token = y.token and x.cls < y.cls and x.root <> y.root and (x.mask & y.mask & x.earlier) = 0"
-        f" and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
-    )
-    return x.join(y, apart).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    apart = F.expr("x.token = y.token and x.cls < y.cls and x.root <> y.root")
+    equal = F.expr(f"100 * greatest(x.n, y.n) <= {EQUAL_PERCENT} * least(x.n, y.n)")
+    elsewhere = F.expr("(x.mask & y.mask & x.upto & y.upto) <> 0")
+    wanted = apart & _possible("x.n", "x.place", "y.n", "y.place") & ~(equal & elsewhere)
+    return x.join(y, wanted).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
