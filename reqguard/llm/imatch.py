@@ -65,9 +65,9 @@ def _without(terms: str, mask: Column) -> Column:
 
 
 def with_marks(rows: DataFrame, text: Column, name: str, slots: Column) -> DataFrame:
-    """``rows`` with the array of hashes of ``text``'s fingerprint as column ``name``.
+    """``rows`` with ``text``'s fingerprint as column ``name``: struct<whole bigint, subsets array<int>>.
 
-    First the hash of the kept terms, then those of the nested random subsets of each seed: a term
+    The hash of the kept terms, and half of those of the nested random subsets of each seed: a term
     is in a seed's level l iff the first 2 * l of the seed's eight bits of its hash are zero, so a
     level holds a quarter of the terms of the one before.  An empty subset is 0.  A text without
     any term of the lexicon keeps all of its terms.  Each step is a column of its own that the next
@@ -91,24 +91,26 @@ def with_marks(rows: DataFrame, text: Column, name: str, slots: Column) -> DataF
             mask = F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("bigint")
             columns[f"_in_{k}_{s}_{level}"] = _without(before, mask)
         out = out.withColumns(columns)
-    subsets = [_hash(F.col(f"_in_{k}_{s}_{level}")) for k, s in seeds for level in range(LEVELS)]
-    return out.select(*rows.columns, F.array(_hash(F.col("_kept_0")), *subsets).alias(name))
+    upper = lambda h: F.shiftright(h, 32).cast("int")
+    subsets = [upper(_hash(F.col(f"_in_{k}_{s}_{level}"))) for k, s in seeds for level in range(LEVELS)]
+    mark = F.struct(_hash(F.col("_kept_0")).alias("whole"), F.array(*subsets).alias("subsets"))
+    return out.select(*rows.columns, mark.alias(name))
 
 
-def as_text(hashes: Column) -> Column:
-    """The whole hash in 16 hexadecimal digits, then eight of each subset's; ``-`` for an empty one."""
-    digits = F.transform(
-        hashes,
-        lambda h, i: F.when(h == 0, F.lit("-")).otherwise(
-            F.substring(F.lpad(F.lower(F.hex(h)), 16, "0"), F.when(i == 0, 1).otherwise(9), F.lit(16))
-        ),
-    )
-    return F.array_join(digits, " ")
+def _digits(h: Column, count: int) -> Column:
+    """The last hexadecimal digits of a number; ``-`` for an empty set's."""
+    return F.when(h == 0, F.lit("-")).otherwise(F.right(F.lpad(F.lower(F.hex(h.cast("bigint"))), 16, "0"), F.lit(count)))
+
+
+def as_text(mark: Column) -> Column:
+    """The whole hash in 16 digits, then eight of each subset's."""
+    subsets = F.transform(mark["subsets"], lambda h: _digits(h, 8))
+    return F.concat_ws(" ", _digits(mark["whole"], 16), F.array_join(subsets, " "))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among those that are not empty on both sides; 1 for equal fingerprints."""
-    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
+    pairs = F.arrays_zip(a["subsets"].alias("x"), b["subsets"].alias("y"))
     counted = F.size(F.filter(pairs, lambda p: (p["x"] != 0) | (p["y"] != 0)))
     equal = F.size(F.filter(pairs, lambda p: (p["x"] == p["y"]) & (p["x"] != 0)))
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(equal, counted), F.lit(0.0)).cast("double"))
@@ -185,9 +187,11 @@ def edit_study(
     edited = with_marks(joined, F.col("edited"), "edited_marks", slots).select(
         "id", "h", F.sha2("edited", 256).alias("edited_sha256"), "edited_marks"
     )
+    # Fingerprints go to the rows that they are next to, and meet the rows' own there.
     once = marks.dropDuplicates(["id", "h"])
-    following = once.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("marks").alias("next_marks"))
-    known = once.join(chain.select("id", "h", "next_id", "next_h"), ["id", "h"]).join(following, ["next_id", "next_h"])
+    following = wanted.select("id", "h", "of").join(once.select("id", "h", "marks"), ["id", "h"])
+    following = following.select("of.id", "of.h", F.col("marks").alias("next_marks"))
+    known = once.join(following, ["id", "h"])
     return edited.join(known, ["id", "h"]).select(
         F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"),
         F.col("n").alias("n_chars"),
