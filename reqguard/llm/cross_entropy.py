@@ -5,9 +5,11 @@ documents, the target model over those that are marked as target.  They are matc
 vocabulary and smoothing are the same, and the background counts are scaled to the target's number of
 tokens, which stands for a background sample of the target's size without the chance of one.
 
-The vocabulary is hashed: words fall into ``2**WORD_BITS`` classes and word pairs into
-``2**PAIR_BITS``, so a model has one size whatever the corpus, and every word of every text counts.
-Each task adds its counts up in arrays and sends them on in blocks.
+Every word and every word pair of the corpus has a counter of its own, told by a hash of 63 bits, so
+the models grow with the corpus and no task holds one.  Documents are packed into chunks.  A chunk
+asks for each of its n-grams once, with its own counts, in blocks by ranges of the hash; whoever has
+a range adds all askers' counts up and answers each of them.  A common n-gram thus has a place in
+each chunk and not a row for each occurrence or document.
 """
 
 from __future__ import annotations
@@ -22,144 +24,160 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .words import mix, slices, word_hashes
 
-WORD_BITS = 18
-PAIR_BITS = 20
-BLOCK = 4096
-N_WORDS, N_PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
-# Smoothing: added count of a word class; weight of the word model within the pair model.
+# Bytes of text in a chunk, and about as many for each range of hashes; least number of ranges.
+CHUNK, RANGE, RANGES = 16_000_000, 16_000_000, 256
+# The vocabulary that smoothing allows for at least; a corpus with more words has its own number.
+N_WORDS = 1 << 18
+# Smoothing: added count of a word; weight of the word model within the pair model.
 ALPHA, MU = 0.1, 4.0
 
-COUNT_SCHEMA = "block int, background binary, target binary"
+PACKED_SCHEMA = "ids array<bigint>, texts binary, bytes bigint"
+ASKED_SCHEMA = "part int, chunk bigint, n int, keys binary, background binary, target binary"
+ANSWER_SCHEMA = "chunk bigint, part int, n int, background binary, target binary, words bigint, tokens bigint, target_tokens bigint"
 SCORE_SCHEMA = "doc_id bigint, n_tokens bigint, h_target double, h_background double, ce_difference double"
 
 
-def classes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word class and pair class of every token, whether it has a predecessor, where texts begin."""
-    words, at = word_hashes(texts)
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [f for f, _ in fields])
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Compressed by planes: all lowest bytes, then all of the next ones."""
+    planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(n)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        for lo, hi in slices(batch.column(1), CHUNK):
+            texts = pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo)], ["text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema, options=options) as out:
+                out.write_batch(texts)
+            ids = batch.column(0).slice(lo, hi - lo).to_pylist()
+            yield _batch([[ids], [sink.getvalue().to_pybytes()], [texts.nbytes]], PACKED_SCHEMA)
+
+
+def _texts(packed: bytes) -> pa.Array:
+    return pa.ipc.open_stream(packed).read_next_batch().column(0)
+
+
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of every token (even) and of it with the one before (odd), whether there is one, where texts begin."""
+    parts = [word_hashes(texts.slice(lo, hi - lo)) for lo, hi in slices(texts, 4_000_000)]
+    words = np.concatenate([w for w, _ in parts]) if parts else np.zeros(0, np.uint64)
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))]) if parts else np.zeros(1, np.int64)
     before = np.concatenate([np.zeros(1, np.uint64), words[:-1]]) if len(words) else words
-    pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
+    pairs = mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
     follows = np.ones(len(words), bool)
     follows[at[:-1][at[:-1] < len(words)]] = False
-    return (
-        (words & np.uint64(N_WORDS - 1)).astype(np.int64),
-        (pair & np.uint64(N_PAIRS - 1)).astype(np.int64),
-        follows,
-        at,
-    )
+    return words & ~np.uint64(1), pairs | np.uint64(1), follows, at
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: background and target, words then pairs, in blocks."""
-    counts = np.zeros((2, N_WORDS + N_PAIRS), np.uint32)
+def _asked(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's n-grams in order of their hashes, with its own counts, a row for each range of hashes."""
     for batch in batches:
-        for lo, hi in slices(batch.column(0), 4_000_000):
-            word, pair, follows, at = classes(batch.column(0).slice(lo, hi - lo))
-            chosen = np.asarray(batch.column(1).slice(lo, hi - lo), dtype=bool)
+        for chunk, packed, places in zip(*batch.columns, strict=True):
+            words, pairs, follows, at = grams(_texts(packed.as_buffer()))
+            if not len(words):
+                continue
+            chosen = np.zeros(len(at) - 1, bool)
+            chosen[places.as_py() or []] = True
             in_target = np.repeat(chosen, np.diff(at))
-            for row, some in ((0, np.ones(len(word), bool)), (1, in_target)):
-                counts[row, :N_WORDS] += np.bincount(word[some], minlength=N_WORDS).astype(np.uint32)
-                counts[row, N_WORDS:] += np.bincount(pair[some & follows], minlength=N_PAIRS).astype(np.uint32)
-    blocks = [b for b in range((N_WORDS + N_PAIRS) // BLOCK) if counts[0, b * BLOCK : (b + 1) * BLOCK].any()]
-    yield _as_batch({b: counts[:, b * BLOCK : (b + 1) * BLOCK] for b in blocks}, "<u4")
-
-
-def _as_batch(blocks: dict[int, np.ndarray], kind: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(list(blocks), pa.int32()),
-            pa.array([x[0].astype(kind).tobytes() for x in blocks.values()], pa.binary()),
-            pa.array([x[1].astype(kind).tobytes() for x in blocks.values()], pa.binary()),
-        ],
-        ["block", "background", "target"],
-    )
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks that come to this task; one array of each is held, whatever their number."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = total.setdefault(b, np.zeros((2, BLOCK), np.int64))
-            own[0] += np.frombuffer(x, "<u4")
-            own[1] += np.frombuffer(y, "<u4")
-    yield _as_batch(total, "<i8")
-
-
-class Models:
-    """Counts of both models as arrays of fixed size; ``losses`` gives each token's loss under both."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        words, pairs = counts[:, :N_WORDS], counts[:, N_WORDS:]
-        tokens = words.sum(axis=1)
-        scale = float(tokens[1]) / float(tokens[0]) if tokens[0] else 0.0
-        self.tokens = float(tokens[1])
-        self.words = np.stack([words[0] * scale, words[1]]).astype(np.float32)
-        self.pairs = np.stack([pairs[0] * scale, pairs[1]]).astype(np.float32)
-
-    def losses(self, word: np.ndarray, pair: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        before = np.concatenate([word[:1], word[:-1]])
-        out = np.empty((2, len(word)))
-        for m in range(2):
-            alone = (self.words[m][word] + ALPHA) / (self.tokens + ALPHA * N_WORDS)
-            known = self.words[m][before].astype(float)
-            # Pairs that share a class may together exceed their first word's count.
-            joint = np.minimum(self.pairs[m][pair], known)
-            p = np.where(follows, (joint + MU * alone) / (known + MU), alone)
-            out[m] = -np.log(p)
-        return out
-
-
-def model_counts(docs: DataFrame) -> np.ndarray:
-    """Counts over all rows of ``docs`` (text, is_target): one array of fixed size on the driver."""
-    parts = docs.select("text", "is_target").mapInArrow(_counted, COUNT_SCHEMA)
-    sums = stored(parts.repartition("block").mapInArrow(_summed, COUNT_SCHEMA))
-    out = np.zeros((2, N_WORDS + N_PAIRS), np.int64)
-    for block, background, target in sums.toPandas().itertuples(index=False):
-        out[0, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(background, "<i8")
-        out[1, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(target, "<i8")
-    return out
-
-
-def _scores(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.RecordBatch]:
+            keys, which = np.unique(np.concatenate([words, pairs[follows]]), return_inverse=True)
+            background = np.bincount(which, minlength=len(keys))
+            target = np.bincount(which[np.concatenate([in_target, in_target[follows]])], minlength=len(keys))
+            part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+            rows = [
+                # Keys by their distances, which are shorter.
+                (part[b], chunk.as_py(), e - b, *(_pack(x) for x in (np.diff(keys[b:e], prepend=np.uint64(0)), background[b:e], target[b:e])))
+                for b, e in zip(cuts, cuts[1:], strict=False)
+            ]
+            yield _batch(list(zip(*rows, strict=True)), ASKED_SCHEMA)
+
+
+def _answered(asked: pa.Table) -> pa.Table:
+    """Sums over all chunks for each n-gram of one range, for each chunk in the order it asked."""
+    rows = asked.to_pydict()
+    sizes = rows["n"]
+    keys = [np.cumsum(_unpack(x, n), dtype=np.uint64) for x, n in zip(rows["keys"], sizes, strict=True)]
+    keys, which = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = []
+    for name in ("background", "target"):
+        own = np.concatenate([_unpack(x, n) for x, n in zip(rows[name], sizes, strict=True)])
+        sums.append(np.bincount(which, weights=own.astype(float), minlength=len(keys)).astype(np.int64))
+    is_word = (keys & np.uint64(1)) == 0
+    whole = [int(is_word.sum()), int(sums[0][is_word].sum()), int(sums[1][is_word].sum())]
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    answers = [[_pack(s[which[b:e]]) for b, e in zip(cuts, cuts[1:], strict=False)] for s in sums]
+    # What is true of the range as a whole stands in its first row.
+    totals = [[x, *[0] * (len(sizes) - 1)] for x in whole]
+    return pa.Table.from_batches([_batch([rows["chunk"], rows["part"], sizes, *answers, *totals], ANSWER_SCHEMA)])
+
+
+def losses(
+    word: np.ndarray, pair: np.ndarray, follows: np.ndarray, counts: np.ndarray, tokens: float, vocabulary: int
+) -> np.ndarray:
+    """Each token's loss; ``word`` and ``pair`` (of those that follow one) are places in ``counts``."""
+    alone = (counts[word] + ALPHA) / (tokens + ALPHA * vocabulary)
+    p = alone.copy()
+    known = counts[word[np.flatnonzero(follows) - 1]]
+    p[follows] = (counts[pair] + MU * alone[follows]) / (known + MU)
+    return -np.log(p)
+
+
+def _scores(batches: Iterator[pa.RecordBatch], vocabulary: int, tokens: int, target_tokens: int) -> Iterator[pa.RecordBatch]:
+    scale = target_tokens / tokens if tokens else 0.0
     for batch in batches:
-        for lo, hi in slices(batch.column(1)):
-            word, pair, follows, at = classes(batch.column(1).slice(lo, hi - lo))
+        for ids, packed, answers in zip(*batch.columns, strict=True):
+            words, pairs, follows, at = grams(_texts(packed.as_buffer()))
             n = np.diff(at)
             mean = np.zeros((2, len(n)))
             some = np.flatnonzero(n)
             if len(some):
-                mean[:, some] = np.add.reduceat(models.losses(word, pair, follows), at[some], axis=1) / n[some]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array(n, pa.int64()),
-                    pa.array(mean[1]),
-                    pa.array(mean[0]),
-                    pa.array(mean[1] - mean[0]),
-                ],
-                [x.split()[0] for x in SCORE_SCHEMA.split(", ")],
-            )
-
-
-def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: tokens, mean loss under both models, target minus background.
-
-    Lower differences are nearer to the target.  A null or empty text has no tokens and scores 0
-    throughout.  Ids may be null or repeated; other columns are not read; an empty table gives no rows.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(lambda batches: _scores(batches, shared.value), SCORE_SCHEMA)
+                _, which = np.unique(np.concatenate([words, pairs[follows]]), return_inverse=True)
+                # Ranges in order have the chunk's n-grams in order.
+                got = sorted(answers.as_py(), key=lambda x: x["part"])
+                for m, (name, by) in enumerate((("background", scale), ("target", 1.0))):
+                    counts = np.concatenate([_unpack(x[name], x["n"]) for x in got]).astype(float) * by
+                    loss = losses(which[: len(words)], which[len(words) :], follows, counts, float(target_tokens), vocabulary)
+                    mean[m, some] = np.add.reduceat(loss, at[some]) / n[some]
+            yield _batch([ids.values, n, mean[1], mean[0], mean[1] - mean[0]], SCORE_SCHEMA)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Score ``docs`` with the documents whose ids are in ``target`` (column ``doc_id``) as target.
 
-    Null ids are in no target; an id that is repeated in ``target`` counts once.
+    One row for each row of ``docs``: tokens, mean loss under both models, target minus background;
+    lower differences are nearer to the target.  Null ids are in no target; an id that is repeated in
+    ``target`` counts once.  A null or empty text has no tokens and scores 0 throughout.  Ids may be
+    null or repeated; other columns are not read; an empty table gives no rows.
     """
-    ids = target.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_in", F.lit(True))
+    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    packed = slim.mapInArrow(_packed, PACKED_SCHEMA)
+    # Written once, so that a chunk has one number for all that read it.
+    chunks = stored(packed.withColumn("chunk", F.monotonically_increasing_id()))
+    size = chunks.agg(F.sum("bytes")).first()[0] or 0
+    ranges = max(RANGES, size // RANGE)
+    ids = target.select(F.col("doc_id").cast("bigint").alias("_id")).where("_id is not null").distinct()
+    places = chunks.select("chunk", F.posexplode("ids").alias("place", "_id")).where("_id is not null")
     # A target grows with its corpus, so the plan is the one for large ones at every size.
-    ids = ids.hint("merge")
-    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    flagged = own.join(ids, "_id", "left").select("text", F.coalesce("_in", F.lit(False)).alias("is_target"))
-    return score(docs, Models(model_counts(flagged)), doc_id, text)
+    marked = places.join(ids.hint("merge"), "_id").groupBy("chunk").agg(F.collect_list("place").alias("places"))
+    asked = chunks.select("chunk", "texts").join(marked.hint("merge"), "chunk", "left").select("chunk", "texts", "places")
+    asked = asked.mapInArrow(lambda batches: _asked(batches, ranges), ASKED_SCHEMA)
+    answers = stored(asked.groupBy("part").applyInArrow(_answered, ANSWER_SCHEMA))
+    whole = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens", "target_tokens")]).first()
+    vocabulary, tokens, target_tokens = max(N_WORDS, whole[0]), whole[1], whole[2]
+    # As many answers as there are ranges, and as many counts as a chunk has n-grams.
+    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "background", "target")).alias("answers"))
+    joined = chunks.select("chunk", "ids", "texts").join(by_chunk.hint("merge"), "chunk", "left").select("ids", "texts", "answers")
+    return joined.mapInArrow(lambda batches: _scores(batches, vocabulary, tokens, target_tokens), SCORE_SCHEMA)

@@ -247,6 +247,37 @@ def test_scores_equal_a_plain_count(spark):
     assert cross_entropy.cross_entropy_difference(docs_of(spark, ODD), target.limit(0)).count() == len(ODD)
 
 
+def test_every_pair_has_a_counter_of_its_own(spark):
+    """More words and pairs than any table of a million has room for, in several chunks."""
+    n, rng = 700_000, np.random.default_rng(4)
+    words = [f"w{int(x)}" for x in rng.integers(0, 600_000, n)]
+    rows = [(i, " ".join(words[i * 1000 : (i + 1) * 1000]), None, None, None) for i in range(n // 1000)]
+    target = spark.createDataFrame([(i,) for i in range(0, n // 1000, 3)], "doc_id bigint")
+    docs = docs_of(spark, rows).repartition(5)
+    found = {r.doc_id: r for r in cross_entropy.cross_entropy_difference(docs, target).collect()}
+    counts = [({}, {}), ({}, {})]
+    for i in range(n // 1000):
+        own = words[i * 1000 : (i + 1) * 1000]
+        for uni, bi in counts if i % 3 == 0 else counts[:1]:
+            for k, w in enumerate(own):
+                uni[w] = uni.get(w, 0) + 1
+                if k:
+                    bi[own[k - 1], w] = bi.get((own[k - 1], w), 0) + 1
+    in_target = sum(counts[1][0].values())
+    vocabulary = len(counts[0][0])
+    assert vocabulary > cross_entropy.N_WORDS and len(counts[0][1]) > 600_000
+    for i in (0, 1, 350, 699):
+        own = words[i * 1000 : (i + 1) * 1000]
+        for (uni, bi), scale, got in zip(counts, (in_target / n, 1.0), (found[i].h_background, found[i].h_target), strict=True):
+            want = 0.0
+            for k, w in enumerate(own):
+                p = (scale * uni.get(w, 0) + cross_entropy.ALPHA) / (in_target + cross_entropy.ALPHA * vocabulary)
+                if k:
+                    p = (scale * bi.get((own[k - 1], w), 0) + cross_entropy.MU * p) / (scale * uni.get(own[k - 1], 0) + cross_entropy.MU)
+                want -= np.log(p)
+            assert got == pytest.approx(want / len(own), rel=1e-9)
+
+
 # --- 5: binary records -------------------------------------------------------------------------
 
 TEXTS = ["", "a", " a", "a ", "a  b", "x\n\ny z", "x \ny", "x\n y", "don't  we'll", "1234 x²", "<|endoftext|> a", " a b", "a b", "end.\nStart, of: it?! a.b ...", "émoi \U0001f600 x\x00y", "\tTab", "A\r\nB", "a\x1cb c", "ǅ ª x"]
