@@ -25,7 +25,7 @@ from ..session import stored
 from .words import mix, slices, word_hashes
 
 # Bytes of text in a chunk, and about as many for each range of hashes; least number of ranges.
-CHUNK, RANGE, RANGES = 16_000_000, 16_000_000, 256
+CHUNK, RANGE, RANGES = 6_000_000, 16_000_000, 256
 # The vocabulary that smoothing allows for at least; a corpus with more words has its own number.
 N_WORDS = 1 << 18
 # Smoothing: added count of a word; weight of the word model within the pair model.
