@@ -367,23 +367,25 @@ def _pairs_apart(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row, n_shingles, cls, component_id (least id reachable), one row for each row of ``docs``.
+    """doc_id, row, n_shingles, cls, root, component_id (least id reachable), one row for each row of ``docs``.
 
     A null or empty text, or one of white space alone, has an empty set and is linked with nothing:
     its component is itself.  Texts of fewer than five words have one shingle.  Rows that share an
-    id keep a row each and follow their own text; null ids are passed over in the least id.  An
-    empty table gives no rows.  Other columns are not read.
+    id keep a row each and follow their own text; null ids are passed over in the least id.  So an
+    id does not tell a component, its root (the least class reachable; null for an empty set) does.
+    An empty table gives no rows.  Other columns are not read.
     """
     sig = stored(signatures(docs, doc_id, text))
     linked = link_classes(docs, sig.select("doc_id", "n_shingles", "cls", "bands"), doc_id, text)
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = stored(linked.join(least, "root").select("cls", "component_id"))
+    by_class = stored(linked.join(least, "root").select("cls", "root", "component_id"))
     s, c = sig.alias("s"), by_class.alias("c")
     return s.join(c, F.expr("s.cls = c.cls and s.n_shingles > 0"), "left").select(
         "s.doc_id",
         "s.row",
         "s.n_shingles",
         "s.cls",
+        "c.root",
         F.when(F.col("s.n_shingles") > 0, F.col("c.component_id")).otherwise(F.col("s.doc_id")).alias("component_id"),
     )
 
@@ -396,10 +398,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = stored(near_duplicates(docs, doc_id, text))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     linked = found.where("n_shingles > 0").withColumn("_order", order)
-    best = linked.groupBy("component_id").agg(F.min("_order").alias("_best"), F.count(F.lit(1)).alias("_n"))
+    best = linked.groupBy("root").agg(F.min("_order").alias("_best"), F.count(F.lit(1)).alias("_n"))
     best = stored(best.where("_n > 1"))
     l, b = linked.alias("l"), best.alias("b")
-    several = l.join(b, F.expr("l.component_id <=> b.component_id")).select(
+    several = l.join(b, F.expr("l.root = b.root")).select(
         F.col("l.row").alias("_row"), (F.col("l._order") == F.col("b._best")).alias("_stays")
     )
     several = stored(several.groupBy("_row", "_stays").count())

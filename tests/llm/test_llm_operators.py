@@ -537,6 +537,22 @@ def test_one_row_of_each_component_stays(spark):
     assert out.count() == empty + len({c for _, (_, n, c) in marked if n})
 
 
+def test_unrelated_rows_of_one_id_stay(spark):
+    """Components as brute force has them: an id, null or repeated, does not make rows one group."""
+    same, other, third = ODD[0][1], "an entirely different text about other things than foxes", "word after word of a third one"
+    rows = [(None, t, None, None, n) for n, t in enumerate((same, same, other, third, third))]
+    rows += [(5, "five words of one text", None, None, 1), (5, "and quite another text here", None, None, 1)]
+    docs = docs_of(spark, rows, True)
+    kept = sorted(r.text for r in minmax.keep_one(docs).collect())
+    assert kept == sorted({t for _, t, *_ in rows})
+    rows = ODD + near_rows(np.random.default_rng(6))
+    rows = [(None if k % 3 == 0 else i, *r) for k, (i, *r) in enumerate(rows)]
+    # Ids of their own, so that the least of a component tells it.
+    groups = {c for _, n, c in brute_near([(k, *r[1:]) for k, r in enumerate(rows)]) if n}
+    empty = sum(not brute_shingles(t) for _, t, *_ in rows)
+    assert minmax.keep_one(docs_of(spark, rows)).count() == empty + len(groups)
+
+
 # --- 10: toxicity ------------------------------------------------------------------------------
 
 
