@@ -32,7 +32,8 @@ THRESHOLD = 0.3
 WINDOW = 60
 STEM_LENGTHS = (4, 5, 6, 7)
 
-NONE, EXACT, NEAR, STEM = 0, 1, 2, 3
+# STEMMED is added to EXACT or NEAR where the token also begins with a stem.
+NONE, EXACT, NEAR, STEM, STEMMED = 0, 1, 2, 3, 4
 # --- Fixed values: words and marks that tell how a term is used ----------------------------------
 QUOTES = "\"“”„«»‟"
 REPORTING = re.compile(
@@ -72,10 +73,11 @@ class Automaton:
 
 
 def build(words: list[str], stems: list[str]) -> Automaton:
-    """The words within their allowed edits, and everything that begins with a stem.
+    """The words within their allowed edits, and everything else that begins with a stem.
 
-    A position is (trie node, edits so far); a state is a set of positions without those that
-    another one of the same node makes needless.
+    A position is (trie node, edits so far), or (-1, 0) once a stem has been passed; a state is a set
+    of positions without those that another one of the same node makes needless.  A word found,
+    exact or near, is told as such also where a stem has been passed.
     """
     children: list[dict[str, int]] = [{}]
     budget, ends, stem_end = [0], [-1], [False]
@@ -108,6 +110,9 @@ def build(words: list[str], stems: list[str]) -> Automaton:
         todo, best = list(positions), {}
         while todo:
             node, e = todo.pop()
+            if node < 0:
+                best[node] = e
+                continue
             if e > budget[node] or best.get(node, 99) <= e:
                 continue
             best[node] = e
@@ -136,6 +141,9 @@ def build(words: list[str], stems: list[str]) -> Automaton:
         edited: set[tuple[int, int]] = set()
         expected: dict[str, set[tuple[int, int]]] = {}
         for node, e in state:
+            if node < 0:
+                edited.add((node, e))
+                continue
             if e < budget[node]:
                 edited.add((node, e + 1))
                 edited.update((x, e + 1) for x in children[node].values())
@@ -143,17 +151,17 @@ def build(words: list[str], stems: list[str]) -> Automaton:
                 expected.setdefault(c, set()).add((children[node][c], e))
         row = np.full(len(alphabet) + 1, number(closed(edited)), np.int32)
         for c, found in expected.items():
-            is_stem = any(stem_end[child] and e == 0 for child, e in found)
-            row[letters[c]] = 2 if is_stem else number(closed(edited | found))
+            if any(stem_end[child] and e == 0 for child, e in found):
+                found.add((-1, 0))
+            row[letters[c]] = number(closed(edited | found))
         rows.append(row)
     result = np.zeros(len(order), np.int8)
     for k, state in enumerate(order):
-        if state == stemmed:
-            result[k] = STEM
-            continue
-        hits = [e for node, e in state if 0 <= e <= ends[node]]
+        hits = [e for node, e in state if node >= 0 and e <= ends[node]]
         if hits:
-            result[k] = EXACT if min(hits) == 0 else NEAR
+            result[k] = (EXACT if min(hits) == 0 else NEAR) + STEMMED * ((-1, 0) in state)
+        elif (-1, 0) in state:
+            result[k] = STEM
     return Automaton(letters, np.array(rows), result)
 
 
@@ -226,13 +234,17 @@ def features(automaton: Automaton, texts: list[str]) -> np.ndarray:
     lowered = [t.lower() for t in texts]
     owner, start, end, result, words = find(automaton, lowered)
     counts = np.zeros((len(texts), 7))
+    strong = np.zeros(len(texts))
     for i, s, e, r in zip(owner.tolist(), start.tolist(), end.tolist(), result.tolist(), strict=True):
         quoted, aimed = context(lowered[i], s, e)
-        counts[i, 2 * ({EXACT: 0, STEM: 1, NEAR: 2}[r]) + quoted] += 1
+        kind = r & 3
+        counts[i, 2 * ({EXACT: 0, STEM: 1, NEAR: 2}[kind]) + quoted] += 1
+        # That it begins with a stem tells something of a word, too.
+        counts[i, 2 + quoted] += r > STEMMED
+        strong[i] += not quoted and (r > STEMMED or kind != NEAR)
         counts[i, 6] += aimed
     out = np.zeros((len(texts), FEATURES))
     out[:, :7] = np.log1p(counts)
-    strong = counts[:, 0] + counts[:, 2]
     out[:, 7] = np.minimum(100 * strong / np.maximum(words, 20), 10) / 10
     stemmed = counts[:, 2] + counts[:, 3]
     out[:, 8] = counts[:, 0] + counts[:, 1] > 0
@@ -301,8 +313,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     for r in sorted(found, key=lambda r: (-r["t"] * np.log(r["t"] / r["n"] / base), len(r["term"]), r["term"])):
         if not any(r["term"].startswith(s) or s.startswith(r["term"]) for s in stems):
             stems.append(r["term"])
-    words = sorted(w for w in words if not any(w.startswith(s) for s in stems))
-    return words, sorted(stems)
+    return sorted(words), sorted(stems)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:

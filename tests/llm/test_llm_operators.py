@@ -594,6 +594,19 @@ def test_automaton_equals_edit_distance():
         assert found.get(k) == want, t
 
 
+def test_words_that_begin_with_a_stem_keep_their_edits(spark):
+    automaton = toxicity.build(["loser", "losingly"], ["lose", "losi"])
+    tokens = ["loser", "looser", "l0ser", "losers", "lose", "losesartaga", "losingly", "losinglx", "losing", "losinx", "los"]
+    owner, _, _, result, _ = toxicity.find(automaton, tokens)
+    found = {tokens[k]: r for k, r in zip(owner.tolist(), result.tolist(), strict=True)}
+    E, N, S, also = toxicity.EXACT, toxicity.NEAR, toxicity.STEM, toxicity.STEMMED
+    assert [found.get(t) for t in tokens] == [E + also, N, N, N + also, N + also, S, E + also, N + also, S, S, None]
+    family = ["loser", "loser", "losery", "loserish", "losers"]
+    rows = [(f"you {family[i % 5]} there", 1) for i in range(60)] + [(f"word{i % 9} of peace and quiet", 0) for i in range(240)]
+    words, stems = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "loser" in words and any("loser".startswith(s) for s in stems)
+
+
 def test_quotation_differs_from_abuse():
     automaton = toxicity.build(["idiot"], [])
     abuse, quoted, reported, plain = (
