@@ -69,7 +69,18 @@ class Automaton:
         return self._classes
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_classes": None}
+        # Most letters lead where an unknown one does, so distances from there are nearly all zero.
+        far = (self.step - self.step[:, :1]).astype("<i4")
+        planes = far.reshape(-1).view(np.uint8).reshape(-1, 4).T.tobytes()
+        packed = pa.compress(planes, codec="zstd", asbytes=True)
+        first = self.step[:, 0].astype("<i4")
+        return self.__dict__ | {"_classes": None, "step": (packed, first, self.step.shape)}
+
+    def __setstate__(self, kept: dict) -> None:
+        packed, first, (n, m) = kept["step"]
+        planes = np.frombuffer(pa.decompress(packed, 4 * n * m, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+        far = np.ascontiguousarray(planes.T).view("<i4").reshape(n, m)
+        self.__dict__.update(kept | {"step": (far + first[:, None]).astype(np.int32)})
 
 
 def build(words: list[str], stems: list[str]) -> Automaton:
@@ -106,6 +117,9 @@ def build(words: list[str], stems: list[str]) -> Automaton:
     alphabet = sorted({c for node in children for c in node})
     letters = {c: k + 1 for k, c in enumerate(alphabet)}
 
+    # One object for each position, whatever the number of states that have it.
+    known: dict[tuple[int, int], tuple[int, int]] = {}
+
     def closed(positions: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         todo, best = list(positions), {}
         while todo:
@@ -118,7 +132,7 @@ def build(words: list[str], stems: list[str]) -> Automaton:
             best[node] = e
             if e < budget[node]:
                 todo += [(child, e + 1) for child in children[node].values()]
-        return frozenset(best.items())
+        return frozenset(known.setdefault(p, p) for p in best.items())
 
     stemmed = frozenset({(-1, 0)})
     start = closed({(0, 0)})

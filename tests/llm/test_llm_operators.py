@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 import re
 import zlib
 
@@ -600,6 +601,8 @@ def test_words_that_begin_with_a_stem_keep_their_edits(spark):
     owner, _, _, result, _ = toxicity.find(automaton, tokens)
     found = {tokens[k]: r for k, r in zip(owner.tolist(), result.tolist(), strict=True)}
     E, N, S, also = toxicity.EXACT, toxicity.NEAR, toxicity.STEM, toxicity.STEMMED
+    again = pickle.loads(pickle.dumps(automaton))
+    assert (again.step == automaton.step).all() and again.step.dtype == automaton.step.dtype
     assert [found.get(t) for t in tokens] == [E + also, N, N, N + also, N + also, S, E + also, N + also, S, S, None]
     family = ["loser", "loser", "losery", "loserish", "losers"]
     rows = [(f"you {family[i % 5]} there", 1) for i in range(60)] + [(f"word{i % 9} of peace and quiet", 0) for i in range(240)]
