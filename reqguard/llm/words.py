@@ -106,6 +106,19 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix((total - before) * down[s]), np.searchsorted(s, at)
 
 
+def hashes_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes; equal stretches have equal hashes wherever they stand."""
+    up, down = _POWERS.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=total[1:])
+    return mix((total[starts + lengths] - total[starts]) * down[starts] + lengths.astype(np.uint64))
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, in this order."""
+    return mix(a * _U(_BASE) + b)
+
+
 def ngram_hashes(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words within a text, and at which each text's runs begin.
 
