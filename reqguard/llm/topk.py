@@ -275,7 +275,8 @@ def _joined_lists(k: int) -> Callable:
         entries, of = entries[order], of[order]
         both = np.zeros(len(entries), bool)
         both[:-1] = (entries["q"][1:] == entries["q"][:-1]) & (entries["at"][1:] == entries["at"][:-1])
-        second = np.concatenate([[False], both[:-1]])
+        second = np.zeros(len(entries), bool)
+        second[1:] = both[:-1]
         whole = entries[both].copy()
         whole["s"] = _added(whole["s"], entries["s"][second])
         out = [(-1, chunk, block, best(whole, k))]
