@@ -14,12 +14,16 @@ Work never follows the square of a group:
   similar enough have one of those in common, and a passage that many documents share is not rare;
 * a shingle's group is a star: its classes are paired with the group's least class alone, and
   pairs whose sizes, or places among the rare shingles, rule the similarity out are dropped;
-* classes of one group that are in different components after the stars are confirmed are compared
-  with each other too, for a star could have hidden their link.
+* classes of one group that are in different components after the stars are confirmed may be linked
+  all the same.  In rounds, each is compared with a few other centres, and components that a link
+  joins become one; of two components it takes one link to spare all other pairs between them;
+* classes that are still in different components are compared with each other, wherever no earlier
+  comparison and neither sizes nor places rule the similarity out, so no link is lost.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +47,8 @@ COUNT_BITS = 20
 BLOCK = 4096
 # Tokens of a centre that have a bit of their own.
 NUMBERED = 62
+# Hubs that a class is compared with in a round; a round that links less than one class in so many is the last.
+TRIES, FEW_LINKS = 4, 20
 # Sets whose sizes differ by 5 percent at most can be similar if their first common shingle is among
 # the first 12 percent of both: (1 - 0.12) * 175 >= 75 * 2.05.
 FIRST_PERCENT, EQUAL_PERCENT = 12, 105
@@ -173,7 +179,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: st
     )
     f, w = found.alias("f"), wanted.alias("w")
     joined = f.join(w, F.expr("f.cls = w.cls and f.doc_id <=> w.rep"), "left_semi")
-    return joined.select("cls", "members")
+    # Rows that share text and id are one class.
+    return joined.select("cls", "members").dropDuplicates(["cls"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -326,19 +333,63 @@ def link_classes(docs: DataFrame, sig: DataFrame, doc_id: str, text: str) -> Dat
     apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
     rest = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(apart).select("a", "b")
     links = stored(links.union(confirmed(rest.join(first, ["a", "b"], "left_anti"), sets)))
-    nodes = involved.select("cls")
-    roots = stored(components(nodes, links))
+    roots = stored(components(involved, links))
     # Classes of one group that stayed apart: neither is the centre, for pairs with it are done.
-    ends = shared.select("token", "a", "cls", "n", "place").join(roots, "cls")
-    mixed = ends.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_ = stored(ends.join(mixed.select("token"), "token", "left_semi").select("token", "a", "cls", "n", "place", "root"))
-    between = _pairs_apart(open_)
+    open_ = _still_apart(shared, roots)
+    refuted = pairs
+    for salt in itertools.count(1):
+        # Few new links: what is left is mostly apart, and has to be compared.
+        tried = stored(_pairs_with_hubs(open_, salt).join(refuted, ["a", "b"], "left_anti"))
+        found = stored(confirmed(tried, sets))
+        if found.isEmpty():
+            break
+        roots = _contracted(roots, found)
+        few = FEW_LINKS * found.count() < open_.select("cls").distinct().count()
+        refuted = stored(refuted.union(tried.join(found, ["a", "b"], "left_anti")))
+        open_ = _still_apart(open_, roots)
+        if few:
+            break
+    between = _pairs_apart(open_).join(refuted, ["a", "b"], "left_anti")
     found = stored(confirmed(between, sets))
     if not found.isEmpty():
-        roots = stored(components(nodes, links.union(found)))
+        roots = _contracted(roots, found)
     return classes.select("cls", "rep").join(roots, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
 
 
+def _still_apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, a, cls, n, place, root) of the tokens that more than one component holds."""
+    ends = rows.select("token", "a", "cls", "n", "place").join(roots, "cls")
+    mixed = ends.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return stored(ends.join(mixed.select("token"), "token", "left_semi").select("token", "a", "cls", "n", "place", "root"))
+
+
+def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (cls, root) with the components that ``links`` (a, b) join made one."""
+    of_a = roots.select(F.col("cls").alias("a"), F.col("root").alias("ra"))
+    of_b = roots.select(F.col("cls").alias("b"), F.col("root").alias("rb"))
+    between = links.join(of_a, "a").join(of_b, "b").where("ra <> rb")
+    between = stored(between.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    ends = between.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    moved = components(ends, between).select(F.col("cls").alias("root"), F.col("root").alias("to"))
+    return stored(roots.join(moved, "root", "left").select("cls", F.coalesce("to", "root").alias("root")))
+
+
+def _pairs_with_hubs(rows: DataFrame, salt: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components: each class with up to ``TRIES`` hubs of its tokens.
+
+    A token's hub is the first of its classes in an order of chance that ``salt`` sets.  One link
+    joins all of two components, so a round of these spares most comparisons between their members;
+    what it leaves out is not decided by it.
+    """
+    lot = F.xxhash64(F.lit(salt), "cls")
+    hubs = rows.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "cls", "n", "place", "root")).alias("hub"))
+    met = rows.join(hubs, "token").where("root <> hub.root")
+    met = met.where(_possible("n", "place", "hub.n", "hub.place"))
+    met = met.select("cls", F.col("hub.cls").alias("hub"), F.xxhash64(F.lit(salt), "hub.cls", "cls").alias("lot")).distinct()
+    picked = met.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("lot", "hub"))).where(F.col("r") <= TRIES)
+    return picked.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+
+
 def _pairs_apart(rows: DataFrame) -> DataFrame:
     """Pairs of classes in different components that may be similar, from (token, a, cls, n, place, root).
 

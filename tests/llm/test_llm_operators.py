@@ -533,9 +533,56 @@ def test_one_row_of_each_component_stays(spark):
     docs = docs_of(spark, rows, True)
     out = minmax.keep_one(docs)
     assert out.columns == docs.columns
-    marked = list(zip(rows, brute_near(rows), strict=True))
-    empty = sum(n == 0 for _, (_, n, _) in marked)
-    assert out.count() == empty + len({c for _, (_, n, c) in marked if n})
+    # Ids of their own, so that the least of a component tells it: unrelated texts share id 9.
+    marked = brute_near([(k, *r[1:]) for k, r in enumerate(rows)])
+    empty = sum(n == 0 for _, n, _ in marked)
+    assert out.count() == empty + len({c for _, n, c in marked if n})
+
+
+def edited(rng, words, copies, edits, first):
+    rows = []
+    for k in range(copies):
+        mine = list(words)
+        for at in rng.choice(len(words), edits, replace=False):
+            mine[at] = f"e{int(rng.integers(0, 10**9))}"
+        rows.append((first + k, " ".join(mine), None, None, None))
+    return rows
+
+
+def counted(monkeypatch):
+    """Pairs that the operator confirms, and links it finds."""
+    seen, confirmed = [], minmax.confirmed
+
+    def counting(pairs, sets):
+        found = confirmed(pairs, sets)
+        seen.append((pairs.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(minmax, "confirmed", counting)
+    return seen
+
+
+def test_large_groups_of_near_copies_need_few_comparisons(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    # A third of all pairs are links: one in each component is enough.
+    rows = edited(rng, [f"w{k}" for k in range(400)], 400, 6, 0)
+    seen = counted(monkeypatch)
+    assert rows_of(minmax.near_duplicates(docs_of(spark, rows)), "doc_id", "n_shingles", "component_id") == sorted(brute_near(rows), key=repr)
+    assert sum(n for n, _ in seen) < 25 * len(rows) and sum(n for _, n in seen) < 10 * len(rows)
+
+
+def test_groups_beyond_the_threshold_are_compared(spark):
+    rng = np.random.default_rng(12)
+    rows = edited(rng, [f"w{k}" for k in range(100)], 120, 3, 0) + edited(rng, [f"u{k}" for k in range(60)], 60, 1, 500)
+    assert rows_of(minmax.near_duplicates(docs_of(spark, rows)), "doc_id", "n_shingles", "component_id") == sorted(brute_near(rows), key=repr)
+
+
+def test_repeated_rows_are_one_class(spark, monkeypatch):
+    words = [f"w{k}" for k in range(80)]
+    rows = [(1, " ".join(words), None, None, None)] * 300 + [(2, " ".join([*words[:-1], "other"]), None, None, None)] * 300
+    seen = counted(monkeypatch)
+    found = rows_of(minmax.near_duplicates(docs_of(spark, rows)), "doc_id", "component_id")
+    assert found == sorted([(1, 1)] * 300 + [(2, 1)] * 300) and sum(n for _, n in seen) == 1
 
 
 def test_unrelated_rows_of_one_id_stay(spark):
