@@ -15,7 +15,7 @@ Work never follows the square of a group:
 * a shingle's group is a star: its classes are paired with the group's least class alone, and
   pairs whose sizes, or places among the rare shingles, rule the similarity out are dropped;
 * classes of one group that are in different components after the stars are confirmed may be linked
-  all the same.  In rounds, each is compared with a few other centres, and components that a link
+  all the same.  In rounds, each is compared with a few others by lot, and components that a link
   joins become one; of two components it takes one link to spare all other pairs between them;
 * classes that are still in different components are compared with each other, wherever no earlier
   comparison and neither sizes nor places rule the similarity out, so no link is lost.
@@ -47,8 +47,9 @@ COUNT_BITS = 20
 BLOCK = 4096
 # Tokens of a centre that have a bit of their own.
 NUMBERED = 62
-# Hubs that a class is compared with in a round; a round that links less than one class in so many is the last.
-TRIES, FEW_LINKS = 4, 20
+# Others that a class is compared with for each token in a round, out of parts of about this many; a round
+# that finds fewer links than one for so many components is the last.
+TRIES, PART, FEW_LINKS = 3, 256, 20
 # Sets whose sizes differ by 5 percent at most can be similar if their first common shingle is among
 # the first 12 percent of both: (1 - 0.12) * 175 >= 75 * 2.05.
 FIRST_PERCENT, EQUAL_PERCENT = 12, 105
@@ -271,7 +272,10 @@ def _possible(n: str, place: str, m: str, other: str) -> Column:
     All that both can share stands from there on, and similar sets share PERCENT / (100 + PERCENT)
     of both sizes together at least.
     """
-    a, b, i, j = F.col(n), F.col(m), F.col(place), F.col(other)
+    return _possible_of(F.col(n), F.col(place), F.col(m), F.col(other))
+
+
+def _possible_of(a: Column, i: Column, b: Column, j: Column) -> Column:
     return ((100 + PERCENT) * F.least(a - i, b - j) >= PERCENT * (a + b)) & (
         100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
     )
@@ -339,12 +343,12 @@ def link_classes(docs: DataFrame, sig: DataFrame, doc_id: str, text: str) -> Dat
     refuted = pairs
     for salt in itertools.count(1):
         # Few new links: what is left is mostly apart, and has to be compared.
-        tried = stored(_pairs_with_hubs(open_, salt).join(refuted, ["a", "b"], "left_anti"))
+        tried = stored(_pairs_by_lot(open_, salt).join(refuted, ["a", "b"], "left_anti"))
         found = stored(confirmed(tried, sets))
         if found.isEmpty():
             break
         roots = _contracted(roots, found)
-        few = FEW_LINKS * found.count() < open_.select("cls").distinct().count()
+        few = FEW_LINKS * found.count() < open_.select("root").distinct().count()
         refuted = stored(refuted.union(tried.join(found, ["a", "b"], "left_anti")))
         open_ = _still_apart(open_, roots)
         if few:
@@ -374,20 +378,26 @@ def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stored(roots.join(moved, "root", "left").select("cls", F.coalesce("to", "root").alias("root")))
 
 
-def _pairs_with_hubs(rows: DataFrame, salt: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components: each class with up to ``TRIES`` hubs of its tokens.
+def _pairs_by_lot(rows: DataFrame, salt: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components: each class with the next few that share a token.
 
-    A token's hub is the first of its classes in an order of chance that ``salt`` sets.  One link
-    joins all of two components, so a round of these spares most comparisons between their members;
-    what it leaves out is not decided by it.
+    Next in an order of chance that ``salt`` sets, within parts of a token's classes of bounded size.
+    One link joins all of two components, so a round of these spares most comparisons between their
+    members; what it leaves out is not decided by it.
     """
-    lot = F.xxhash64(F.lit(salt), "cls")
-    hubs = rows.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "cls", "n", "place", "root")).alias("hub"))
-    met = rows.join(hubs, "token").where("root <> hub.root")
-    met = met.where(_possible("n", "place", "hub.n", "hub.place"))
-    met = met.select("cls", F.col("hub.cls").alias("hub"), F.xxhash64(F.lit(salt), "hub.cls", "cls").alias("lot")).distinct()
-    picked = met.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("lot", "hub"))).where(F.col("r") <= TRIES)
-    return picked.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    # Where the first common shingle of similar sets of one size can be.
+    early = rows.where((100 + PERCENT) * F.col("place") <= (100 - PERCENT) * F.col("n"))
+    sizes = early.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    lot = F.xxhash64(F.lit(salt), "token", "cls")
+    dealt = early.join(sizes, "token").withColumn("lot", lot).withColumn("part", F.pmod("lot", "parts"))
+    order = Window.partitionBy("token", "part").orderBy("lot", "cls")
+    here = F.struct("cls", "n", "place", "root")
+    dealt = dealt.select("cls", "n", "place", "root", F.array(*[F.lead(here, k).over(order) for k in range(1, TRIES + 1)]).alias("next"))
+    possible = F.filter(
+        "next", lambda y: (y["root"] != F.col("root")) & _possible_of(F.col("n"), F.col("place"), y["n"], y["place"])
+    )
+    pairs = dealt.select("cls", F.explode(F.transform(possible, lambda y: y["cls"])).alias("other"))
+    return pairs.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
 
 def _pairs_apart(rows: DataFrame) -> DataFrame:
