@@ -14,6 +14,10 @@ cut into blocks that many tasks work on at once:
    the first window length of a block also go to the block before, where they may belong.
 
 A client with a large share of all requests is thus spread over as many tasks as it has blocks.
+
+A log that arrives run by run is judged as if it were one: a run takes each client's open window
+from the run before (``STATE``) and hands on its own.  An open window enters as one event at the
+time it was opened, which makes the same windows follow from it as if all its requests were there.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 WINDOW_SECONDS = 60  # fixed value: the default window
 BLOCK_WINDOWS = 16
 BLOCKS_TOGETHER = 256
@@ -42,6 +48,16 @@ RESULT = T.StructType(
     ]
 )
 
+#: The last window of each client: when it opened, and what it has admitted.
+STATE = T.StructType(
+    [
+        T.StructField("client", T.StringType()),
+        T.StructField("opened", T.TimestampType()),
+        T.StructField("requests", T.LongType()),
+        T.StructField("tokens", T.LongType()),
+    ]
+)
+
 
 def last_window_steps(times: np.ndarray, block_start: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Step function of one block: (latest permitted opening time, start of the last window).
@@ -234,8 +250,8 @@ class WindowCounter:
         self.start: int | None = None
         self.requests = self.tokens = 0
 
-    def open(self, ts: int) -> None:
-        self.start, self.requests, self.tokens = ts, 0, 0
+    def open(self, ts: int, requests: int = 0, tokens: int = 0) -> None:
+        self.start, self.requests, self.tokens = ts, requests, tokens
 
     def is_over(self, ts: int) -> bool:
         return self.start is None or ts >= self.start + self.window
@@ -271,9 +287,10 @@ def decisions_array(rows: list[tuple], request_limit: int, token_limit: int) ->
 
 
 def _count_windows(request_limit: int, token_limit: int, window: int, keep: list[str]):
-    """mapInArrow: rows sorted by (client, block, marker first, ts, id) -> decided rows.
+    """mapInArrow: rows sorted by (client, block, marker first, ts, carried first, id) -> decided rows.
 
-    Holds one window's counters at a time, whatever the size of a group.
+    Holds one window's counters at a time, whatever the size of a group.  A carried row opens the
+    window of a run before with what that has admitted, and does not come out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +304,10 @@ def _count_windows(request_limit: int, token_limit: int, window: int, keep: list
             times = batch.column("_us").to_pylist()
             tokens = batch.column("_tokens").to_pylist()
             tails = batch.column("_tail").to_pylist()
+            carried = batch.column("_carried").to_pylist()
             taken: list[int] = []
             rows: list[tuple] = []
+            opened: list[int] = []
             for i, ts in enumerate(times):
                 if blocks[i] != (key and key[1]) or clients[i] != key[0]:
                     key, opening = (clients[i], blocks[i]), None
@@ -296,6 +315,10 @@ def _count_windows(request_limit: int, token_limit: int, window: int, keep: list
                 if openings[i] is not None:
                     opening = openings[i]
                 elif opening is not None and ts >= opening:
+                    if carried[i] is not None:
+                        if not tails[i]:
+                            counter.open(ts, carried[i], tokens[i])
+                        continue
                     if counter.is_over(ts):
                         if tails[i]:
                             opening = None  # the rest belongs to the next block
@@ -303,9 +326,11 @@ def _count_windows(request_limit: int, token_limit: int, window: int, keep: list
                         counter.open(ts)
                     taken.append(i)
                     rows.append(counter.admit(ts, tokens[i]))
+                    opened.append(counter.start)
             kept = batch.select(keep).take(pa.array(taken, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, decisions_array(rows, request_limit, token_limit)], [*keep, "rate"]
+                [*kept.columns, decisions_array(rows, request_limit, token_limit), pa.array(opened, pa.int64())],
+                [*keep, "rate", "_window"],
             )
 
     return run
@@ -321,6 +346,7 @@ def rate_limit(
     request_id: str = "request_id",
     window_seconds: int = WINDOW_SECONDS,
     block_windows: int = BLOCK_WINDOWS,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``rate``, the limiter's decision, to every row (order: ``ts``, then ``request_id``).
 
@@ -328,6 +354,9 @@ def rate_limit(
     window of their client.  All columns travel through one shuffle on (client, block).  The source is read up to four times,
     but once for two narrow columns only; pass a stored or checkpointed table when it is costly to
     recompute.  With both limits 0 everything is allowed and nothing is shuffled.
+
+    ``state`` (see ``STATE``) holds the windows that were open when these requests began.  A request
+    from before its client's carried window counts as at the opening of that window.
     """
     if request_limit <= 0 and token_limit <= 0:
         zero = F.lit(0).cast("bigint")
@@ -339,15 +368,49 @@ def rate_limit(
                 F.lit(None).cast("string").alias("exceeded"),
             ),
         )
+    decided = _limited(
+        requests, state, request_limit, token_limit, client, ts, tokens, request_id, window_seconds, block_windows
+    )
+    return decided.drop("_window")
+
+
+def _client_key(client: Column) -> Column:
+    """Never null, so that it can be joined on."""
+    return F.coalesce(F.concat(F.lit("c"), client.cast("string")), F.lit("none"))
+
+
+def _limited(
+    requests: DataFrame,
+    state: DataFrame | None,
+    request_limit: int,
+    token_limit: int,
+    client: str,
+    ts: str,
+    tokens: str,
+    request_id: str,
+    window_seconds: int,
+    block_windows: int,
+) -> DataFrame:
+    """``requests`` with ``rate`` and ``_window``, the microsecond at which the window of each was opened."""
     window = window_seconds * 1_000_000
     block_us = window * block_windows
     us = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(0).cast("bigint"))
-    # Never null, so that it can be joined on.
-    client_key = F.concat(F.lit("c"), F.col(client).cast("string"))
-    client_key = F.coalesce(client_key, F.lit("none"))
     block = F.expr(f"(_us - pmod(_us, {block_us}L)) div {block_us}L")
-
-    slim = requests.select(client_key.alias("_client"), us.alias("_us")).withColumn("_block", block)
+    timed = requests.withColumns({"_client": _client_key(F.col(client)), "_us": us})
+    carried = None
+    if state is not None:
+        carried = state.select(
+            _client_key(F.col("client")).alias("_client"),
+            F.unix_micros("opened").alias("_us"),
+            F.col("requests").alias("_carried"),
+            F.col("tokens").alias("_tokens"),
+        ).withColumn("_block", block)
+        opened = carried.select("_client", F.col("_us").alias("_opened"))
+        timed = timed.join(opened, "_client", "left").withColumn("_us", F.greatest("_us", "_opened")).drop("_opened")
+
+    slim = timed.select("_client", "_us").withColumn("_block", block)
+    if carried is not None:
+        slim = slim.unionByName(carried.select("_client", "_us", "_block"))
     steps = (
         slim.repartition("_client", "_block")
         .sortWithinPartitions("_client", "_block", "_us")
@@ -359,7 +422,7 @@ def rate_limit(
     markers = _markers(steps, window)
 
     keep = requests.columns
-    own = requests.withColumns({"_client": client_key, "_us": us}).withColumn("_own", block)
+    own = timed.withColumn("_own", block)
     near_start = F.col("_us") - F.col("_own") * F.lit(block_us) < window
     blocks = F.when(near_start, F.array(F.col("_own"), F.col("_own") - 1)).otherwise(F.array("_own"))
     rows = own.withColumn("_block", F.explode(blocks)).select(
@@ -368,19 +431,68 @@ def rate_limit(
         "_us",
         "_block",
         F.lit(None).cast("bigint").alias("_opening"),
+        F.lit(None).cast("bigint").alias("_carried"),
         (F.col("_block") != F.col("_own")).alias("_tail"),
         F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)).alias("_tokens"),
         F.col(request_id).alias("_id"),
     )
+    if carried is not None:
+        rows = rows.unionByName(carried.withColumn("_tail", F.lit(False)), allowMissingColumns=True)
     decided = (
         rows.unionByName(markers, allowMissingColumns=True)
         .repartition("_client", "_block")
-        .sortWithinPartitions("_client", "_block", F.col("_opening").desc_nulls_last(), "_us", "_id")
+        .sortWithinPartitions(
+            "_client", "_block", F.col("_opening").desc_nulls_last(), "_us", F.col("_carried").isNull(), "_id"
+        )
+    )
+    schema = T.StructType(
+        [*requests.schema.fields, T.StructField("rate", RESULT), T.StructField("_window", T.LongType())]
     )
-    schema = T.StructType([*requests.schema.fields, T.StructField("rate", RESULT)])
     return decided.mapInArrow(_count_windows(request_limit, token_limit, window, keep), schema)
 
 
+def rate_limit_run(
+    requests: DataFrame,
+    state: DataFrame | None = None,
+    request_limit: int = 0,
+    token_limit: int = 0,
+    client: str = "client_ip",
+    ts: str = "ts",
+    tokens: str = "tokens",
+    request_id: str = "request_id",
+    window_seconds: int = WINDOW_SECONDS,
+    block_windows: int = BLOCK_WINDOWS,
+) -> tuple[DataFrame, DataFrame]:
+    """One run of a log that arrives in runs: its decisions, and the state for the next run.
+
+    Runs that follow one another in time are judged as their union would be; all requests of one
+    time belong to one run.  ``state`` is what the run before handed on (none: no window is open).
+    A client that sent nothing keeps its window; ``open_windows`` drops those that are over.  Both
+    results are read from tables written here, once each.  With both limits 0 no window is kept.
+    """
+    session = requests.sparkSession
+    if request_limit <= 0 and token_limit <= 0:
+        return rate_limit(requests), state if state is not None else session.createDataFrame([], STATE)
+    names = (client, ts, tokens, request_id, window_seconds, block_windows)
+    decided = stored(_limited(requests, state, request_limit, token_limit, *names))
+    windows = decided.select(
+        F.col(client).cast("string").alias("client"),
+        F.timestamp_micros("_window").alias("opened"),
+        F.col("rate.request_count").alias("requests"),
+        F.col("rate.token_count").alias("tokens"),
+    )
+    if state is not None:
+        windows = windows.unionByName(state.select(*STATE.names))
+    # Within a window both counts only grow, so the greatest row is the last one.
+    last = windows.groupBy("client").agg(F.max(F.struct("opened", "requests", "tokens")).alias("w"))
+    return decided.drop("_window"), stored(last.select("client", "w.*"))
+
+
+def open_windows(state: DataFrame, now: Column, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """``state`` without the windows that are over by ``now``; requests before then must all be judged."""
+    return state.where(F.unix_micros("opened") + window_seconds * 1_000_000 > F.unix_micros(now))
+
+
 def denials_per_client(decided: DataFrame, client: str = "client_ip") -> DataFrame:
     """Requests and denials by client and exceeded limit."""
     return decided.groupBy(client).agg(

@@ -123,3 +123,68 @@ def test_one_client_with_all_requests(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCKS_TOGETHER", 4)
     rows = [("only", int(t), f"r{i:05d}", 1) for i, t in enumerate(times[:20_000].tolist())]
     assert limited(spark, rows, 50, 0, block_windows=2) == plain(rows, 50, 0, window)
+
+
+def in_runs(spark, rows, cuts, request_limit, token_limit, window_seconds=60, **kwargs):
+    """Decisions of a log that is judged run by run, and the state after the last."""
+    got, state = {}, None
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = [r for r in rows if (lo is None or r[1] >= lo) and (hi is None or r[1] < hi)]
+        df = spark.createDataFrame(part, "client_ip string, us long, request_id string, tokens int")
+        df = df.withColumn("ts", F.timestamp_micros("us")).repartition(3)
+        out, state = R.rate_limit_run(df, state, request_limit, token_limit, window_seconds=window_seconds, **kwargs)
+        assert out.columns == [*df.columns, "rate"] and state.schema.names == R.STATE.names
+        for r in out.collect():
+            assert r.request_id not in got
+            rate = r.rate
+            got[r.request_id] = (rate.allowed, rate.request_count, rate.token_count, rate.reset_seconds, rate.exceeded)
+    return got, state
+
+
+@pytest.mark.parametrize("block_windows, step_seconds, limits", [(1, 20, (4, 0)), (2, 7, (0, 100)), (16, 90, (3, 90))])
+def test_runs_are_judged_as_one_log(spark, block_windows, step_seconds, limits):
+    rng = random.Random(step_seconds)
+    rows = []
+    for c in range(5):
+        t = rng.randrange(10**9)
+        for j in range(700 if c == 1 else 150):
+            t += rng.choice([0, 0, rng.randrange(step_seconds * 10**6)])
+            rows.append((f"c{c}" if c else None, t, f"r{c}-{j:05d}", rng.randrange(60)))
+    # One client is silent in the middle, another comes late.
+    times = sorted({r[1] for r in rows})
+    cuts = [times[len(times) * k // 5] for k in (1, 2, 3, 4)]
+    rows = [r for r in rows if not (r[0] == "c3" and cuts[0] <= r[1] < cuts[2]) and not (r[0] == "c4" and r[1] < cuts[1])]
+    got, state = in_runs(spark, rows, cuts, *limits, block_windows=block_windows)
+    want = plain(rows, *limits, 60 * 10**6)
+    assert got == want
+    last = {}
+    for client, us, rid, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        last[client] = want[rid][1:3]
+    assert {r.client: (r.requests, r.tokens) for r in state.collect()} == last
+
+
+def test_carried_windows_by_cases(spark):
+    rows = [("a", 0, "1", 5), ("a", 50 * 10**6, "2", 5), ("b", 59 * 10**6, "3", 5)]
+    later = [("a", 59 * 10**6, "4", 5), ("a", 60 * 10**6, "5", 5), ("b", 100 * 10**6, "6", 5)]
+    got, state = in_runs(spark, rows + later, [59 * 10**6], 2, 0)
+    assert [got[k][0] for k in "123456"] == [True, True, True, False, True, True]
+    assert [got[k][1] for k in "456"] == [2, 1, 2]
+    over = R.open_windows(state, F.timestamp_seconds(F.lit(119)))
+    assert {r.client for r in over.collect()} == {"a"}
+    # A request that comes after its time counts within the carried window.
+    df = spark.createDataFrame([("a", 10 * 10**6, "7", 1)], "client_ip string, us long, request_id string, tokens int")
+    out, after = R.rate_limit_run(df.withColumn("ts", F.timestamp_micros("us")), state, 2, 0)
+    rate = out.first().rate
+    assert (rate.allowed, rate.request_count, rate.reset_seconds) == (True, 2, 60)
+    assert {r.client: r.requests for r in after.collect()} == {"a": 2, "b": 2}
+
+
+def test_runs_without_rows_or_limits(spark):
+    empty = spark.createDataFrame([], "client_ip string, ts timestamp, request_id string, tokens int")
+    out, state = R.rate_limit_run(empty, None, 2, 0)
+    assert out.count() == state.count() == 0
+    given = spark.createDataFrame([(None, 1, 2)], "client string, requests bigint, tokens bigint")
+    given = given.withColumn("opened", F.timestamp_seconds(F.lit(5))).select(*R.STATE.names)
+    out, state = R.rate_limit_run(empty, given, 2, 0)
+    assert out.count() == 0 and [tuple(r)[2:] for r in state.collect()] == [(1, 2)]
+    assert R.rate_limit_run(empty, given)[1] is given
