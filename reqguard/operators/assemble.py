@@ -9,6 +9,10 @@ Ids may be reused without bound (a default id can carry a large share of a log),
 an id are cut into blocks of consecutive ``seq`` values.  A small summary of every block tells
 each block which marker precedes and which follows it; the events themselves are shuffled by
 (id, block), and once more by (id, opening header) to be joined up.
+
+A log that arrives run by run is assembled as if it were one: a run hands on the events of the
+requests it leaves open, which enter the next run with their own ``seq``.  ``event_fates`` accounts
+for every event, also those that no request holds.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import decode_base64_strict, is_utf8
+from ..session import stored
 
 BLOCK_SIZE = 100_000
 
@@ -109,13 +114,27 @@ def assemble_requests(
     body but still end it.  The body is a string holding the raw bytes; ``body_is_utf8`` tells
     whether they are valid.
     """
-    rows = _with_neighbours(_events(headers, chunks, seq, block_size))
-    is_header = F.col("_is_header")
-    opened = F.when(is_header, F.col("_seq")).otherwise(_marker_seq(F.col("_before")))
-    in_open = is_header | F.coalesce(_marks_header(F.col("_before")), F.lit(False))
-    closed_here = F.col("_is_last")
-    closed_later = F.coalesce(~_marks_header(F.col("_after")), F.lit(False))
-    body_rows = rows.where(in_open & (closed_here | closed_later)).select(
+    return _finished(_with_neighbours(_events(headers, chunks, seq, block_size)))
+
+
+def _in_open() -> Column:
+    """Whether an event belongs to a request, finished or not."""
+    return F.col("_is_header") | F.coalesce(_marks_header(F.col("_before")), F.lit(False))
+
+
+def _closed() -> Column:
+    """Whether the next marker from an event on is a last chunk."""
+    return F.col("_is_last") | F.coalesce(~_marks_header(F.col("_after")), F.lit(False))
+
+
+def _still_open() -> Column:
+    return _in_open() & ~F.col("_is_last") & F.col("_after").isNull()
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    """Requests of events that know their neighbours (``_with_neighbours``)."""
+    opened = F.when(F.col("_is_header"), F.col("_seq")).otherwise(_marker_seq(F.col("_before")))
+    body_rows = rows.where(_in_open() & _closed()).select(
         "_id",
         opened.alias("_opened"),
         "_seq",
@@ -147,3 +166,64 @@ def in_flight(
     return rows.where(F.col("_is_header") & F.col("_after").isNull()).select(
         F.col("_id").alias("correlation_id"), F.col("_seq").alias("opened_seq"), "header.*"
     )
+
+
+def assemble_run(
+    headers: DataFrame,
+    chunks: DataFrame,
+    carried: tuple[DataFrame, DataFrame] | None = None,
+    seq: str = "seq",
+    block_size: int = BLOCK_SIZE,
+) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """One run of a log that arrives in runs: its finished requests, and what the next run needs.
+
+    ``carried`` is what the run before handed on: header and chunk events of the requests that were
+    open, as they came.  Within an id, events of later runs have greater ``seq``; runs may cut a
+    request anywhere.  Requests are those of ``assemble_requests`` over all runs together, each in
+    the run that has its last chunk; the carried headers are what is in flight.  A carried request
+    stays until its last chunk or another header comes: ``abandoned`` tells which have waited long.
+    """
+    own = ["correlation_id", "data", "is_last", seq]
+    chunks = chunks.select(*own)
+    if carried is not None:
+        headers = headers.unionByName(carried[0].select(*headers.columns))
+        chunks = chunks.unionByName(carried[1].select(*own))
+    # Written once; the results read it three times, each its own columns.
+    rows = stored(_with_neighbours(_events(headers, chunks, seq, block_size)))
+    waiting = rows.where(_still_open())
+    place = [F.col("_id").alias("correlation_id"), F.col("_seq").alias(seq)]
+    open_headers = waiting.where("_is_header").select(*place, "header.*").select(*headers.columns)
+    open_chunks = waiting.where("not _is_header").select(*place, "data", F.col("_is_last").alias("is_last"))
+    return _finished(rows), (open_headers, open_chunks.select(*own))
+
+
+def abandoned(carried: tuple[DataFrame, DataFrame], before: Column, ts: str = "timestamp") -> tuple[DataFrame, tuple]:
+    """Headers of carried requests that were opened earlier than ``before``, and what is carried without them."""
+    headers, chunks = carried
+    old = F.coalesce(F.col(ts) < before, F.lit(False))
+    gone = headers.where(old)
+    left = chunks.join(gone.select("correlation_id"), "correlation_id", "left_anti")
+    return gone, (headers.where(~old), left.select(*chunks.columns))
+
+
+def event_fates(
+    headers: DataFrame, chunks: DataFrame, seq: str | None = "seq", block_size: int = BLOCK_SIZE
+) -> DataFrame:
+    """correlation_id, seq, is_header, fate: one row for every event, so that none is lost unseen.
+
+    ``finished``: part of a finished request.  ``undecodable``: a chunk of one that is not canonical
+    base64 and adds nothing.  ``open``: part of a request that has no last chunk yet.  ``reset``:
+    part of one that another header cut off.  ``orphan``: a chunk while no request is open.
+    """
+    is_bad = F.col("data").isNotNull() & decode_base64_strict(F.col("data")).isNull()
+    marked = chunks.withColumn("data", F.when(is_bad, F.lit("!")))
+    rows = _with_neighbours(_events(headers, marked, seq, block_size))
+    fate = (
+        F.when(~_in_open(), "orphan")
+        .when(_closed(), F.when(F.col("data").isNotNull(), "undecodable").otherwise("finished"))
+        .when(F.col("_after").isNull(), "open")
+        .otherwise("reset")
+    )
+    return rows.select(
+        F.col("_id").alias("correlation_id"), F.col("_seq").alias("seq"), F.col("_is_header").alias("is_header"), fate.alias("fate")
+    )
