@@ -513,6 +513,21 @@ FROM (SELECT DISTINCT * FROM found) GROUP BY 1, 2, 3""",
         "rate_tokens": _rate_query(0, 3000),
         "rate_both": _rate_query(4, 3000),
         "rate_events_daily": EVENTS_DAILY,
+        # Judged or assembled run by run, a log gives what it gives at once.
+        "rate_runs": _rate_query(4, 3000),
+        "rate_events_runs": EVENTS_DAILY,
+        "assemble_runs": _ASSEMBLED
+        + """SELECT cid AS correlation_id, CAST(opened_seq AS BIGINT) AS opened_seq, md5(text) AS body_md5,
+  CAST(strlen(text) AS INTEGER) AS n_bytes FROM done WHERE m <> 5""",
+        "in_flight_runs": _ASSEMBLED + "SELECT cid AS correlation_id, CAST(10 AS BIGINT) AS opened_seq FROM m WHERE m = 1",
+        "event_fates": _ASSEMBLED
+        + """, n AS (SELECT m, greatest(ceil(strlen(text) / 1000.0), 1) AS n FROM m)
+SELECT fate, CAST(sum(k) AS BIGINT) AS events FROM (
+  SELECT CASE WHEN m = 1 THEN 'open' ELSE 'finished' END AS fate,
+         (n + 1) * CASE WHEN m = 6 THEN 2 ELSE 1 END + CASE WHEN m = 5 THEN 1 ELSE 0 END AS k FROM n
+  UNION ALL SELECT 'reset', n + 1 FROM n WHERE m = 2
+  UNION ALL SELECT 'undecodable', 1 FROM n WHERE m = 3
+  UNION ALL SELECT 'orphan', 1 FROM n WHERE m IN (4, 7)) GROUP BY fate""",
         "verdicts_block": _verdict_query(**STRICT),
         "verdicts_detect_only": _verdict_query(**DETECT_ONLY),
         "verdicts_default": _verdict_query(**DEFAULT),
