@@ -11,9 +11,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.encoding import decode_base64_strict, is_utf8
 
-_STATE = "opened_seq bigint, header string, us bigint, body binary"
-_OUT = "correlation_id string, opened_seq bigint, header string, us bigint, body binary, finished boolean"
-_NAMES = ["correlation_id", "opened_seq", "header", "us", "body", "finished"]
+_STATE = "opened_seq bigint, header string, us bigint, body binary, events bigint"
+_OUT = (
+    "correlation_id string, opened_seq bigint, header string, us bigint, body binary, finished boolean,"
+    " events bigint, reason string"
+)
+_NAMES = ["correlation_id", "opened_seq", "header", "us", "body", "finished", "events", "reason"]
+TIMEOUT, RESET, ORPHAN, UNDECODABLE = "timeout", "reset", "orphan", "undecodable"
 # Times in a header keep their microseconds.
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -53,38 +57,55 @@ def body_events(headers: DataFrame, chunks: DataFrame, ts: str = "timestamp", wa
 
 
 def assemble_stream(
-    events: DataFrame, ttl_seconds: int = 300, fields: str = "client_ip string, uri string"
+    events: DataFrame,
+    ttl_seconds: int = 300,
+    fields: str = "client_ip string, uri string",
+    account: bool = False,
 ) -> DataFrame:
     """Requests of a stream of body events; ``fields`` are those of the header (``header_fields``).
 
     A header resets the state of its id, the last chunk emits the request and frees the state.  A
     request that stays unfinished for ``ttl_seconds`` of event time is emitted as far as it came,
-    with ``finished`` false, so that none goes without a row.
+    with ``finished`` false.
+
+    With ``account``, every event shows in some row: ``events`` tells how many a row holds, and
+    ``reason`` why it is no finished request: ``timeout``; ``reset``, an open request that another
+    header cut off; ``orphan``, chunks while no request was open; ``undecodable``, chunks that are
+    not canonical base64.  Rows behind the watermark never get here: ``LateRows`` counts those.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            opened, header, us, body = state.get
+            opened, header, us, body, events = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], opened, header, us, bytes(body), False)], columns=_NAMES)
+            yield pd.DataFrame([(key[0], opened, header, us, bytes(body), False, events, TIMEOUT)], columns=_NAMES)
             return
         current = list(state.get) if state.exists else None
         parts = [bytes(current[3])] if current else []
+        held = current[4] if current else 0
         done = []
         latest_us = 0
         batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
         for row in batch.itertuples(index=False):
             latest_us = max(latest_us, row.us)
             if row.is_header:
-                current, parts = [row.seq, row.header, row.us, b""], []
-            elif current is not None:
+                if current is not None:
+                    done.append((key[0], *current[:3], b"".join(parts), False, held, RESET))
+                current, parts, held = [row.seq, row.header, row.us, b""], [], 1
+            elif current is None:
+                body = b"" if row.bytes is None else bytes(row.bytes)
+                done.append((key[0], row.seq, None, row.us, body, False, 1, ORPHAN))
+            else:
                 if row.bytes is not None:
                     parts.append(bytes(row.bytes))
+                    held += 1
+                else:
+                    done.append((key[0], row.seq, None, row.us, b"", False, 1, UNDECODABLE))
                 if row.is_last:
-                    done.append((key[0], *current[:3], b"".join(parts), True))
+                    done.append((key[0], *current[:3], b"".join(parts), True, held, None))
                     current, parts = None, []
         if current is not None:
-            state.update((*current[:3], b"".join(parts)))
+            state.update((*current[:3], b"".join(parts), held))
             state.setTimeoutTimestamp(
                 max(latest_us // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1)
             )
@@ -98,6 +119,8 @@ def assemble_stream(
         .groupBy("correlation_id")
         .applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
+    if not account:
+        assembled = assembled.where(F.col("finished") | (F.col("reason") == TIMEOUT))
     body = F.col("body").cast("string")
     return assembled.withColumn("_h", F.from_json("header", fields, _JSON)).select(
         "correlation_id",
@@ -107,4 +130,5 @@ def assemble_stream(
         body.alias("body"),
         is_utf8(body).alias("body_is_utf8"),
         "finished",
+        *(["events", "reason"] if account else []),
     )

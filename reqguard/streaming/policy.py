@@ -72,7 +72,7 @@ def verdict_writer(verdicts: DataFrame, path: str, checkpoint: str, ts: str = "t
 
 
 def request_writer(assembled: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Finished requests of ``assemble_stream`` to Parquet.
+    """Finished requests of ``assemble_stream`` to Parquet; ``accounted_writer`` also writes the others.
 
     Assembly and the limiter both keep state of their own, which one query cannot hold twice: this
     query ends at the files, and a second one reads them (``read_requests``) and judges.
@@ -86,6 +86,26 @@ def request_writer(assembled: DataFrame, path: str, checkpoint: str) -> DataStre
     )
 
 
+def accounted_writer(assembled: DataFrame, path: str, aside: str, checkpoint: str) -> DataStreamWriter:
+    """Finished requests to ``path``, and what did not become one, with its reason, to ``aside``.
+
+    ``assembled`` comes from ``assemble_stream`` with ``account``.  Each batch has a folder of its
+    own in both places and replaces it when it is run again, so a row is written once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        # Held for two writes; a lost part is made again from the state of the batch before.
+        batch = batch.persist()
+        try:
+            finished = batch.where("finished").drop("reason").withColumnRenamed("correlation_id", "request_id")
+            finished.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            batch.where("not finished").write.mode("overwrite").parquet(f"{aside}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return assembled.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
+
+
 def read_requests(spark: SparkSession, path: str, schema: StructType, watermark: str) -> DataFrame:
     """Requests that ``request_writer`` writes, as a stream with a watermark on ``ts``."""
     return spark.readStream.schema(schema).parquet(path).withWatermark("ts", watermark)

@@ -14,6 +14,7 @@ from reqguard.sources import corpus
 from reqguard.streaming.assemble import assemble_stream, body_events, header_fields
 from reqguard.streaming.policy import (
     LateRows,
+    accounted_writer,
     evaluate_policy_stream,
     metrics_stream,
     read_requests,
@@ -177,6 +178,39 @@ def test_unfinished_requests_get_a_row(spark, tmp_path):
     assert rows(got, "correlation_id", "body", "finished") == [("a", "half", "False"), ("b", "all", "True")]
 
 
+def test_every_event_is_accounted_for(spark, tmp_path):
+    """Events in are events of finished requests, events written aside with a reason, and open ones."""
+    path = str(tmp_path / "events")
+    schema = "correlation_id string, seq long, event_time timestamp, is_header boolean, is_last boolean, header string, bytes binary"
+    header = '{"client_ip":"c","uri":"/u"}'
+    batches = [
+        [("a", 1, "10:00:00", True, False, header, None), ("a", 2, "10:00:01", False, False, None, b"cut off")],
+        [("a", 3, "10:00:02", True, False, header, None), ("a", 4, "10:00:02", False, False, None, None),
+         ("a", 5, "10:00:03", False, True, None, b"whole"), ("a", 6, "10:00:03", False, True, None, b"late piece"),
+         ("b", 1, "10:00:03", False, False, None, b"stray"), ("c", 1, "10:00:03", True, False, header, None)],
+        [("d", 1, "12:00:00", True, False, header, None), ("d", 2, "12:00:00", False, False, None, b"open")],
+        [("e", 1, "12:00:01", False, False, None, b"stray")],
+    ]
+    for batch in batches:
+        data = [(i, n, f"2024-01-01 {t}", h, last, head, b) for i, n, t, h, last, head, b in batch]
+        df = spark.createDataFrame(data, schema.replace("event_time timestamp", "event_time string"))
+        df.withColumn("event_time", F.to_timestamp("event_time")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assembled = assemble_stream(stream.withWatermark("event_time", "1 minute"), account=True)
+    places = [str(tmp_path / name) for name in ("requests", "aside", "checkpoint")]
+    query = accounted_writer(assembled, *places).trigger(availableNow=True).start()
+    query.awaitTermination()
+    finished, aside = (spark.read.parquet(p) for p in places[:2])
+    assert rows(finished, "request_id", "body", "events") == [("a", "whole", "2")]
+    assert rows(aside, "correlation_id", "opened_seq", "reason", "body", "events") == sorted([
+        ("a", "1", "reset", "cut off", "2"), ("a", "4", "undecodable", "", "1"), ("a", "6", "orphan", "late piece", "1"),
+        ("b", "1", "orphan", "stray", "1"), ("c", "1", "timeout", "", "1"), ("e", "1", "orphan", "stray", "1"),
+    ])
+    still_open = 2
+    total = finished.unionByName(aside, allowMissingColumns=True).agg(F.sum("events")).first()[0]
+    assert total + still_open == sum(map(len, batches))
+
+
 def test_chunks_to_rate_limited_verdicts_to_metrics(spark, tmp_path):
     """Three queries in a row give what the batch jobs give."""
     log = corpus.request_log(spark, SF)
