@@ -64,7 +64,10 @@ def rows_of(df, *columns):
 
 @pytest.fixture(scope="module")
 def real(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+    table = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    yield table
+    # Other tests look at plans over the same files.
+    table.unpersist()
 
 
 # --- shared: words -----------------------------------------------------------------------------
