@@ -91,14 +91,33 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cost_by_model(spark: SparkSession, sf: str) -> DataFrame:
-    estimated = U.with_estimates(_parsed(spark, sf)).select("provider", "req.model", "tokens", "cost")
-    return estimated.groupBy("provider", "model").agg(
+    return _by_model(U.with_estimates(_parsed(spark, sf)))
+
+
+def _by_model(estimated: DataFrame) -> DataFrame:
+    return estimated.select("provider", "req.model", "tokens", "cost").groupBy("provider", "model").agg(
         F.count(F.lit(1)).alias("requests"),
         F.sum("tokens").alias("tokens"),
         F.round(F.sum("cost"), 9).alias("cost"),
     )
 
 
+def cost_by_price_table(spark: SparkSession, sf: str) -> DataFrame:
+    """``cost_by_model`` with the fixed prices as a table."""
+    parsed = stored(_parsed(spark, sf).select("provider", "req", "ts"))
+    return _by_model(U.with_prices(parsed, U.todays_prices(spark)))
+
+
+def cost_by_price_change(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs when one price doubles, and one model gets a price of its own, in the middle of a day."""
+    parsed = stored(_parsed(spark, sf).select("provider", "req", "ts"))
+    changed = spark.createDataFrame(
+        [("openai", "gpt-4", 2, 0.06), ("anthropic", "claude-3-haiku", -1, 0.5)],
+        "provider string, part string, priority int, per_1k double",
+    ).withColumn("valid_from", F.lit("2024-01-01 00:10:00").cast("timestamp"))
+    return _by_model(U.with_prices(parsed, U.todays_prices(spark).unionByName(changed)))
+
+
 def cost_texts(spark: SparkSession, sf: str) -> DataFrame:
     return U.with_estimates(_parsed(spark, sf)).select("request_id", cost_text(F.col("cost")).alias("cost"))
 
@@ -455,6 +474,8 @@ _QUERIES: dict[str, Query] = {
     "strict_parse": strict_parse,
     "token_estimate": token_estimate,
     "cost_by_model": cost_by_model,
+    "cost_by_price_table": cost_by_price_table,
+    "cost_by_price_change": cost_by_price_change,
     "cost_text": cost_texts,
     "usage_by_hour": usage_by_hour,
     "allowlist": allowlist,

@@ -462,6 +462,17 @@ FROM (SELECT *, unnest(range(1, len(messages) + 1)) AS i FROM costed WHERE parse
         "cost_by_model": TRUTH
         + """SELECT provider, model, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens,
   round(sum(cost), 9) AS cost FROM costed WHERE parsed GROUP BY provider, model""",
+        "cost_by_price_table": TRUTH
+        + """SELECT provider, model, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens,
+  round(sum(cost), 9) AS cost FROM costed WHERE parsed GROUP BY provider, model""",
+        "cost_by_price_change": TRUTH
+        + """SELECT provider, model, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens,
+  round(sum(CASE WHEN ts < TIMESTAMP '2024-01-01 00:10:00' THEN cost
+      WHEN provider = 'openai' AND contains(model, 'gpt-4') AND NOT contains(model, 'gpt-4o') AND NOT contains(model, 'gpt-4-turbo')
+        THEN tokens / 1000.0::DOUBLE * 0.06::DOUBLE
+      WHEN provider = 'anthropic' AND contains(model, 'claude-3-haiku') THEN tokens / 1000.0::DOUBLE * 0.5::DOUBLE
+      ELSE cost END), 9) AS cost
+FROM costed WHERE parsed GROUP BY provider, model""",
         "cost_text": TRUTH + "SELECT request_id, printf('%.6f', cost) AS cost FROM costed WHERE parsed",
         "usage_by_hour": TRUTH
         + """SELECT provider, model, client_ip AS client, date_trunc('hour', ts) AS hour, count(*) AS requests,

@@ -144,6 +144,34 @@ def test_cost(spark):
     assert got == cases
 
 
+def test_prices_over_time(spark):
+    """Against a plain look-up of the row in force, for requests and price rows drawn by chance."""
+    rng = random.Random(4)
+    parts, models = ("a", "ab", "abc", "b"), ("xa", "abc", "b", "q", None)
+    prices = [
+        (rng.choice(("openai", "anthropic")), part, k, rng.choice((None, 1.0, 2.0, 3.5)), rng.choice((None, *range(0, 100, 10))))
+        for k, part in enumerate(parts)
+        for _ in range(5)
+    ]
+    # Two rows of one part from one time on would leave open which holds.
+    prices = list({(p, part, at): (p, part, k, price, at) for p, part, k, price, at in prices}.values())
+    asked = [(i, rng.choice((CHAT, MESSAGES)), rng.choice(models), rng.choice((None, *range(0, 100, 5)))) for i in range(200)]
+
+    def expected(provider, model, at):
+        begun = [r for r in prices if r[0] == provider and model is not None and r[1] in model and (r[4] is None or at is not None and r[4] <= at)]
+        first = min(begun, key=lambda r: (r[2], -(-1 if r[4] is None else r[4])), default=None)
+        return 0.01 if first is None or first[3] is None else first[3]
+
+    rows = [(i, u, json.dumps({"model": m, "messages": [{"role": "user", "content": "x" * 40}]}), at) for i, u, m, at in asked]
+    df = spark.createDataFrame(rows, "id int, uri string, body string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    table = spark.createDataFrame(prices, "provider string, part string, priority int, per_1k double, s int")
+    table = table.withColumn("valid_from", F.timestamp_seconds("s")).drop("s")
+    found = {r.id: (r.tokens, r.cost) for r in U.with_prices(N.parse_requests(df), table).collect()}
+    assert len(found) == len(rows)
+    for i, uri, model, at in asked:
+        assert found[i] == (11, 11 / 1000 * expected("openai" if uri == CHAT else "anthropic", model, at)), (model, at)
+
+
 def test_cost_text_rounds_the_exact_value(spark):
     rng = random.Random(1)
     tokens = [*range(2000), *(rng.randrange(1 << 32) for _ in range(500))]
