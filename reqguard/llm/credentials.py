@@ -49,7 +49,7 @@ FIRST = (
 #: In this order spans of one start are listed.
 KINDS = ("assign", "access", "hex", "identifier", "random", "endpoint")
 _ROLE = {"access": "who", "identifier": "who", "assign": "secret", "hex": "secret", "random": "secret", "endpoint": "where"}
-REACH = 500
+# A scope is a block of lines: an empty line ends it.
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
 SCHEMA = (
@@ -87,12 +87,12 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
     return [x for x, k in zip(found, at, strict=True) if not (k and ends[k - 1] > x[0])]
 
 
-def link(text: str, spans: list[Span], reach: int = REACH) -> list[tuple[Span, Span]]:
+def link(text: str, spans: list[Span]) -> list[tuple[Span, Span]]:
     """Pairs (identifier or endpoint, secret): the nearest complementary part in the scope.
 
-    The interval join: parts in order of start, each extended by ``reach``; for every part that is
-    not a secret the nearest secret before and after it is looked up by bisection, and likewise an
-    owner for every secret, so each part costs a logarithm.
+    The interval join: a part's interval is its whole scope, however long.  Parts stand in order of
+    start; for every part that is not a secret the nearest secret before and after it is looked up
+    by bisection, and likewise an owner for every secret, so each part costs a logarithm.
     """
     secrets = sorted(x for x in spans if _ROLE[x[2]] == "secret")
     others = sorted(x for x in spans if _ROLE[x[2]] != "secret")
@@ -116,7 +116,7 @@ def link(text: str, spans: list[Span], reach: int = REACH) -> list[tuple[Span, S
                 gap = max(y[0] - x[1], x[0] - y[1], 0)
                 lo, hi = min(x[1], y[1]), max(x[0], y[0])
                 parted = len(cuts) and np.searchsorted(cuts, lo) != np.searchsorted(cuts, hi)
-                if gap <= reach and not parted:
+                if not parted:
                     fit.append((gap, y))
             out.append(min(fit)[1] if fit else None)
         return out
