@@ -16,6 +16,7 @@ import oracles  # noqa: E402
 from reqguard.config import PolicyConfig  # noqa: E402
 from reqguard.functions import providers as PV  # noqa: E402
 from reqguard.functions.estimate import cost_text  # noqa: E402
+from reqguard.operators import allowlist as AL  # noqa: E402
 from reqguard.operators import assemble as A  # noqa: E402
 from reqguard.operators import metrics as M  # noqa: E402
 from reqguard.operators import normalize as N  # noqa: E402
@@ -132,6 +133,13 @@ def allowlist(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf).select("request_id", (~denied).alias("allowed"))
 
 
+def allowlist_table(spark: SparkSession, sf: str) -> DataFrame:
+    """``allowlist`` with the allowed names as a table."""
+    models = stored(_parsed(spark, sf).select("request_id", "req.model"))
+    names = spark.createDataFrame([("gpt-4",), ("claude-3-opus-latest",)], "name string")
+    return AL.with_allowlist(models, names).select("request_id", (~F.col("model_denied")).alias("allowed"))
+
+
 def token_limit(spark: SparkSession, sf: str) -> DataFrame:
     denied = PO.token_limit_denied(F.col("req.max_tokens"), 1000)
     return _parsed(spark, sf).select("request_id", denied.alias("denied"))
@@ -479,6 +487,7 @@ _QUERIES: dict[str, Query] = {
     "cost_text": cost_texts,
     "usage_by_hour": usage_by_hour,
     "allowlist": allowlist,
+    "allowlist_table": allowlist_table,
     "token_limit": token_limit,
     "injection_flags": injection_flags,
     "jailbreak_flags": jailbreak_flags,

@@ -481,6 +481,10 @@ FROM costed WHERE parsed GROUP BY provider, model, client_ip, date_trunc('hour',
         "allowlist": TRUTH
         + """SELECT request_id, coalesce(contains(model, 'gpt-4') OR contains('gpt-4', model)
     OR contains(model, 'claude-3-opus-latest') OR contains('claude-3-opus-latest', model), true) AS allowed
+FROM costed WHERE parsed""",
+        "allowlist_table": TRUTH
+        + """SELECT request_id, coalesce(contains(model, 'gpt-4') OR contains('gpt-4', model)
+    OR contains(model, 'claude-3-opus-latest') OR contains('claude-3-opus-latest', model), true) AS allowed
 FROM costed WHERE parsed""",
         "token_limit": TRUTH
         + "SELECT request_id, coalesce(max_tokens > 1000, false) AS denied FROM costed WHERE parsed",
