@@ -115,7 +115,13 @@ def exact_duplicates(rows: DataFrame, doc_id: str = "doc_id", n_chars: str = "n_
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = 32) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; repeated rows count as copies."""
+    """The rows of ``docs`` that stay, with all their columns; repeated rows count as copies.
+
+    A null text equals an empty one and one of white space alone.  Of equal texts the longest
+    original stays, then the least id (null last), then any of rows that are the same in all columns.
+    An empty table gives no rows.  Columns named ``_length``, ``_prefix`` or ``_digest`` are refused
+    with a ``ValueError``; ``_chars`` and ``_of`` are reserved.
+    """
     digested = digests(docs, text).withColumns(
         {"_chars": F.length(F.coalesce(F.col(text), F.lit(""))), "_of": F.xxhash64(*docs.columns)}
     )

@@ -454,7 +454,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each component; columns stay as they are.
 
-    The row with the least id stays (then the least hash of the row); a row without any word stays.
+    The row with the least id stays (null last, then the least hash of the row); a row without any
+    word stays, and so does one of several rows that are the same in all columns.  An empty table
+    gives no rows.  ``_row`` is reserved.
     """
     found = stored(near_duplicates(docs, doc_id, text))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))

@@ -156,7 +156,13 @@ def mix(
 
 
 def mixed(docs: DataFrame, seed: int = 17, bins: int = 4096, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns.
+
+    A null or empty text has size 0 and comes as often as its place in the order says; rows without
+    a source are a source of their own.  Rows of one id, null among them, share a key: of equal
+    quality, they are taken or left together.  A source of size 0 gives no rows, and so does an
+    empty table.  ``_size`` and ``_key`` are reserved: columns of these names come out changed.
+    """
     keyed = sized(docs, doc_id, text, source, seed)
     slim = stored(keyed.select(F.col(source).alias("source"), F.col("_size").alias("size"), F.col("_key").alias("key")))
     sources = cuts(slim, bins)

@@ -418,7 +418,11 @@ def _verdicts(texts: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    A null text scores as an empty one.  A score depends on the text alone, so equal texts stay or
+    go together, and repeated rows and clashing names are of no matter.  An empty table gives no rows.
+    """
 
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from _verdicts(texts, model)
