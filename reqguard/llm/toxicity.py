@@ -230,14 +230,31 @@ def find(automaton: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray
     return owner, start[which] - begin[owner], end[which] - begin[owner], result, words
 
 
-def context(text: str, start: int, end: int) -> tuple[bool, bool]:
+class Lines:
+    """The line that each term of a text stands in, for terms in ascending order: one pass over the text."""
+
+    __slots__ = ("text", "begin", "marks", "_at")
+
+    def __init__(self, text: str) -> None:
+        self.text, self.begin, self.marks, self._at = text, 0, 0, 0
+
+    def reach(self, start: int) -> None:
+        """``begin`` is where the line around ``start`` begins, ``marks`` its quotation marks before ``start``."""
+        newline = self.text.rfind("\n", self._at, start)
+        if newline >= 0:
+            self.begin = self._at = newline + 1
+            self.marks = 0
+        self.marks += sum(self.text.count(q, self._at, start) for q in QUOTES)
+        self._at = start
+
+
+def context(lines: Lines, start: int, end: int) -> tuple[bool, bool]:
     """Whether a term is quoted, and whether it is aimed at somebody, from its window."""
-    line = text.rfind("\n", 0, start) + 1
-    before = text[max(line, start - WINDOW) : start]
-    after = text[end : end + WINDOW].partition("\n")[0]
+    lines.reach(start)
+    before = lines.text[max(lines.begin, start - WINDOW) : start]
+    after = lines.text[end : end + WINDOW].partition("\n")[0]
     # An odd number of marks before it in its line, and another one after it.
-    opened = sum(text.count(q, line, start) for q in QUOTES) % 2 == 1
-    quoted = opened and any(q in after for q in QUOTES)
+    quoted = lines.marks % 2 == 1 and any(q in after for q in QUOTES)
     quoted = quoted or REPORTING.search(before[-30:]) is not None
     aimed = SECOND_PERSON.search(before) is not None or SECOND_PERSON.search(after) is not None
     return quoted, aimed and not quoted
@@ -249,8 +266,11 @@ def features(automaton: Automaton, texts: list[str]) -> np.ndarray:
     owner, start, end, result, words = find(automaton, lowered)
     counts = np.zeros((len(texts), 7))
     strong = np.zeros(len(texts))
+    of, lines = -1, Lines("")
     for i, s, e, r in zip(owner.tolist(), start.tolist(), end.tolist(), result.tolist(), strict=True):
-        quoted, aimed = context(lowered[i], s, e)
+        if i != of:
+            of, lines = i, Lines(lowered[i])
+        quoted, aimed = context(lines, s, e)
         kind = r & 3
         counts[i, 2 * ({EXACT: 0, STEM: 1, NEAR: 2}[kind]) + quoted] += 1
         # That it begins with a stem tells something of a word, too.
