@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .names import set_aside
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 _WORD_BITS = 64
@@ -119,9 +120,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts:
 
     A null text equals an empty one and one of white space alone.  Of equal texts the longest
     original stays, then the least id (null last), then any of rows that are the same in all columns.
-    An empty table gives no rows.  Columns named ``_length``, ``_prefix`` or ``_digest`` are refused
-    with a ``ValueError``; ``_chars`` and ``_of`` are reserved.
+    An empty table gives no rows.  Columns with names that are used here come out as they went in.
     """
+    names = docs.columns
+    docs = set_aside(docs, "_length", "_prefix", "_digest", "_chars", "_of")
     digested = digests(docs, text).withColumns(
         {"_chars": F.length(F.coalesce(F.col(text), F.lit(""))), "_of": F.xxhash64(*docs.columns)}
     )
@@ -135,4 +137,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts:
     left = digested.join(drop, key, "left_anti")
     single = left.join(tied, key, "left_anti").select(*docs.columns)
     first = left.join(tied, key, "left_semi").dropDuplicates(key).select(*docs.columns)
-    return single.unionByName(first)
+    return single.unionByName(first).toDF(*names)

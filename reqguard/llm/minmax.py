@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .exact_dedup import bitmap
+from .names import set_aside
 from .words import mix, ngram_hashes, slices, word_hashes
 
 SHINGLE = 5
@@ -456,8 +457,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     The row with the least id stays (null last, then the least hash of the row); a row without any
     word stays, and so does one of several rows that are the same in all columns.  An empty table
-    gives no rows.  ``_row`` is reserved.
+    gives no rows.  A column named ``_row`` comes out as it went in.
     """
+    names = docs.columns
+    docs = set_aside(docs, "_row")
     found = stored(near_duplicates(docs, doc_id, text))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     linked = found.where("n_shingles > 0").withColumn("_order", order)
@@ -474,4 +477,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     tied = several.where("_stays and count > 1").select("_row")
     left = marked.join(lose, "_row", "left_anti")
     single = left.join(tied, "_row", "left_anti").select(*docs.columns)
-    return single.unionByName(left.join(tied, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns))
+    first = left.join(tied, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return single.unionByName(first).toDF(*names)

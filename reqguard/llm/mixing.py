@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .names import set_aside
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -161,12 +162,14 @@ def mixed(docs: DataFrame, seed: int = 17, bins: int = 4096, doc_id: str = "doc_
     A null or empty text has size 0 and comes as often as its place in the order says; rows without
     a source are a source of their own.  Rows of one id, null among them, share a key: of equal
     quality, they are taken or left together.  A source of size 0 gives no rows, and so does an
-    empty table.  ``_size`` and ``_key`` are reserved: columns of these names come out changed.
+    empty table.  Columns named ``_size`` or ``_key`` come out as they went in.
     """
+    names = docs.columns
+    docs = set_aside(docs, "_size", "_key")
     keyed = sized(docs, doc_id, text, source, seed)
     slim = stored(keyed.select(F.col(source).alias("source"), F.col("_size").alias("size"), F.col("_key").alias("key")))
     sources = cuts(slim, bins)
     whole = F.struct(*[F.col(c) for c in docs.columns])
     rows = keyed.select(whole.alias("row"), F.col(source).alias("source"), F.col("_size").alias("size"), F.col("_key").alias("key"))
     repeated = assigned(rows, stored(sources), bins).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
-    return repeated.where("copies > 0").select("row.*")
+    return repeated.where("copies > 0").select("row.*").toDF(*names)

@@ -29,6 +29,7 @@ from reqguard.llm.words import word_hashes
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+DOCS_NAMES = [part.split()[0] for part in DOCS.split(", ")]
 SPACES = "[\x20\x09-\x0d]"
 
 #: Nulls in every column, empty and odd texts, ties, repeated rows.
@@ -728,3 +729,57 @@ def test_toxicity_of_odd_rows(spark):
     kept = toxicity.clean(docs, toxicity.train(docs, labels.limit(0)))
     assert kept.columns == docs.columns and kept.count() == len(ODD)
     assert toxicity.scored(docs.limit(0), model).count() == 0
+
+
+def plain_context(text, start, end):
+    line = text.rfind("\n", 0, start) + 1
+    before, after = text[max(line, start - toxicity.WINDOW) : start], text[end : end + toxicity.WINDOW].split("\n")[0]
+    opened = sum(text[line:start].count(q) for q in toxicity.QUOTES) % 2 == 1
+    quoted = opened and any(q in after for q in toxicity.QUOTES)
+    quoted = quoted or toxicity.REPORTING.search(before[-30:]) is not None
+    aimed = any(toxicity.SECOND_PERSON.search(side) for side in (before, after))
+    return quoted, aimed and not quoted
+
+
+def test_context_of_all_terms_of_a_text_equals_each_alone():
+    rng = np.random.default_rng(8)
+    pieces = ["idiot", "you", '"', "“", "”", "\n", " said ", "x" * 40, " ", "plain"]
+    for _ in range(300):
+        text = " ".join(rng.choice(pieces, rng.integers(1, 60)))
+        lines = toxicity.Lines(text)
+        for found in re.finditer("idiot", text):
+            assert toxicity.context(lines, *found.span()) == plain_context(text, *found.span())
+
+
+def test_context_reads_a_long_line_once():
+    """Characters searched for marks and line ends grow with the line, not with its square."""
+
+    class Counted(str):
+        read = 0
+
+        def count(self, mark, lo, hi):
+            Counted.read += hi - lo
+            return super().count(mark, lo, hi)
+
+        def rfind(self, mark, lo, hi):
+            Counted.read += hi - lo
+            return super().rfind(mark, lo, hi)
+
+    text = Counted('an "idiot" is ' * 20_000)
+    lines = toxicity.Lines(text)
+    for found in re.finditer("idiot", text):
+        assert toxicity.context(lines, *found.span())[0]
+    assert Counted.read <= len(text) * (len(toxicity.QUOTES) + 1)
+
+
+def test_columns_with_names_used_inside_come_out_as_they_went_in(spark):
+    """Also in another letter case, and where the name put in their place is there already."""
+    names = ["_length", "_PREFIX", "_digest", "_digest_", "_chars", "_Of", "_row", "_size", "_key", "_key_"]
+    plain = spark.createDataFrame(ODD, DOCS)
+    docs = plain.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in names])
+    for operator in (exact_dedup.keep_one, minmax.keep_one, mixing.mixed):
+        out = operator(docs)
+        assert out.columns == docs.columns
+        assert rows_of(out, *DOCS_NAMES) == rows_of(operator(plain), *DOCS_NAMES)
+        for row in out.collect():
+            assert [row[n] for n in names] == [None if row.doc_id is None else f"{n}:{row.doc_id}" for n in names]
