@@ -2,8 +2,8 @@
 
 The lexicon is learned from labelled rows: words, and stems that several such words share, which
 stand in toxic texts far more often than chance allows.  Its words make a trie; the automaton of all
-strings within an edit or two of any of them is intersected with the trie once and made
-deterministic, so a token costs one table lookup per letter, and most tokens are dead after three.
+strings within an edit or two of any of them is intersected with the trie and made deterministic as
+far as tokens walk it, so a token costs one table lookup per letter, and most are dead after three.
 All tokens of a batch take their steps together.
 
 A found term is then looked at in its window: between quotation marks or after a reporting word it
@@ -14,8 +14,9 @@ counts.  It sees nothing but the text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,134 +50,149 @@ def edits_allowed(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
 
 
-@dataclass
+# States kept from one batch to the next; a batch that begins with more starts from none.
+MAX_STATES = 1 << 16
+
+
 class Automaton:
-    """Deterministic: ``step[state, letter class]``, ``result[state]``; state 0 is dead, 1 the start."""
-
-    letters: dict[str, int]
-    step: np.ndarray
-    result: np.ndarray
-    _classes: np.ndarray | None = field(default=None, repr=False)
-
-    def classes(self) -> np.ndarray:
-        """Letter class of every code point of the basic plane: 0 unknown to the lexicon."""
-        if self._classes is None:
-            table = np.zeros(0x10000, np.int32)
-            for letter, k in self.letters.items():
-                if ord(letter) < 0x10000:
-                    table[ord(letter)] = k
-            self._classes = table
-        return self._classes
-
-    def __getstate__(self) -> dict:
-        # Most letters lead where an unknown one does, so distances from there are nearly all zero.
-        far = (self.step - self.step[:, :1]).astype("<i4")
-        planes = far.reshape(-1).view(np.uint8).reshape(-1, 4).T.tobytes()
-        packed = pa.compress(planes, codec="zstd", asbytes=True)
-        first = self.step[:, 0].astype("<i4")
-        return self.__dict__ | {"_classes": None, "step": (packed, first, self.step.shape)}
-
-    def __setstate__(self, kept: dict) -> None:
-        packed, first, (n, m) = kept["step"]
-        planes = np.frombuffer(pa.decompress(packed, 4 * n * m, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
-        far = np.ascontiguousarray(planes.T).view("<i4").reshape(n, m)
-        self.__dict__.update(kept | {"step": (far + first[:, None]).astype(np.int32)})
-
-
-def build(words: list[str], stems: list[str]) -> Automaton:
     """The words within their allowed edits, and everything else that begins with a stem.
 
     A position is (trie node, edits so far), or (-1, 0) once a stem has been passed; a state is a set
-    of positions without those that another one of the same node makes needless.  A word found,
-    exact or near, is told as such also where a stem has been passed.
+    of positions without those that another one of the same node makes needless.  State 0 is dead,
+    1 the start.  States and steps are worked out when a token first asks for them, so memory follows
+    the tokens met and is bounded by ``MAX_STATES`` and a batch, and only the lexicon is ever sent.
+    A word found, exact or near, is told as such also where a stem has been passed.
     """
-    children: list[dict[str, int]] = [{}]
-    budget, ends, stem_end = [0], [-1], [False]
 
-    def insert(term: str, allowed: int, is_stem: bool) -> None:
+    def __init__(self, words: tuple[str, ...], stems: tuple[str, ...]) -> None:
+        self.words, self.stems = words, stems
+        self._children: list[dict[str, int]] = [{}]
+        self._budget, self._ends, self._stem_end = [0], [-1], [False]
+        for w in words:
+            node = self._insert(w, edits_allowed(w))
+            self._ends[node] = max(self._ends[node], edits_allowed(w))
+        for s in stems:
+            self._stem_end[self._insert(s, 0)] = True
+        self._alphabet = sorted({c for node in self._children for c in node})
+        self.letters = {c: k + 1 for k, c in enumerate(self._alphabet)}
+        # Letter class of every code point of the basic plane: 0 unknown to the lexicon.
+        self.classes = np.zeros(0x10000, np.int32)
+        for letter, k in self.letters.items():
+            if ord(letter) < 0x10000:
+                self.classes[ord(letter)] = k
+        self._restart()
+
+    def __reduce__(self):
+        return build, (self.words, self.stems)
+
+    def _insert(self, term: str, allowed: int) -> int:
         node = 0
-        budget[0] = max(budget[0], allowed)
+        self._budget[0] = max(self._budget[0], allowed)
         for c in term:
-            if c not in children[node]:
-                children[node][c] = len(children)
-                children.append({})
-                budget.append(0)
-                ends.append(-1)
-                stem_end.append(False)
-            node = children[node][c]
-            budget[node] = max(budget[node], allowed)
-        if is_stem:
-            stem_end[node] = True
-        else:
-            ends[node] = max(ends[node], allowed)
-
-    for w in words:
-        insert(w, edits_allowed(w), False)
-    for s in stems:
-        insert(s, 0, True)
-    alphabet = sorted({c for node in children for c in node})
-    letters = {c: k + 1 for k, c in enumerate(alphabet)}
-
-    # One object for each position, whatever the number of states that have it.
-    known: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def closed(positions: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-        todo, best = list(positions), {}
+            if c not in self._children[node]:
+                self._children[node][c] = len(self._children)
+                self._children.append({})
+                self._budget.append(0)
+                self._ends.append(-1)
+                self._stem_end.append(False)
+            node = self._children[node][c]
+            self._budget[node] = max(self._budget[node], allowed)
+        return node
+
+    def _restart(self) -> None:
+        # One object for each position, whatever the number of states that have it.
+        self._known: dict[tuple[int, int], tuple[int, int]] = {}
+        self._numbers: dict[frozenset[tuple[int, int]], int] = {}
+        self._states: list[frozenset[tuple[int, int]]] = []
+        self.step = np.full((64, len(self._alphabet) + 1), -1, np.int32)
+        self.result = np.zeros(64, np.int8)
+        for state in (frozenset(), self._closed({(0, 0)}), frozenset({(-1, 0)})):
+            self._number(state)
+        self.step[0], self.step[2] = 0, 2
+
+    def _closed(
+        self, positions: Iterable[tuple[int, int]], base: Iterable[tuple[int, int]] = ()
+    ) -> frozenset[tuple[int, int]]:
+        """The state of ``positions``, and of those of ``base``, which is a state."""
+        todo, best = list(positions), dict(base)
         while todo:
             node, e = todo.pop()
             if node < 0:
                 best[node] = e
                 continue
-            if e > budget[node] or best.get(node, 99) <= e:
+            if e > self._budget[node] or best.get(node, 99) <= e:
                 continue
             best[node] = e
-            if e < budget[node]:
-                todo += [(child, e + 1) for child in children[node].values()]
-        return frozenset(known.setdefault(p, p) for p in best.items())
-
-    stemmed = frozenset({(-1, 0)})
-    start = closed({(0, 0)})
-    numbers = {frozenset(): 0, start: 1, stemmed: 2}
-    order = [frozenset(), start, stemmed]
-    rows: list[np.ndarray] = []
-
-    def number(state: frozenset[tuple[int, int]]) -> int:
-        if state not in numbers:
-            numbers[state] = len(order)
-            order.append(state)
-        return numbers[state]
-
-    while len(rows) < len(order):
-        state = order[len(rows)]
-        if state == stemmed:
-            rows.append(np.full(len(alphabet) + 1, 2, np.int32))
-            continue
-        # Whatever the letter: it is one too many, or stands for another.
-        edited: set[tuple[int, int]] = set()
-        expected: dict[str, set[tuple[int, int]]] = {}
-        for node, e in state:
-            if node < 0:
-                edited.add((node, e))
-                continue
-            if e < budget[node]:
-                edited.add((node, e + 1))
-                edited.update((x, e + 1) for x in children[node].values())
-            for c in children[node]:
-                expected.setdefault(c, set()).add((children[node][c], e))
-        row = np.full(len(alphabet) + 1, number(closed(edited)), np.int32)
-        for c, found in expected.items():
-            if any(stem_end[child] and e == 0 for child, e in found):
-                found.add((-1, 0))
-            row[letters[c]] = number(closed(edited | found))
-        rows.append(row)
-    result = np.zeros(len(order), np.int8)
-    for k, state in enumerate(order):
-        hits = [e for node, e in state if node >= 0 and e <= ends[node]]
+            if e < self._budget[node]:
+                todo += [(child, e + 1) for child in self._children[node].values()]
+        return frozenset(self._known.setdefault(p, p) for p in best.items())
+
+    def _told(self, state: frozenset[tuple[int, int]]) -> int:
+        hits = [e for node, e in state if node >= 0 and e <= self._ends[node]]
         if hits:
-            result[k] = (EXACT if min(hits) == 0 else NEAR) + STEMMED * ((-1, 0) in state)
-        elif (-1, 0) in state:
-            result[k] = STEM
-    return Automaton(letters, np.array(rows), result)
+            return (EXACT if min(hits) == 0 else NEAR) + STEMMED * ((-1, 0) in state)
+        return STEM if (-1, 0) in state else NONE
+
+    def _number(self, state: frozenset[tuple[int, int]]) -> int:
+        k = self._numbers.setdefault(state, len(self._states))
+        if k == len(self._states):
+            self._states.append(state)
+            if k == len(self.step):
+                self.step = np.concatenate([self.step, np.full_like(self.step, -1)])
+                self.result = np.concatenate([self.result, np.zeros_like(self.result)])
+            self.result[k] = self._told(state)
+        return k
+
+    def _work_out(self, k: int, kind: int) -> None:
+        """The step from state ``k`` by a letter class, and by all that lead where an unknown letter does."""
+        state = self._states[k]
+        if self.step[k, 0] < 0:
+            # Whatever the letter: it is one too many, or stands for another.
+            edited = {p for p in state if p[0] < 0}
+            other = np.ones(self.step.shape[1], bool)
+            for node, e in state - edited:
+                children = self._children[node]
+                if e < self._budget[node]:
+                    edited.add((node, e + 1))
+                    edited.update((x, e + 1) for x in children.values())
+                other[[self.letters[c] for c in children]] = False
+            target = self._number(self._closed(edited))
+            self.step[k, other] = target
+        if self.step[k, kind] < 0:
+            c = self._alphabet[kind - 1]
+            found = [(self._children[node][c], e) for node, e in state if node >= 0 and c in self._children[node]]
+            if any(self._stem_end[child] and e == 0 for child, e in found):
+                found.append((-1, 0))
+            target = self._number(self._closed(found, self._states[self.step[k, 0]]))
+            self.step[k, kind] = target
+
+    def fresh(self) -> None:
+        """Before a batch, whose tokens hold state numbers until its end."""
+        if len(self._states) > MAX_STATES:
+            self._restart()
+
+    def follow(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The next state of each token."""
+        to = self.step[state, kind]
+        asked = to < 0
+        if asked.any():
+            width = self.step.shape[1]
+            for pair in np.unique(state[asked].astype(np.int64) * width + kind[asked]).tolist():
+                k, letter = divmod(pair, width)
+                if self.step[k, letter] < 0:
+                    self._work_out(k, letter)
+            to = self.step[state, kind]
+        return to
+
+
+@lru_cache(maxsize=2)
+def _built(words: tuple[str, ...], stems: tuple[str, ...]) -> Automaton:
+    return Automaton(words, stems)
+
+
+def build(words: Iterable[str], stems: Iterable[str]) -> Automaton:
+    """The automaton of a lexicon; a worker keeps its last ones, with what they have worked out."""
+    return _built(tuple(words), tuple(stems))
 
 
 _WORD_CHAR: np.ndarray | None = None
@@ -207,13 +223,14 @@ def find(automaton: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray
     edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     words = np.diff(np.searchsorted(start, begin))
-    kind = automaton.classes()[low]
+    automaton.fresh()
+    kind = automaton.classes[low]
     state = np.ones(len(start), np.int32)
     alive = np.arange(len(start))
     found_at, found = [], []
     at = start.copy()
     while len(alive):
-        state = automaton.step[state, kind[at]]
+        state = automaton.follow(state, kind[at])
         at = at + 1
         done = at == end[alive]
         if done.any():
