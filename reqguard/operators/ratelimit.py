@@ -368,7 +368,7 @@ def rate_limit(
                 F.lit(None).cast("string").alias("exceeded"),
             ),
         )
-    decided = _limited(
+    decided = limited(
         requests, state, request_limit, token_limit, client, ts, tokens, request_id, window_seconds, block_windows
     )
     return decided.drop("_window")
@@ -379,7 +379,7 @@ def _client_key(client: Column) -> Column:
     return F.coalesce(F.concat(F.lit("c"), client.cast("string")), F.lit("none"))
 
 
-def _limited(
+def limited(
     requests: DataFrame,
     state: DataFrame | None,
     request_limit: int,
@@ -474,10 +474,15 @@ def rate_limit_run(
     if request_limit <= 0 and token_limit <= 0:
         return rate_limit(requests), state if state is not None else session.createDataFrame([], STATE)
     names = (client, ts, tokens, request_id, window_seconds, block_windows)
-    decided = stored(_limited(requests, state, request_limit, token_limit, *names))
+    decided = stored(limited(requests, state, request_limit, token_limit, *names))
+    return decided.drop("_window"), stored(last_windows(decided, state, client, F.timestamp_micros("_window")))
+
+
+def last_windows(decided: DataFrame, state: DataFrame | None, client: str, opened: Column) -> DataFrame:
+    """``STATE`` after a run: the last window of each client among its decisions and the state before."""
     windows = decided.select(
         F.col(client).cast("string").alias("client"),
-        F.timestamp_micros("_window").alias("opened"),
+        opened.alias("opened"),
         F.col("rate.request_count").alias("requests"),
         F.col("rate.token_count").alias("tokens"),
     )
@@ -485,7 +490,7 @@ def rate_limit_run(
         windows = windows.unionByName(state.select(*STATE.names))
     # Within a window both counts only grow, so the greatest row is the last one.
     last = windows.groupBy("client").agg(F.max(F.struct("opened", "requests", "tokens")).alias("w"))
-    return decided.drop("_window"), stored(last.select("client", "w.*"))
+    return last.select("client", "w.*")
 
 
 def open_windows(state: DataFrame, now: Column, window_seconds: int = WINDOW_SECONDS) -> DataFrame:

@@ -1,4 +1,9 @@
-"""The rate limiter over a stream: one small state value per client."""
+"""The rate limiter over a stream.
+
+``rate_limit_stream`` keeps a small state value per client and takes a client's part of a
+micro-batch in one task.  ``rate_limit_writer`` judges each micro-batch as a run of the batch
+limiter, which spreads one client over many tasks, and carries the windows in a table.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ratelimit import RESULT, WINDOW_SECONDS, WindowCounter
+from ..operators.ratelimit import (
+    BLOCK_WINDOWS,
+    RESULT,
+    STATE,
+    WINDOW_SECONDS,
+    WindowCounter,
+    last_windows,
+    limited,
+    open_windows,
+    rate_limit,
+)
 
 _STATE = "start bigint, requests bigint, tokens bigint"
 _FLAT = ["allowed", "request_count", "token_count", "reset_seconds", "exceeded"]
@@ -38,10 +54,10 @@ def rate_limit_stream(
     if asked is not None:
         # What the limiter does not concern never meets its keys.
         others = requests.where(~F.coalesce(F.col(asked), F.lit(False))).withColumn("rate", F.lit(None).cast(RESULT))
-        limited = rate_limit_stream(
+        judged = rate_limit_stream(
             requests.where(F.col(asked)), request_limit, token_limit, client, ts, tokens, request_id, window_seconds
         )
-        return limited.unionByName(others)
+        return judged.unionByName(others)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -87,3 +103,58 @@ def rate_limit_stream(
         F.col("exceeded"),
     )
     return decided.select(*keep, rate.alias("rate"))
+
+
+def rate_limit_writer(
+    requests: DataFrame,
+    path: str,
+    state: str,
+    checkpoint: str,
+    request_limit: int = 0,
+    token_limit: int = 0,
+    client: str = "client_ip",
+    ts: str = "ts",
+    tokens: str = "tokens",
+    request_id: str = "request_id",
+    window_seconds: int = WINDOW_SECONDS,
+    block_windows: int = BLOCK_WINDOWS,
+    lateness_seconds: int = 3600,
+) -> DataStreamWriter:
+    """Requests with ``rate`` and ``window_opened`` to Parquet below ``path``; call ``start()`` on the result.
+
+    Every micro-batch is one run (see ``rate_limit_run``): a client with all of its rows is judged by
+    as many tasks as its blocks of windows, and batches that follow one another in time are judged as
+    one log.  No request is dropped for coming late: it counts within its client's carried window.
+    Batch ``n`` reads the windows that batch ``n - 1`` left in ``state`` and replaces its own folders
+    in both places when it is run again, so a restart gives the same rows once.  Only the newest
+    folder of ``state`` is needed.  Windows that were over ``lateness_seconds`` before the last opening
+    are left out of the next state.  With both limits 0 all is allowed, and ``window_opened`` is null.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, out = batch.sparkSession, f"{path}/batch={number}"
+        if request_limit <= 0 and token_limit <= 0:
+            allowed = rate_limit(batch).withColumn("window_opened", F.lit(None).cast("timestamp"))
+            allowed.write.mode("overwrite").parquet(out)
+            return
+        before = None
+        if number > 0:
+            before = spark.read.schema(STATE).parquet(f"{state}/batch={number - 1}")
+            latest = before.agg(F.max(F.unix_micros("opened"))).first()[0]
+            if latest is not None:
+                now = F.timestamp_micros(F.lit(latest - lateness_seconds * 1_000_000))
+                before = open_windows(before, now, window_seconds)
+        # Read more than once; a lost part is made again from the source.
+        batch = batch.persist()
+        try:
+            names = (client, ts, tokens, request_id, window_seconds, block_windows)
+            decided = limited(batch, before, request_limit, token_limit, *names)
+            decided = decided.withColumn("window_opened", F.timestamp_micros("_window")).drop("_window")
+            decided.write.mode("overwrite").parquet(out)
+        finally:
+            batch.unpersist()
+        written = spark.read.schema(decided.schema).parquet(out)
+        after = last_windows(written, before, client, F.col("window_opened"))
+        after.write.mode("overwrite").parquet(f"{state}/batch={number}")
+
+    return requests.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)

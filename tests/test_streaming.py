@@ -21,7 +21,7 @@ from reqguard.streaming.policy import (
     request_writer,
     verdict_writer,
 )
-from reqguard.streaming.ratelimit import rate_limit_stream
+from reqguard.streaming.ratelimit import rate_limit_stream, rate_limit_writer
 
 from conftest import SF
 
@@ -238,3 +238,68 @@ def test_chunks_to_rate_limited_verdicts_to_metrics(spark, tmp_path):
     minutes = {r["minute"]: r for r in traffic_metrics_per_minute(want).collect()}
     seen = got.collect()
     assert seen and all(minutes[r["minute"]] == r for r in seen)
+
+
+@pytest.mark.parametrize("limits", [(4, 0), (3, 100), (0, 0)])
+def test_rate_limit_writer_equals_batch(spark, tmp_path, limits):
+    """A hot client, clients without a name, a restart, and a last batch that is run twice."""
+    rng = random.Random(sum(limits))
+    us = 1_704_067_200_000_000
+    data = []
+    for i in range(900):
+        us += rng.randrange(1, 6_000_000)
+        client = "hot" if rng.random() < 0.7 else rng.choice(["a", "b", None])
+        data.append((f"r{i:04d}", client, us, rng.randrange(60)))
+    table = spark.createDataFrame(data, "request_id string, client_ip string, us long, tokens long")
+    table = table.select("request_id", "client_ip", F.timestamp_micros("us").alias("ts"), "tokens")
+    stream = replay(spark, table, str(tmp_path / "in"), ["ts"], 3)
+    places = [str(tmp_path / name) for name in ("out", "state", "checkpoint")]
+
+    def finish():
+        writer = rate_limit_writer(stream, *places, *limits, block_windows=2)
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        finish()
+        # As if the job had ended before it could say that the last batch was done.
+        for name in ("2", ".2.crc"):
+            (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+        finish()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    cols = ["request_id", "client_ip", "rate.allowed", "rate.request_count", "rate.token_count", "rate.reset_seconds", "rate.exceeded"]
+    got = spark.read.parquet(places[0])
+    assert rows(got, *cols) == rows(rate_limit(table, *limits), *cols)
+    if any(limits):
+        # One client's rows of a batch come from several tasks.
+        files = got.where("client_ip = 'hot' and batch = 0").select(F.input_file_name()).distinct()
+        assert files.count() > 1
+        assert got.where("window_opened is null or window_opened > ts").count() == 0
+
+
+def test_rate_limit_writer_drops_no_late_request_and_forgets_old_windows(spark, tmp_path):
+    path = str(tmp_path / "late")
+    schema = "request_id string, client_ip string, ts timestamp, tokens long"
+    batches = [[("a", "10:00:00"), ("b", "10:00:05"), ("c", "10:00:05")], [("b", "12:00:00")], [("b", "11:59:58"), ("a", "12:00:10")], [("b", "12:00:20")]]
+    for batch in batches:
+        df = spark.createDataFrame(batch, "c string, t string").select(
+            F.concat("c", "t").alias("request_id"),
+            F.col("c").alias("client_ip"),
+            F.to_timestamp(F.concat(F.lit("2024-01-01 "), "t")).alias("ts"),
+            F.lit(None).cast("bigint").alias("tokens"),
+        )
+        df.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    places = [str(tmp_path / name) for name in ("out", "state", "checkpoint")]
+    rate_limit_writer(stream, *places, 2, lateness_seconds=600).trigger(availableNow=True).start().awaitTermination()
+    got = {r.request_id: (r.rate.allowed, r.rate.request_count) for r in spark.read.parquet(places[0]).collect()}
+    assert got == {
+        "a10:00:00": (True, 1), "b10:00:05": (True, 1), "c10:00:05": (True, 1), "b12:00:00": (True, 1),
+        "b11:59:58": (True, 2), "a12:00:10": (True, 1), "b12:00:20": (False, 2),
+    }
+    kept = [{r.client for r in spark.read.parquet(f"{places[1]}/batch={n}").collect()} for n in range(4)]
+    assert kept == [{"a", "b", "c"}, {"a", "b", "c"}, {"a", "b"}, {"a", "b"}]
+    late = spark.read.parquet(f"{places[1]}/batch=2").where("client = 'a'").first()
+    assert late.opened.strftime("%H:%M") == "12:00"
