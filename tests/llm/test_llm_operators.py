@@ -783,3 +783,16 @@ def test_columns_with_names_used_inside_come_out_as_they_went_in(spark):
         assert rows_of(out, *DOCS_NAMES) == rows_of(operator(plain), *DOCS_NAMES)
         for row in out.collect():
             assert [row[n] for n in names] == [None if row.doc_id is None else f"{n}:{row.doc_id}" for n in names]
+
+
+def test_an_automaton_that_starts_anew_finds_the_same(monkeypatch):
+    words, stems = ["moronic", "loserlike", "idiot"], ["lose"]
+    text = "m0ronic moronc loserlkie idiot ldiot losing losex nothing"
+    whole = toxicity.find(toxicity.Automaton(tuple(words), tuple(stems)), [text, "idiots", text])
+    monkeypatch.setattr(toxicity, "MAX_STATES", 3)
+    small = toxicity.Automaton(tuple(words), tuple(stems))
+    for _ in range(3):
+        again = toxicity.find(small, [text, "idiots", text])
+        assert all((a == b).all() for a, b in zip(whole, again, strict=True))
+    small.fresh()
+    assert len(small._states) == 3
