@@ -508,6 +508,9 @@ FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY l.quality, l.toxi
         "pii_types": _TEXTS + f"SELECT request_id, {_pii_list('text')} AS pii_types FROM texts",
         "pii_redact": _TEXTS
         + f"SELECT request_id, md5({_REDACT}) AS text_md5 FROM texts",
+        "redact_bodies": TRUTH
+        + f"SELECT request_id, md5(array_to_string(list_transform(contents, lambda text: {_REDACT}), chr(1))) AS content_md5, "
+        "CAST(len(contents) AS INTEGER) AS n FROM costed WHERE parsed",
         "finding_counts": _TEXTS
         + f"""SELECT finding, count(*) AS texts FROM (
   SELECT 'prompt-injection' AS finding FROM texts WHERE {_flag('text', INJECTION_RE)}

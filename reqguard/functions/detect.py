@@ -7,6 +7,7 @@ returns a small bit mask; everything costlier runs only on the texts that the ma
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,3 +225,77 @@ def redacted(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(
         [pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["text", "replaced"]
     )
+
+
+# A JSON string and, after the name of a member, its colon.
+_LITERAL = re.compile(r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"([ \t\n\r]*+:)?', re.S)
+_ESCAPE = re.compile(
+    r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.", re.S
+)
+_ESCAPED = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+
+
+def _unescaped(escape: str) -> str:
+    if len(escape) == 2:
+        return _ESCAPED.get(escape[1], escape[1])
+    return bytes.fromhex(escape.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
+
+
+def _decoded(raw: str) -> tuple[str, list[int], list[int]]:
+    """What the inside of a JSON string says, and where its pieces start, there and in ``raw``."""
+    pieces, at, raw_at = [], [0], [0]
+    length = end = 0
+    for m in _ESCAPE.finditer(raw):
+        character = _unescaped(m.group())
+        pieces += [raw[end : m.start()], character]
+        length += m.start() - end
+        end = m.end()
+        at += [length, length + 1]
+        raw_at += [m.start(), end]
+        length += 1
+    return "".join(pieces) + raw[end:], at, raw_at
+
+
+def _json_spans(body: str) -> list[tuple[int, int, str]]:
+    """(start, end, label) in a JSON text of what is replaced in the string values it holds."""
+    found = []
+    for literal in _LITERAL.finditer(body):
+        raw = literal[1]
+        if literal[2] or not raw:
+            continue
+        value, at, raw_at = _decoded(raw) if "\\" in raw else (raw, [0], [0])
+        end = 0
+        for a, b, name, _ in _text_spans(value):
+            if a >= end:
+                i, j = bisect_right(at, a) - 1, bisect_right(at, b) - 1
+                start = literal.start(1)
+                found.append((start + raw_at[i] + a - at[i], start + raw_at[j] + b - at[j], P.PII_LABELS[name]))
+                end = b
+    return found
+
+
+@F.arrow_udf(REDACTED)
+def redacted_json(body: pa.Array) -> pa.Array:
+    """JSON texts with each match within a string value replaced by its label, and how many were."""
+    texts, counts = [], []
+    for value in body.to_pylist():
+        spans = _json_spans(value) if value is not None else []
+        if spans:
+            edges = [0, *[b for _, b, _ in spans]]
+            pieces = [value[edge:a] + label for edge, (a, _, label) in zip(edges, spans)]
+            value = "".join(pieces) + value[edges[-1] :]
+        texts.append(value)
+        counts.append(len(spans))
+    return pa.StructArray.from_arrays(
+        [pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["text", "replaced"]
+    )
+
+
+def json_scan_mask(body: Column) -> Column:
+    """``scan_mask`` of a JSON text whose personal-data bit is set if one of its strings may hold some.
+
+    An escape stands for one character that is no part of a match but, at most, the white space in
+    one; where escapes may stand for any character, the bit is set.
+    """
+    plain = F.regexp_replace(body, r"(?s)\\.", " ")
+    return F.when(body.contains("\\u"), F.lit(PII_BIT)).otherwise(scan_mask(plain))

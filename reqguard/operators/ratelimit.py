@@ -11,7 +11,9 @@ cut into blocks that many tasks work on at once:
    reaches into each group of blocks, and a pass within each group gives it for each block.  A task
    meets one group's functions, or one composed function for each group of a client;
 3. per (client, block): all windows that open in the block are counted to their end.  Requests in
-   the first window length of a block also go to the block before, where they may belong.
+   the first window length of a block also go to the block before, where they may belong.  With a
+   limit on requests alone, counting is a rank within the window; a limit on tokens depends on what
+   was denied before, and takes a pass in order.
 
 A client with a large share of all requests is thus spread over as many tasks as it has blocks.
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -405,8 +407,13 @@ def limited(
             F.col("requests").alias("_carried"),
             F.col("tokens").alias("_tokens"),
         ).withColumn("_block", block)
-        opened = carried.select("_client", F.col("_us").alias("_opened"))
-        timed = timed.join(opened, "_client", "left").withColumn("_us", F.greatest("_us", "_opened")).drop("_opened")
+        opened = carried.select(
+            "_client",
+            F.col("_us").alias("_opened"),
+            F.col("_carried").alias("_had"),
+            F.col("_tokens").alias("_had_tokens"),
+        )
+        timed = timed.join(opened, "_client", "left").withColumn("_us", F.greatest("_us", "_opened"))
 
     slim = timed.select("_client", "_us").withColumn("_block", block)
     if carried is not None:
@@ -425,16 +432,21 @@ def limited(
     own = timed.withColumn("_own", block)
     near_start = F.col("_us") - F.col("_own") * F.lit(block_us) < window
     blocks = F.when(near_start, F.array(F.col("_own"), F.col("_own") - 1)).otherwise(F.array("_own"))
+    before = ["_opened", "_had", "_had_tokens"] if carried is not None else []
     rows = own.withColumn("_block", F.explode(blocks)).select(
         *keep,
         "_client",
         "_us",
         "_block",
-        F.lit(None).cast("bigint").alias("_opening"),
-        F.lit(None).cast("bigint").alias("_carried"),
         (F.col("_block") != F.col("_own")).alias("_tail"),
         F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)).alias("_tokens"),
         F.col(request_id).alias("_id"),
+        *before,
+    )
+    if token_limit <= 0:
+        return _ranked(rows, _block_openings(slim, markers, window), request_limit, token_limit, window, keep)
+    rows = rows.drop(*before).withColumns(
+        {"_opening": F.lit(None).cast("bigint"), "_carried": F.lit(None).cast("bigint")}
     )
     if carried is not None:
         rows = rows.unionByName(carried.withColumn("_tail", F.lit(False)), allowMissingColumns=True)
@@ -451,6 +463,95 @@ def limited(
     return decided.mapInArrow(_count_windows(request_limit, token_limit, window, keep), schema)
 
 
+def _block_openings(times: DataFrame, markers: DataFrame, window: int) -> DataFrame:
+    """_client, _block and ``starts``, when the windows that open in the block do: one per window length."""
+    sets = (
+        times.unionByName(markers, allowMissingColumns=True)
+        .repartition("_client", "_block")
+        .sortWithinPartitions("_client", "_block", F.col("_opening").desc_nulls_last(), "_us")
+    )
+    return sets.mapInArrow(_window_starts(window), "_client string, _block bigint, starts array<bigint>")
+
+
+def _window_starts(window: int):
+    """mapInArrow: rows sorted by (client, block, marker first, time) -> the openings in each block.
+
+    A step goes to the next opening, not to the next request.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        opening = 0
+        starts: list[int] = []
+        for batch in batches:
+            done: list[tuple] = []
+            clients, blocks = batch.column("_client"), batch.column("_block").to_numpy()
+            codes = clients.dictionary_encode().indices.to_numpy()
+            new_group = (blocks[1:] != blocks[:-1]) | (codes[1:] != codes[:-1])
+            changes = (np.flatnonzero(new_group) + 1).tolist()
+            times = batch.column("_us").fill_null(0).to_numpy()
+            for a, b in zip([0, *changes], [*changes, batch.num_rows]):
+                if a == b:
+                    continue
+                this = (clients[a].as_py(), int(blocks[a]))
+                if this != key:
+                    if starts:
+                        done.append((*key, starts))
+                    key, starts = this, []
+                    # The first row of a block is its marker.
+                    opening = batch.column("_opening")[a].as_py()
+                    a += 1
+                at = a + int(np.searchsorted(times[a:b], opening))
+                while at < b:
+                    starts.append(int(times[at]))
+                    opening = starts[-1] + window
+                    at += int(np.searchsorted(times[at:b], opening))
+            if done:
+                yield _starts_batch(done)
+        if starts:
+            yield _starts_batch([(*key, starts)])
+
+    return run
+
+
+def _starts_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(columns, ["_client", "_block", "starts"])
+
+
+def _ranked(
+    rows: DataFrame, openings: DataFrame, request_limit: int, token_limit: int, window: int, keep: list[str]
+) -> DataFrame:
+    """Decisions by rank within each window, which is all that a limit on requests alone asks for.
+
+    Of the two blocks that a request near the start of one goes to, one has its window.  The
+    windows of a block lie where its rows were joined, so ranking moves nothing again.
+    """
+    start = F.array_max(F.filter("starts", lambda x: x <= F.col("_us")))
+    placed = rows.join(openings, ["_client", "_block"]).withColumn("_window", start)
+    placed = placed.where(F.col("_us") < F.col("_window") + window)
+    had, had_tokens = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    if "_had" in rows.columns:
+        in_carried = F.col("_window") == F.col("_opened")
+        had = F.coalesce(F.when(in_carried, F.col("_had")), had)
+        had_tokens = F.coalesce(F.when(in_carried, F.col("_had_tokens")), had_tokens)
+    order = Window.partitionBy("_client", "_block", "_window").orderBy("_us", "_id")
+    ranked = placed.withColumn("_rank", had + F.row_number().over(order))
+    allowed = F.col("_rank") <= request_limit
+    taken = F.sum(F.when(allowed, F.col("_tokens"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rate = F.struct(
+        allowed.alias("allowed"),
+        F.when(allowed, F.col("_rank")).otherwise(F.greatest(had, F.lit(request_limit))).alias("request_count"),
+        F.lit(request_limit).alias("request_limit"),
+        (had_tokens + F.coalesce(taken, F.lit(0))).alias("token_count"),
+        F.lit(token_limit).alias("token_limit"),
+        F.expr(f"(_window + {window}L - _us) div 1000000").alias("reset_seconds"),
+        F.when(~allowed, "requests").alias("exceeded"),
+    )
+    return ranked.withColumn("rate", rate.cast(RESULT)).select(*keep, "rate", "_window")
+
+
 def rate_limit_run(
     requests: DataFrame,
     state: DataFrame | None = None,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect as D
 from ..functions import patterns as P
+from ..functions import providers as PV
 
 
 def with_flags(df: DataFrame, text: str = "text", engine: str = "arrow") -> DataFrame:
@@ -93,3 +94,33 @@ def redact_table(df: DataFrame, text: str = "text", count: str = "redactions") -
             count: F.coalesce(F.col("_r.replaced"), F.lit(0)),
         }
     ).drop("_mask", "_r")
+
+
+def redact_bodies(requests: DataFrame, body: str = "body", count: str = "redactions") -> DataFrame:
+    """Same rows with personal data in the string values of JSON bodies replaced by labels, and the number replaced.
+
+    Bodies are edited where they stand: every other character stays as it was, escapes and spacing
+    included, and a JSON document stays one.  A match is looked for in what a string says, so one
+    written with escapes is found; names of members, numbers and text across two strings are left.
+    A body that is not one JSON document is treated as plain text.  NULL stays NULL; a body that is
+    not valid UTF-8 is not read and stays as it is.
+    """
+    source = F.col(body)
+    text = F.when(F.is_valid_utf8(source), source)
+    is_json = F.col("_json")
+    candidate = D.has_bit(F.col("_mask"), D.PII_BIT)
+    out = requests.withColumn("_text", text).withColumn("_json", PV.is_one_value(F.col("_text")))
+    out = out.withColumn("_mask", F.when(is_json, D.json_scan_mask(F.col("_text"))).otherwise(D.scan_mask(F.col("_text"))))
+    out = out.withColumns(
+        {
+            "_r": D.redacted_json(F.when(candidate & is_json, F.col("_text"))),
+            "_p": D.redacted(F.when(candidate & ~is_json, F.col("_text"))),
+        }
+    )
+    new = F.when(is_json, F.col("_r.text")).otherwise(F.col("_p.text"))
+    return out.withColumns(
+        {
+            body: F.when(candidate, new).otherwise(source),
+            count: F.coalesce(F.col("_r.replaced"), F.lit(0)) + F.coalesce(F.col("_p.replaced"), F.lit(0)),
+        }
+    ).drop("_text", "_json", "_mask", "_r", "_p")

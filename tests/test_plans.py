@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from reqguard.config import PolicyConfig
 from reqguard.operators import normalize as N
+from reqguard.operators import ratelimit as R
 from reqguard.operators import scan as S
 from reqguard.operators import usage as U
 from reqguard.plans.policy import evaluate_policy
@@ -61,6 +62,16 @@ def test_limiter_bodies_stay_out_of_the_shuffle(spark, tmp_path):
     assert "body#" not in text.replace("block_body#", "") and "CartesianProduct" not in text
 
 
+def test_a_limit_on_requests_alone_is_a_rank(spark, tmp_path):
+    usage = stored_log(spark, tmp_path).select("request_id", "client_ip", "ts", F.lit(1).alias("tokens"))
+    after = plan(R.rate_limit(usage, 4, 0))
+    # No request goes through Python: what does, has times and step functions alone.
+    python = [line for line in after.splitlines() if "MapInArrow" in line]
+    assert "row_number()" in after and python and not any("rate#" in line or "request_id#" in line for line in python)
+    both = [line for line in plan(R.rate_limit(usage, 4, 9)).splitlines() if "MapInArrow" in line]
+    assert any("rate#" in line for line in both)
+
+
 def test_no_query_has_a_cross_join(spark):
     for name, query in contract.queries().items():
         if name.startswith(("rate_", "flags_", "assemble", "in_flight", "metrics_per")):

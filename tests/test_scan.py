@@ -1,5 +1,6 @@
 """Findings, types and redaction against brute force."""
 
+import json
 import random
 
 import regex
@@ -88,3 +89,77 @@ def test_finding_counts(spark):
     df = spark.createDataFrame([("8.8.8.8 standard",), ("a@b.co",), ("<system> a@b.co",)], "text string")
     got = {r.finding: r.texts for r in S.finding_counts(df).collect()}
     assert got == {"ip-address": 1, "jailbreak-attempt": 1, "email": 2, "prompt-injection": 1}
+
+
+def written(rng, text):
+    """A JSON string with escapes by lot."""
+    out = ""
+    for c in text:
+        units = [c.encode("utf-16-be")[k : k + 2].hex() for k in range(0, 2 * len(c.encode("utf-16-be")) // 2, 2)]
+        if rng.random() < 0.15 or c in '"\\' or ord(c) < 32:
+            out += json.dumps(c)[1:-1] if rng.random() < 0.5 else "".join(rng.choice([f"\\u{u}", f"\\u{u.upper()}"]) for u in units)
+        else:
+            out += "\\/" if c == "/" and rng.random() < 0.5 else c
+    return f'"{out}"'
+
+
+def brute_redacted(raw):
+    """The inside of a JSON string, a character at a time, with its matches replaced."""
+    cells, k = [], 0
+    while k < len(raw):
+        n = 1
+        if raw[k] == "\\":
+            n = 6 if raw[k + 1] == "u" else 2
+            pair = raw[k : k + 12]
+            if n == 6 and len(pair) == 12 and pair[6:8] == "\\u" and len(json.loads(f'"{pair}"')) == 1:
+                n = 12
+        cells.append(raw[k : k + n])
+        k += n
+    said = [json.loads(f'"{c}"') for c in cells]
+    starts = [len("".join(said[:i]).encode()) for i in range(len(said) + 1)]
+    out, end, n = "", 0, 0
+    for a, b, name, _ in brute_spans("".join(said)):
+        a, b = starts.index(a), starts.index(b)
+        if a >= end:
+            out += "".join(cells[end:a]) + P.PII_LABELS[name]
+            end, n = b, n + 1
+    return out + "".join(cells[end:]), n
+
+
+def test_bodies_are_redacted_in_place(spark):
+    rng = random.Random(29)
+    bodies, want = [], []
+    for _ in range(1500):
+        out, edited, count = "", "", 0
+        for part in range(rng.randrange(1, 4)):
+            text = noise(rng) + rng.choice(["", "\n", '"', "/", "\\", "😀", "\t555-123-4567"])
+            name, value = written(rng, noise(rng) + str(part)), written(rng, text)
+            new, n = brute_redacted(value[1:-1])
+            space = rng.choice(["", " ", "\n\t"])
+            head = f'{"," if part else ""}{space}{name}{space}:{space}'
+            nested = rng.random() < 0.3
+            out += head + (f"[ {value},5551234567]" if nested else value)
+            edited += head + (f'[ "{new}",5551234567]' if nested else f'"{new}"')
+            count += n
+        bodies.append("{" + out + "}")
+        want.append(("{" + edited + "}", count))
+    for odd in (None, "", "{}", "[]", '"mail a@b.co"', "not json a@b.co", '{"a":"x', '{"a":"b"} trailing c@d.org'):
+        bodies.append(odd)
+        text, n = odd, 0
+        if odd and "@" in odd:
+            text, n = {
+                '"mail a@b.co"': ('"mail [EMAIL REDACTED]"', 1),
+                "not json a@b.co": ("not json [EMAIL REDACTED]", 1),
+            }.get(odd, ('{"a":"b"} trailing [EMAIL REDACTED]', 1))
+        want.append((text, n))
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string").withColumn("text", F.lit("own"))
+    out = S.redact_bodies(df)
+    assert out.columns == [*df.columns, "redactions"]
+    got = {r.id: (r.body, r.redactions) for r in out.collect()}
+    assert [got[i] for i in range(len(bodies))] == want
+    assert sum(n for _, n in want) > 500
+    for body, _ in want[:1500]:
+        json.loads(body)
+    broken = spark.range(1).select(F.unhex(F.lit("7B22FF")).cast("string").alias("body"))
+    assert S.redact_bodies(broken).select(F.hex("body"), "redactions").first()[:] == ("7B22FF", 0)
+    assert S.redact_bodies(df.limit(0)).count() == 0
