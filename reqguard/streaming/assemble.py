@@ -14,10 +14,10 @@ from ..functions.encoding import decode_base64_strict, is_utf8
 _STATE = "opened_seq bigint, header string, us bigint, body binary, events bigint"
 _OUT = (
     "correlation_id string, opened_seq bigint, header string, us bigint, body binary, finished boolean,"
-    " events bigint, reason string"
+    " events bigint, reason string, open_change int"
 )
-_NAMES = ["correlation_id", "opened_seq", "header", "us", "body", "finished", "events", "reason"]
-TIMEOUT, RESET, ORPHAN, UNDECODABLE = "timeout", "reset", "orphan", "undecodable"
+_NAMES = ["correlation_id", "opened_seq", "header", "us", "body", "finished", "events", "reason", "open_change"]
+TIMEOUT, RESET, ORPHAN, UNDECODABLE, OPENED = "timeout", "reset", "orphan", "undecodable", "opened"
 # Times in a header keep their microseconds.
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -72,17 +72,20 @@ def assemble_stream(
     ``reason`` why it is no finished request: ``timeout``; ``reset``, an open request that another
     header cut off; ``orphan``, chunks while no request was open; ``undecodable``, chunks that are
     not canonical base64.  Rows behind the watermark never get here: ``LateRows`` counts those.
+    A request that its batch opens and leaves open has a row ``opened``, without events.
+    ``open_change`` is what a row adds to the number of open requests at the end of its batch.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             opened, header, us, body, events = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], opened, header, us, bytes(body), False, events, TIMEOUT)], columns=_NAMES)
+            yield pd.DataFrame([(key[0], opened, header, us, bytes(body), False, events, TIMEOUT, -1)], columns=_NAMES)
             return
         current = list(state.get) if state.exists else None
         parts = [bytes(current[3])] if current else []
         held = current[4] if current else 0
+        closing = -1 if current else 0  # requests of this batch never counted as open
         done = []
         latest_us = 0
         batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
@@ -90,21 +93,23 @@ def assemble_stream(
             latest_us = max(latest_us, row.us)
             if row.is_header:
                 if current is not None:
-                    done.append((key[0], *current[:3], b"".join(parts), False, held, RESET))
-                current, parts, held = [row.seq, row.header, row.us, b""], [], 1
+                    done.append((key[0], *current[:3], b"".join(parts), False, held, RESET, closing))
+                current, parts, held, closing = [row.seq, row.header, row.us, b""], [], 1, 0
             elif current is None:
                 body = b"" if row.bytes is None else bytes(row.bytes)
-                done.append((key[0], row.seq, None, row.us, body, False, 1, ORPHAN))
+                done.append((key[0], row.seq, None, row.us, body, False, 1, ORPHAN, 0))
             else:
                 if row.bytes is not None:
                     parts.append(bytes(row.bytes))
                     held += 1
                 else:
-                    done.append((key[0], row.seq, None, row.us, b"", False, 1, UNDECODABLE))
+                    done.append((key[0], row.seq, None, row.us, b"", False, 1, UNDECODABLE, 0))
                 if row.is_last:
-                    done.append((key[0], *current[:3], b"".join(parts), True, held, None))
-                    current, parts = None, []
+                    done.append((key[0], *current[:3], b"".join(parts), True, held, None, closing))
+                    current, parts, closing = None, [], 0
         if current is not None:
+            if closing == 0:
+                done.append((key[0], *current[:3], b"", False, 0, OPENED, 1))
             state.update((*current[:3], b"".join(parts), held))
             state.setTimeoutTimestamp(
                 max(latest_us // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1)
@@ -130,5 +135,5 @@ def assemble_stream(
         body.alias("body"),
         is_utf8(body).alias("body_is_utf8"),
         "finished",
-        *(["events", "reason"] if account else []),
+        *(["events", "reason", "open_change"] if account else []),
     )

@@ -17,6 +17,7 @@ from ..config import PolicyConfig
 from ..operators.metrics import traffic_metrics_per_minute
 from ..operators.ratelimit import RESULT
 from ..plans.policy import CHECKED, assess, decide
+from .assemble import OPENED
 from .ratelimit import rate_limit_stream
 
 
@@ -86,20 +87,35 @@ def request_writer(assembled: DataFrame, path: str, checkpoint: str) -> DataStre
     )
 
 
-def accounted_writer(assembled: DataFrame, path: str, aside: str, checkpoint: str) -> DataStreamWriter:
+def accounted_writer(
+    assembled: DataFrame, path: str, aside: str, checkpoint: str, gauge: str | None = None
+) -> DataStreamWriter:
     """Finished requests to ``path``, and what did not become one, with its reason, to ``aside``.
 
     ``assembled`` comes from ``assemble_stream`` with ``account``.  Each batch has a folder of its
-    own in both places and replaces it when it is run again, so a row is written once.
+    own in all places and replaces it when it is run again, so a row is written once.
+
+    ``gauge`` gets one row a batch: ``in_flight_requests``, how many are open when the batch ends,
+    which is what the batch before left and the batch's own changes.  It belongs to ``checkpoint``
+    and starts with it; a batch whose forerunner has no row fails rather than count from zero.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        # Held for two writes; a lost part is made again from the state of the batch before.
+        # Held for all writes; a lost part is made again from the state of the batch before.
         batch = batch.persist()
         try:
-            finished = batch.where("finished").drop("reason").withColumnRenamed("correlation_id", "request_id")
+            finished = batch.where("finished").drop("reason", "open_change")
+            finished = finished.withColumnRenamed("correlation_id", "request_id")
             finished.write.mode("overwrite").parquet(f"{path}/batch={number}")
-            batch.where("not finished").write.mode("overwrite").parquet(f"{aside}/batch={number}")
+            others = batch.where((~F.col("finished")) & (F.col("reason") != OPENED)).drop("open_change")
+            others.write.mode("overwrite").parquet(f"{aside}/batch={number}")
+            if gauge is not None:
+                changes = batch.select(F.col("open_change").cast("bigint").alias("n"))
+                if number > 0:
+                    before = batch.sparkSession.read.parquet(f"{gauge}/batch={number - 1}")
+                    changes = changes.unionByName(before.select(F.col("in_flight_requests").alias("n")))
+                now = changes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_flight_requests"))
+                now.write.mode("overwrite").parquet(f"{gauge}/batch={number}")
         finally:
             batch.unpersist()
 

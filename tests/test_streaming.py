@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reqguard.config import PolicyConfig
-from reqguard.operators.assemble import assemble_requests
+from reqguard.operators.assemble import assemble_requests, in_flight
 from reqguard.operators.metrics import traffic_metrics_per_minute
 from reqguard.operators.ratelimit import rate_limit
 from reqguard.plans.policy import evaluate_policy
@@ -211,6 +211,49 @@ def test_every_event_is_accounted_for(spark, tmp_path):
     assert total + still_open == sum(map(len, batches))
 
 
+def test_gauge_equals_batch_at_every_batch_end(spark, tmp_path):
+    """Also when the stream is stopped and goes on; a request that times out is in flight no more."""
+    rng = random.Random(4)
+    events, size = [], 30
+    for n in range(5 * size):
+        is_header, key = rng.random() < 0.3, f"k{rng.randrange(12)}"
+        events.append((key, n, is_header, not is_header and rng.random() < 0.4))
+    schema = "correlation_id string, seq long, is_header boolean, is_last boolean"
+    path = str(tmp_path / "events")
+
+    def arrive(some, at):
+        df = spark.createDataFrame(some, schema).withColumn("event_time", F.to_timestamp(F.lit(at)))
+        df = df.withColumn("header", F.when(F.col("is_header"), F.lit('{"client_ip":"c","uri":"/u"}')))
+        df = df.withColumn("bytes", F.when(~F.col("is_header"), F.lit(b"x")))
+        df.coalesce(1).write.mode("append").parquet(path)
+        return df.schema
+
+    for k in range(5):
+        written = arrive(events[k * size : (k + 1) * size], "2024-01-01 10:00:00")
+    places = [str(tmp_path / name) for name in ("requests", "aside", "checkpoint", "gauge")]
+
+    def go():
+        stream = spark.readStream.schema(written).option("maxFilesPerTrigger", 1).parquet(path)
+        assembled = assemble_stream(stream.withWatermark("event_time", "1 minute"), account=True)
+        query = accounted_writer(assembled, *places).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return {r.batch: r.in_flight_requests for r in spark.read.parquet(places[3]).collect()}
+
+    gauge = go()
+    seen = []
+    for k in range(5):
+        seen += events[k * size : (k + 1) * size]
+        df = spark.createDataFrame(seen, schema)
+        headers = df.where("is_header").select("correlation_id", "seq", F.lit("c").alias("client_ip"))
+        chunks = df.where("not is_header").select("correlation_id", "seq", "is_last", F.lit("eA==").alias("data"))
+        assert gauge[k] == in_flight(headers, chunks).count() > 0, k
+    assert "opened" not in {r.reason for r in spark.read.parquet(places[1]).collect()}
+    arrive([("z", 1000, True, False)], "2024-01-01 12:00:00")
+    arrive([("z", 1001, False, True)], "2024-01-01 12:00:01")
+    later = go()
+    assert {k: later[k] for k in gauge} == gauge and later[max(later)] == 0
+
+
 def test_chunks_to_rate_limited_verdicts_to_metrics(spark, tmp_path):
     """Three queries in a row give what the batch jobs give."""
     log = corpus.request_log(spark, SF)
