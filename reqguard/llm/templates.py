@@ -48,6 +48,15 @@ NOT_MAIN_NAMES = frozenset(
     " search skip toc alert".split()
 )
 COMMENT_NAMES = frozenset("comment comments reply ad ads advert".split())
+# A head is no part of the page's frame when it is that of the text.
+HEAD_NAMES = frozenset("header masthead banner".split())
+TEXT_NAMES = frozenset("entry post article story".split())
+# Words that tell where something stands or how it is laid out, and nothing of what it says.
+LAYOUT_NAMES = frozenset(
+    "a area bar block bottom box button buttons center column container content desktop div entry field fixed float"
+    " form grid group holder icon icons inner item items left link links list main mobile outer page panel post posts"
+    " article right row section site slot small sticky story text the title top unit view wrap wrapper zone".split()
+)
 # Opening a block ends an open paragraph; a list item ends the one before it, and so on.
 ENDS_SAME = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
 # --- end of fixed values -------------------------------------------------------------------------
@@ -77,9 +86,14 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text.strip() else {}
 
 
-def names(attrs: dict[str, str]) -> set[str]:
-    words = _CAMEL.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    return {w.lower() for w in _NAME.findall(words)}
+def told_by(attrs: dict[str, str], telling: frozenset[str]) -> bool:
+    """Whether a whole class name, or the id, is a telling name, but for words of layout."""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = {w.lower() for w in _NAME.findall(_CAMEL.sub(" ", name))}
+        told = words & telling
+        if told and words <= telling | LAYOUT_NAMES and not (words & TEXT_NAMES and told <= HEAD_NAMES):
+            return True
+    return False
 
 
 def not_main(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
@@ -94,11 +108,16 @@ def not_main(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if tag in HEADINGS or tag == "p" or not attrs:
         return False
-    return bool(names(attrs) & (COMMENT_NAMES if tag == "article" else NOT_MAIN_NAMES))
+    if tag == "article":
+        return told_by(attrs, COMMENT_NAMES)
+    return told_by(attrs, NOT_MAIN_NAMES - HEAD_NAMES if in_article else NOT_MAIN_NAMES)
 
 
 class Page:
-    """Blocks of text with the container they stand in, and the containers with their paths."""
+    """Blocks of text with the container they stand in, and the containers with their paths.
+
+    A path is the number of containers in it and a hash of them, so that deep pages have short ones.
+    """
 
     def __init__(self, source: str) -> None:
         self.paths: list[str] = [""]
@@ -110,8 +129,9 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        # Open elements: tag, container it is (or stands in), whether something around it is not main.
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        # Open elements: tag, container it is (or stands in), whether something around it is not main,
+        # whether it is or stands in an article.
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         buffer: list[str] = []
 
         def flush() -> None:
@@ -119,7 +139,7 @@ class Page:
                 text = " ".join(html_lib.unescape("".join(buffer)).split())
                 buffer.clear()
                 if text:
-                    heading = any(t in HEADINGS for t, _, _ in stack[-3:])
+                    heading = any(t in HEADINGS for t, *_ in stack[-3:])
                     self.blocks.append((stack[-1][1], text, heading, stack[-1][2]))
 
         def close_to(depth: int) -> None:
@@ -170,21 +190,21 @@ class Page:
                     if stack[depth][0] in BLOCKS:
                         break
             attrs = attributes(m[3] or m[6] or "")
-            _, inside, outside = stack[-1]
-            outside = outside or not_main(tag, attrs, any(t == "article" for t, _, _ in stack))
+            _, inside, outside, in_article = stack[-1]
+            outside = outside or not_main(tag, attrs, in_article)
             if tag in CONTAINERS:
                 # Long numbers in class names are those of one page.
                 kind = ".".join([tag, *sorted(_NUMBER.sub("#", attrs.get("class", "")).lower().split())])
-                path = f"{self.paths[inside]}>{kind}"
                 # Equal tags in one place are told apart by their number.
                 self.seen[inside, kind] += 1
-                if self.seen[inside, kind] > 1:
-                    path += f"[{self.seen[inside, kind]}]"
-                self.paths.append(path)
+                around = self.paths[inside]
+                depth = int(around.partition(">")[0] or 0) + 1
+                mark = xxhash.xxh3_128_hexdigest(f"{around}>{kind}[{self.seen[inside, kind]}]")
+                self.paths.append(f"{depth}>{mark}")
                 self.parents.append(inside)
                 self.closed.append(False)
                 inside = len(self.paths) - 1
-            stack.append((tag, inside, outside))
+            stack.append((tag, inside, outside, in_article or tag == "article"))
         flush()
 
     def weights(self) -> list[int]:
@@ -192,10 +212,10 @@ class Page:
         out = [0] * len(self.paths)
         for container, text, heading, outside in self.blocks:
             if not outside:
-                k = container
-                while k >= 0:
-                    out[k] += len(text) * (HEADING_WEIGHT if heading else 1)
-                    k = self.parents[k]
+                out[container] += len(text) * (HEADING_WEIGHT if heading else 1)
+        # A container comes after the one it stands in.
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parents[k]] += out[k]
         return out
 
     def text(self, template: list[str]) -> str:
@@ -260,7 +280,7 @@ def host_templates(pages: DataFrame) -> DataFrame:
     rated = pairs.join(whole, "host").where("path <> ''")
     # A slot's share is taken over the pages that have it.
     share = F.col("weight") * F.col("all_pages") >= MAIN_SHARE * F.col("all_weight") * F.col("pages")
-    kept = rated.where(share & (F.col("weight") > 0)).withColumn("depth", F.size(F.split("path", ">")))
+    kept = rated.where(share & (F.col("weight") > 0)).withColumn("depth", F.substring_index("path", ">", 1).cast("int"))
     order = F.struct((-F.col("depth")).alias("d"), (-F.col("pages")).alias("p"), F.col("path").alias("path"))
     # A host has few paths that hold most of its text: those of one nest, and of each of its layouts.
     return kept.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["path"]).alias("template"))

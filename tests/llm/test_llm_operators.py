@@ -512,6 +512,27 @@ def test_template_excludes_what_no_name_tells(spark):
         assert r.text.startswith(f"Title {r.page_id}\n\ntext") and "Offer" not in r.text and "bye" not in r.text
 
 
+@pytest.mark.parametrize("wrap", ["article", "div"])
+def test_names_tell_only_as_a_whole(wrap):
+    """A class of the frame is dropped; a head of the text, and text under a longer name, are not."""
+    page = templates.Page(
+        f'<body><{wrap}><div class="entry-header"><h1>Title</h1></div><p>First</p><div class="social-policy">Policy</div>'
+        f'<div class="search-results-analysis">Results</div><div class="share-buttons">Share</div><div class="adBox top">Buy</div>'
+        f'<div id="cookie-notice">Cookies</div></{wrap}><div class="site-header"><h1>Site</h1></div><div class="header">Top</div>'
+    )
+    assert page.text([]) == "Title\n\nFirst\n\nPolicy\n\nResults"
+
+
+def test_deep_pages_keep_short_paths():
+    """Each level weighs what lies below it; a page's paths grow with its elements, not with their square."""
+    depth = 40_000
+    page = templates.Page("<div>" * depth + "deep" + "</div>" * (depth // 2) + "<p>out")
+    assert page.text([]) == "deep\n\nout" and len(set(page.paths)) == depth + 1
+    assert max(map(len, page.paths)) < 50
+    weights = page.weights()
+    assert weights[0] == weights[depth // 2] == 7 and weights[depth // 2 + 1] == weights[depth] == 4
+
+
 # --- 9: near duplicates ------------------------------------------------------------------------
 
 
