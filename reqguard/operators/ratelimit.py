@@ -464,13 +464,13 @@ def limited(
 
 
 def _block_openings(times: DataFrame, markers: DataFrame, window: int) -> DataFrame:
-    """_client, _block and ``starts``, when the windows that open in the block do: one per window length."""
+    """_client, _block and ``_starts``, when the windows that open in the block do: one per window length."""
     sets = (
         times.unionByName(markers, allowMissingColumns=True)
         .repartition("_client", "_block")
         .sortWithinPartitions("_client", "_block", F.col("_opening").desc_nulls_last(), "_us")
     )
-    return sets.mapInArrow(_window_starts(window), "_client string, _block bigint, starts array<bigint>")
+    return sets.mapInArrow(_window_starts(window), "_client string, _block bigint, _starts array<bigint>")
 
 
 def _window_starts(window: int):
@@ -517,7 +517,7 @@ def _window_starts(window: int):
 def _starts_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-    return pa.RecordBatch.from_arrays(columns, ["_client", "_block", "starts"])
+    return pa.RecordBatch.from_arrays(columns, ["_client", "_block", "_starts"])
 
 
 def _ranked(
@@ -528,7 +528,7 @@ def _ranked(
     Of the two blocks that a request near the start of one goes to, one has its window.  The
     windows of a block lie where its rows were joined, so ranking moves nothing again.
     """
-    start = F.array_max(F.filter("starts", lambda x: x <= F.col("_us")))
+    start = F.array_max(F.filter("_starts", lambda x: x <= F.col("_us")))
     placed = rows.join(openings, ["_client", "_block"]).withColumn("_window", start)
     placed = placed.where(F.col("_us") < F.col("_window") + window)
     had, had_tokens = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")

@@ -188,3 +188,14 @@ def test_runs_without_rows_or_limits(spark):
     out, state = R.rate_limit_run(empty, given, 2, 0)
     assert out.count() == 0 and [tuple(r)[2:] for r in state.collect()] == [(1, 2)]
     assert R.rate_limit_run(empty, given)[1] is given
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [("a", 0, "1", 1, "s", "o"), ("a", 0, "2", 1, "s", "o"), ("a", 61 * 10**6, "3", 1, "s", "o")]
+    df = spark.createDataFrame(rows, "client_ip string, us long, request_id string, tokens int, starts string, opened string")
+    df = df.withColumn("ts", F.timestamp_micros("us"))
+    for limits in ((1, 0), (1, 5)):
+        out, _ = R.rate_limit_run(df, None, *limits)
+        assert out.columns == [*df.columns, "rate"]
+        got = {r.request_id: (r.rate.allowed, r.starts, r.opened) for r in out.collect()}
+        assert got == {"1": (True, "s", "o"), "2": (False, "s", "o"), "3": (True, "s", "o")}
