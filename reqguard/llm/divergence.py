@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import small_batches, stored
 from .words import LOWER, hashes_of, paired, raw, slices
 
 MIN_DOCUMENTS = 30
@@ -31,6 +31,9 @@ TOP_TERMS = 50
 SCALE = 1_000_000_000
 SMOOTHING = 5
 CHUNK_BYTES = 8_000_000
+# A chunk's text is read in parts of about this size, and its terms are hashed and its rows sent in parts of so many.
+PART_BYTES = 1_000_000
+PART_TERMS = PART_ROWS = 1 << 15
 # At most 8 MB of bitmap; up to 4 million prefixes have 16 bits each.
 LEAST_BITS, MOST_BITS = 16, 26
 # Numbers in a table of one language's sources and terms that one task compares.
@@ -70,38 +73,53 @@ def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks: sorted vocabulary; documents by language, with their terms and counts."""
     for batch in batches:
-        for lo, hi in slices(batch.column(0), CHUNK_BYTES):
+        # Chunks of a batch are about equal, so that none is a mere rest.
+        size = pc.sum(pc.binary_length(batch.column(0))).as_py() or 0
+        for lo, hi in slices(batch.column(0), -(-size // max(round(size / CHUNK_BYTES), 1)) + 1):
             part = batch.slice(lo, hi - lo)
             groups, of = _codes(part.column(1), part.column(2))
             # Documents of a language stand together.
             order = np.argsort(of, kind="stable")
             part, of = part.take(pa.array(order)), of[order]
-            terms, begin = terms_of(part.column(0))
-            coded = terms.dictionary_encode()
-            vocabulary = coded.dictionary
-            by_bytes = pc.sort_indices(vocabulary).to_numpy()
-            rank = np.empty(len(by_bytes), np.int64)
-            rank[by_bytes] = np.arange(len(by_bytes))
-            vocabulary = vocabulary.take(pa.array(by_bytes))
-            doc = np.repeat(np.arange(len(part)), np.diff(begin))
-            word = rank[coded.indices.to_numpy()] if len(terms) else np.zeros(0, np.int64)
-            pairs, counts = np.unique(doc * max(len(vocabulary), 1) + word, return_counts=True)
-            held = np.bincount(pairs // max(len(vocabulary), 1), minlength=len(part)) if len(pairs) else np.zeros(len(part))
+            vocabulary, held, pairs, counts = _terms_by_document(part.column(0))
             letters, at = raw_binary(vocabulary)
             row = [
                 [groups[0]],
                 [groups[1]],
-                [np.stack([of, held.astype(np.int64)]).astype("i4").tobytes()],
+                [np.stack([of, held]).astype("i4").tobytes()],
                 [letters.tobytes()],
                 [np.diff(at).astype("i4").tobytes()],
-                [(pairs % max(len(vocabulary), 1)).astype("i4").tobytes()],
-                [counts.astype("i4").tobytes()],
+                [pairs.tobytes()],
+                [counts.tobytes()],
             ]
             kinds = [pa.list_(pa.string())] * 2 + [pa.binary()] * 5
             names = ["langs", "sources", "docs", "vocabulary", "lengths", "pairs", "counts"]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
 
+def _terms_by_document(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted vocabulary; how many of its terms each text holds, which these are, and how often it has them."""
+    # What is made of a text takes many times its room, so only terms are kept of the parts before.
+    found = [terms_of(texts.slice(lo, hi - lo)) for lo, hi in slices(texts, PART_BYTES)]
+    coded = pa.chunked_array([terms for terms, _ in found], pa.large_binary()).dictionary_encode()
+    begins = [begin for _, begin in found]
+    del found
+    vocabulary = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.large_binary())
+    by_bytes = pc.sort_indices(vocabulary).to_numpy()
+    rank = np.empty(len(by_bytes), np.int64)
+    rank[by_bytes] = np.arange(len(by_bytes))
+    vocabulary = vocabulary.take(pa.array(by_bytes))
+    size = max(len(vocabulary), 1)
+    held, pairs, counts = [np.zeros(0, np.int64)], [np.zeros(0, "i4")], [np.zeros(0, "i4")]
+    for chunk, begin in zip(coded.chunks, begins, strict=True):
+        doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        pair, count = np.unique(doc * size + rank[chunk.indices.to_numpy()], return_counts=True)
+        held.append(np.bincount(pair // size, minlength=len(begin) - 1))
+        pairs.append((pair % size).astype("i4"))
+        counts.append(count.astype("i4"))
+    return vocabulary, np.concatenate(held), np.concatenate(pairs), np.concatenate(counts)
+
+
 def _codes(langs: pa.Array, sources: pa.Array) -> tuple[tuple[list, list], np.ndarray]:
     """The groups (lang, source) of a chunk in the order of lang, and each row's number among them."""
     names = list(zip(langs.to_pylist(), sources.to_pylist(), strict=True))
@@ -122,24 +140,33 @@ def raw_binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class _Chunk:
     """Terms of a chunk by language: cells (language, term) in order, and the pairs that point to them."""
 
-    def __init__(self, row: dict) -> None:
-        self.sources = row["sources"]
-        self.langs, of_lang = np.unique(np.array(row["langs"], object), return_inverse=True)
-        group, held = np.frombuffer(row["docs"], "i4").reshape(2, -1).astype(np.int64)
-        self.letters = np.frombuffer(row["vocabulary"], np.uint8)
-        self.length = np.frombuffer(row["lengths"], "i4").astype(np.int64)
+    def __init__(self, row: pa.RecordBatch) -> None:
+        def numbers(name: str, kind: str = "i4") -> np.ndarray:
+            """The row's bytes where they lie; none is copied."""
+            return np.frombuffer(row.column(name)[0].as_buffer(), kind)
+
+        self.sources = row.column("sources")[0].as_py()
+        self.langs, of_lang = np.unique(np.array(row.column("langs")[0].as_py(), object), return_inverse=True)
+        self.group, held = numbers("docs").reshape(2, -1)
+        self.letters = numbers("vocabulary", "u1")
+        self.length = numbers("lengths").astype(np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.length)])
-        term = np.frombuffer(row["pairs"], "i4").astype(np.int64)
-        self.n = np.frombuffer(row["counts"], "i4").astype(np.int64)
-        self.doc = np.repeat(np.arange(len(group)), held)
-        self.group = group[self.doc]
+        self.n = numbers("counts")
+        self.doc = np.repeat(np.arange(len(self.group), dtype="i4"), held)
         size = max(len(self.length), 1)
-        self.cells, self.cell = np.unique(of_lang[self.group] * size + term, return_inverse=True)
-        self.lang, self.term = self.cells // size, self.cells % size
+        key = np.repeat(of_lang[self.group] * size, held)
+        key += numbers("pairs")
+        cells, cell = np.unique(key, return_inverse=True)
+        self.cell = cell.astype("i4")
+        self.lang, self.term = cells // size, cells % size
 
     def marks(self, level: int) -> np.ndarray:
         """A number for each cell's language and prefix."""
-        prefix = hashes_of(self.letters, self.begin[:-1], np.minimum(self.length, level))
+        prefix = np.empty(len(self.length), np.uint64)
+        for lo in range(0, len(prefix), PART_TERMS):
+            hi = min(lo + PART_TERMS, len(prefix))
+            first, last = self.begin[lo], self.begin[hi]
+            prefix[lo:hi] = hashes_of(self.letters[first:last], self.begin[lo:hi] - first, np.minimum(self.length[lo:hi], level))
         names = [x.encode() for x in self.langs]
         letters = np.frombuffer(b"".join(names), np.uint8)
         size = np.array([len(x) for x in names], np.int64)
@@ -155,7 +182,7 @@ class _Chunk:
 
     def level(self, level: int, before: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         """Counts of the prefixes of this level whose shorter prefix lives."""
-        alive = np.ones(len(self.cells), bool)
+        alive = np.ones(len(self.term), bool)
         if bits is not None:
             slot = self.marks(before) & np.uint64((len(bits) << 6) - 1)
             hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
@@ -164,7 +191,7 @@ class _Chunk:
             return
         prefix = self.prefixes(level)[self.term]
         mark = self.marks(level)
-        new = np.ones(len(self.cells), bool)
+        new = np.ones(len(self.term), bool)
         new[1:] = (np.diff(prefix) != 0) | (np.diff(self.lang) != 0)
         number = np.cumsum(new) - 1
         first = np.flatnonzero(new)
@@ -178,30 +205,38 @@ class _Chunk:
         once[1:] = (np.diff(of) != 0) | (np.diff(held_by) != 0)
         docs = np.bincount(of[once], minlength=len(first))
         some = np.flatnonzero(docs)
-        yield self._rows(first[some], None, level, False, docs[some], np.zeros(len(some), np.int64), mark)
+        yield from self._rows(first[some], None, level, False, docs[some], np.zeros(len(some), np.int64), mark)
         # A term that ends: documents and occurrences in each source.
-        of, group = cell[~longer], self.group[mine][~longer]
         width = len(self.sources)
-        key, at, docs = np.unique(of * width + group, return_inverse=True, return_counts=True)
-        n = np.bincount(at, weights=self.n[mine][~longer], minlength=len(key)).astype(np.int64)
-        yield self._rows(key // width, key % width, level, True, docs, n, mark)
-
-    def _rows(self, cell, group, level, complete, docs, n, mark) -> pa.RecordBatch:
-        term = self.term[cell]
-        words = _strings(self.letters, self.length, pa.binary()).cast(pa.binary()).take(pa.array(term))
-        words = words if complete else pc.binary_slice(words, 0, level)
-        langs = pa.array(self.langs.tolist(), pa.string()).take(pa.array(self.lang[cell]))
-        sources = pa.nulls(len(cell), pa.string()) if group is None else pa.array(self.sources, pa.string()).take(pa.array(group))
-        return pa.RecordBatch.from_arrays(
-            [langs, sources, words, pa.array([complete] * len(cell), pa.bool_()), pa.array(docs), pa.array(n), pa.array(mark[cell].view(np.int64))],
-            ["lang", "source", "prefix", "complete", "docs", "n", "mark"],
-        )
+        key = cell[~longer].astype(np.int64) * width + self.group[doc[~longer]]
+        n = self.n[mine][~longer]
+        key, at, docs = np.unique(key, return_inverse=True, return_counts=True)
+        n = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+        yield from self._rows(key // width, key % width, level, True, docs, n, mark)
+
+    def _rows(self, cell, group, level, complete, docs, n, mark) -> Iterator[pa.RecordBatch]:
+        vocabulary = _strings(self.letters, self.length, pa.binary()).cast(pa.binary())
+        names, sources = pa.array(self.langs.tolist(), pa.string()), pa.array(self.sources, pa.string())
+        for lo in range(0, len(cell), PART_ROWS):
+            part = slice(lo, lo + PART_ROWS)
+            at = cell[part]
+            words = vocabulary.take(pa.array(self.term[at]))
+            columns = [
+                names.take(pa.array(self.lang[at])),
+                pa.nulls(len(at), pa.string()) if group is None else sources.take(pa.array(group[part])),
+                words if complete else pc.binary_slice(words, 0, level),
+                pa.array(np.full(len(at), complete)),
+                pa.array(docs[part]),
+                pa.array(n[part]),
+                pa.array(mark[at].view(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "prefix", "complete", "docs", "n", "mark"])
 
 
 def _level(batches: Iterator[pa.RecordBatch], level: int, before: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            yield from _Chunk(row).level(level, before, bits)
+        for k in range(len(batch)):
+            yield from _Chunk(batch.slice(k, 1)).level(level, before, bits)
 
 
 def _bitmap(living: DataFrame, count: int) -> np.ndarray:
@@ -218,7 +253,10 @@ def _bitmap(living: DataFrame, count: int) -> np.ndarray:
 def gathered(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Chunks of ``docs`` (null counts as empty), written out."""
     slim = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
-    return stored(slim.mapInArrow(_gathered, _CHUNK))
+    # A chunk is some megabytes wide: few are held at once, each in pages of its own, and none in a dictionary.
+    pages = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
+    with small_batches(docs.sparkSession, CHUNK_BYTES):
+        return stored(slim.mapInArrow(_gathered, _CHUNK), **pages)
 
 
 def kept_counts(chunks: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
@@ -228,11 +266,11 @@ def kept_counts(chunks: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
     while True:
         shared = spark.sparkContext.broadcast(bits)
         rows = chunks.mapInArrow(lambda b, k=level, j=before, s=shared: _level(b, k, j, s.value), _ROWS)
-        counted = stored(
-            rows.groupBy("lang", "source", "prefix", "complete").agg(
-                F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.max("mark").alias("mark")
-            )
+        counts = rows.groupBy("lang", "source", "prefix", "complete").agg(
+            F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.max("mark").alias("mark")
         )
+        with small_batches(spark, CHUNK_BYTES):
+            counted = stored(counts)
         whole = counted.groupBy("lang", "prefix", "complete").agg(F.sum("docs").alias("docs"), F.max("mark").alias("mark"))
         living = stored(whole.where(F.col("docs") >= least))
         complete = counted.where("complete").join(living.where("complete").select("lang", "prefix"), ["lang", "prefix"])

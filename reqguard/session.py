@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,12 +69,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Batches to Python workers of about ``size`` bytes for what is run meanwhile; no result depends on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there.
 
     Lineage ends at the files, so a lost executor never recomputes what led to them, and each
     reader takes only the columns it needs.  The folder's owner decides how long they are kept.
+    ``options`` are those of the Parquet writer.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/reqguard-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -100,6 +101,31 @@ def test_divergence_does_not_depend_on_chunks_or_on_the_bitmap(spark, monkeypatc
     assert sorted_rows(divergence.kept_counts(made, 12).collect()) == sorted_rows(whole.collect())
 
 
+def test_divergence_takes_little_memory_for_a_chunk():
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{np.base_repr(k, 26).translate(str.maketrans('0123456789', 'qrstuvwxyz'))}" for k in range(60_000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 400)]) for _ in range(7_000)]
+    size = sum(map(len, texts))
+    assert size < 2 * divergence.CHUNK_BYTES
+    docs = pa.record_batch({"t": texts, "l": [f"l{k % 4}" for k in range(7_000)], "s": [f"s{k % 20}" for k in range(7_000)]})
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            made = work()
+            return tracemalloc.get_traced_memory()[1], made
+        finally:
+            tracemalloc.stop()
+
+    most, chunks = peak(lambda: list(divergence._gathered(iter([docs]))))
+    assert most < 10 * divergence.CHUNK_BYTES
+    # Chunks that come together are taken one at a time, and what they give goes out in small batches.
+    together = pa.Table.from_batches(chunks * 4).combine_chunks().to_batches()
+    for level, before in ((2, 0), (4, 0)):
+        most, sizes = peak(lambda k=level, j=before: [len(b) for b in divergence._level(iter(together), k, j, None)])
+        assert most < 16 * divergence.CHUNK_BYTES and max(sizes) <= 1 << 15
+
+
 def test_divergence_of_an_empty_table(spark):
     assert divergence.divergence(spark.createDataFrame([], DOCS)).count() == 0
 
