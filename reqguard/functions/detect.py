@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,14 +183,33 @@ def _byte_offsets(text: str, positions: list[int]) -> dict[int, int]:
     return offsets
 
 
+# Text whose values and matches are Python objects at once; a longer single text stands alone.
+PART_BYTES = 1 << 20
+
+
+def _by_parts(work: Callable[[pa.Array], pa.Array], text: pa.Array) -> pa.Array:
+    """``work`` on parts of a batch, so that what is made of it takes no multiple of the batch's room."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // PART_BYTES)) + 1).tolist(), len(text)]
+    return pa.concat_arrays([work(text.slice(a, b - a)) for a, b in zip(edges, edges[1:])])
+
+
 @F.arrow_udf(SPANS)
 def pii_spans(text: pa.Array) -> pa.Array:
-    """Matches of every detector with byte offsets, sorted by start, ties in type order."""
+    """Matches of every detector with byte offsets, sorted by start, ties in type order.
+
+    Only texts that may hold some are searched; the others, and NULL, have none.
+    """
+    return _by_parts(_spans, text)
+
+
+def _spans(text: pa.Array) -> pa.Array:
     out = []
-    for value in text.to_pylist():
-        if value is None:
+    for value, hit in zip(text, pc.match_substring_regex(text, _PII_RE2).to_pylist()):
+        if not hit:
             out.append([])
             continue
+        value = value.as_py()
         spans = _text_spans(value)
         at = _byte_offsets(value, [p for s in spans for p in s[:2]])
         out.append(
@@ -208,6 +227,10 @@ def redacted(text: pa.Array) -> pa.Array:
 
     Where matches overlap, the earliest start wins, then detector order; the others are dropped.
     """
+    return _by_parts(_redacted, text)
+
+
+def _redacted(text: pa.Array) -> pa.Array:
     texts, counts = [], []
     for value in text.to_pylist():
         if value is None:
@@ -277,6 +300,10 @@ def _json_spans(body: str) -> list[tuple[int, int, str]]:
 @F.arrow_udf(REDACTED)
 def redacted_json(body: pa.Array) -> pa.Array:
     """JSON texts with each match within a string value replaced by its label, and how many were."""
+    return _by_parts(_redacted_json, body)
+
+
+def _redacted_json(body: pa.Array) -> pa.Array:
     texts, counts = [], []
     for value in body.to_pylist():
         spans = _json_spans(value) if value is not None else []
